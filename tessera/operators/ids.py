@@ -30,16 +30,16 @@ def _layout(df: DataFrame, order, num_partitions: int | None, stable: bool) -> D
     ranged = df.repartitionByRange(n, *oc).sortWithinPartitions(*oc)
     if stable:
         ranged = materialise(ranged)
-    return ranged.withColumn("_pid", F.spark_partition_id()) \
-                 .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33)))
+    return ranged.withColumn("_t_pid", F.spark_partition_id()) \
+                 .withColumn("_t_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33)))
 
 
 def _partition_offsets(laid: DataFrame, weight: Column | None = None) -> DataFrame:
     w = F.count("*") if weight is None else F.sum(weight)
-    counts = laid.groupBy("_pid").agg(w.alias("_cnt"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    counts = laid.groupBy("_t_pid").agg(w.alias("_t_cnt"))
+    before = Window.orderBy("_t_pid").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition: the window runs over num_partitions rows only
-    return counts.select("_pid", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    return counts.select("_t_pid", F.coalesce(F.sum("_t_cnt").over(before), F.lit(0)).alias("_t_off"))
 
 
 def dense_id(df: DataFrame, order, name: str = "id", start: int = 0,
@@ -51,9 +51,9 @@ def dense_id(df: DataFrame, order, name: str = "id", start: int = 0,
     """
     laid = _layout(df, order, num_partitions, stable)
     offs = _partition_offsets(laid)
-    out = laid.join(F.broadcast(offs), "_pid")
-    return out.withColumn(name, (F.col("_off") + F.col("_pos") + F.lit(start)).cast("long")) \
-              .drop("_pid", "_pos", "_off")
+    out = laid.join(F.broadcast(offs), "_t_pid")
+    return out.withColumn(name, (F.col("_t_off") + F.col("_t_pos") + F.lit(start)).cast("long")) \
+              .drop("_t_pid", "_t_pos", "_t_off")
 
 
 def prefix_sum(df: DataFrame, value: str, order, name: str = "prefix",
@@ -65,11 +65,11 @@ def prefix_sum(df: DataFrame, value: str, order, name: str = "prefix",
     """
     laid = _layout(df, order, num_partitions, stable=True)
     offs = _partition_offsets(laid, F.col(value))
-    frame = (Window.partitionBy("_pid").orderBy("_pos")
+    frame = (Window.partitionBy("_t_pid").orderBy("_t_pos")
              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    local = laid.withColumn("_loc", F.coalesce(F.sum(value).over(frame), F.lit(0)))
-    return local.join(F.broadcast(offs), "_pid") \
-        .withColumn(name, (F.col("_off") + F.col("_loc")).cast("long")).drop("_pid", "_pos", "_off", "_loc")
+    local = laid.withColumn("_t_loc", F.coalesce(F.sum(value).over(frame), F.lit(0)))
+    return local.join(F.broadcast(offs), "_t_pid") \
+        .withColumn(name, (F.col("_t_off") + F.col("_t_loc")).cast("long")).drop("_t_pid", "_t_pos", "_t_off", "_t_loc")
 
 
 def identifier_map(df: DataFrame, name_col: str, order, start: int = 1,
