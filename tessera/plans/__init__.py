@@ -1,4 +1,4 @@
 """Registered queries. Importing this package fills ``registry.QUERIES`` / ``ORACLES``."""
 
-from tessera.plans import q_grid, q_ids, q_sampling, q_votes  # noqa: F401
+from tessera.plans import q_grid, q_ids, q_metrics, q_sampling, q_votes  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES  # noqa: F401

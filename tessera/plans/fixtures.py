@@ -116,3 +116,28 @@ def grid_predictions(spark: SparkSession, sf_dir: str, n_aug: int = N_AUG, seed:
         "preds", lambda x, i: F.when(i == pos, F.lit(1)).otherwise(x))).otherwise(F.col("preds"))).drop("noise")
     identifiers = plan.select("puzzle_identifier", F.col("aug_name").alias("puzzle_name"))
     return t, identifiers, puz
+
+
+# --------------------------------------------------- F9 logits predictions
+def logit_predictions(spark: SparkSession, sf_dir: str, seed: int = SEED) -> DataFrame:
+    """One sequence per vector: 8 positions x 8 classes of logits from its 64 floats.
+
+    label(pos) = hash(vec_id, pos) % 9 with 8 meaning ignored (-100); q_halt is
+    the first float x 10; set = set_{label % 2}; one row in ten is not halted;
+    step = vec_id div 64 (a training batch of 64 sequences).
+    """
+    from tessera.functions.util import let
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    emb, vid = F.col("embedding"), F.col("vec_id")
+    logits = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda p: F.transform(
+        F.sequence(F.lit(0), F.lit(7)), lambda c: emb[p * 8 + c].cast("double")))
+    labels = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda p: let(
+        h(seed, "label", vid, p) % 9, lambda y: F.when(y == 8, F.lit(-100)).otherwise(y).cast("int")))
+    return e.select(
+        vid,
+        F.concat(F.lit("set_"), (F.col("label") % 2).cast("string")).alias("set_name"),
+        logits.alias("logits"), labels.alias("labels"),
+        (emb[0].cast("double") * 10).alias("q_halt_logits"),
+        (h(seed, "halt", vid) % 10 != 0).alias("halted"),
+        (F.lit(1) + h(seed, "steps", vid) % 16).cast("int").alias("steps"),
+        F.floor(vid / 64).alias("step"))
