@@ -141,3 +141,14 @@ def logit_predictions(spark: SparkSession, sf_dir: str, seed: int = SEED) -> Dat
         (h(seed, "halt", vid) % 10 != 0).alias("halted"),
         (F.lit(1) + h(seed, "steps", vid) % 16).cast("int").alias("steps"),
         F.floor(vid / 64).alias("step"))
+
+
+# ------------------------------------------------------------- F6 QA pairs
+def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User text at turn t -> question; assistant text at turn t+1 -> answer + '\\n#### ' + its length."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+    a = c.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"),
+        F.concat(F.col("text"), F.lit("\n#### "), F.length("text").cast("string")).alias("answer"))
+    return u.join(a, ["conv_id", "turn"])
