@@ -14,6 +14,7 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.driver.memory": "8g",
     "spark.ui.showConsoleProgress": "false",
     # Small dimensions (vocabularies, category maps, per-partition offsets)
     # are broadcast explicitly after a size check; keep the automatic
