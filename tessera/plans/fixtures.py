@@ -173,3 +173,43 @@ def logic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Order "), F.col("l_orderkey").cast("string")).alias("puzzle"),
         F.array(F.lit("House"), F.lit("Name"), F.lit("Part")).alias("header"),
         F.transform("_r", lambda s: s["row"]).alias("rows"))
+
+
+# ------------------------------------------------------------ F3 sudoku
+def sudoku_rows(spark: SparkSession, sf_dir: str, seed: int = SEED) -> DataFrame:
+    """One board per order, in the CSV shape (source, q, a, rating).
+
+    Solution cell (r, c) = (3*(r%3) + r div 3 + c) % 9 + 1, relabelled by a
+    seeded digit permutation; a cell is blanked ('.') when its hash is even.
+    """
+    from tessera.functions.rng import random_perm
+    from tessera.functions.util import let
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    key = F.col("o_orderkey")
+    relabel = random_perm(9, seed, "relabel", key)
+    sol = let(relabel, lambda p: F.transform(F.sequence(F.lit(0), F.lit(80)), lambda i: F.element_at(
+        p, ((3 * (F.floor(i / 9) % 3) + F.floor(i / 27) + i % 9) % 9 + 1).cast("int")) + 1))
+    o = o.select(key, sol.alias("_a"))
+    q = F.transform("_a", lambda x, i: F.when(h(seed, "blank", key, i) % 2 == 0, F.lit(".")).otherwise(x.cast("string")))
+    return o.select(F.concat(F.lit("o"), key.cast("string")).alias("source"),
+                    F.array_join(q, "").alias("q"),
+                    F.array_join(F.col("_a"), "").alias("a"),
+                    (key % 10).cast("int").alias("rating"))
+
+
+# -------------------------------------------------------------- F4 mazes
+MAZE_CHARSET = "# SGo"  # fixed value: maze characters, ids 1..5 in this order
+
+
+def maze_rows(spark: SparkSession, sf_dir: str, seed: int = SEED, side: int = 10) -> DataFrame:
+    """One side x side character board per page (shape fixture, not a solvable maze)."""
+    p = table(spark, sf_dir, "pages").select("page_id")
+    pid = F.col("page_id")
+    cells = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)),
+                        lambda i: F.substring(F.lit(MAZE_CHARSET), (h(seed, "maze", pid, i) % 5 + 1).cast("int"), 1))
+    sol = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.when(
+        (F.element_at(F.col("_q"), i + 1) == " ") & (h(seed, "path", pid, i) % 3 == 0), F.lit("o"))
+        .otherwise(F.element_at(F.col("_q"), i + 1)))
+    p = p.select(pid, cells.alias("_q"))
+    return p.select(F.concat(F.lit("p"), pid.cast("string")).alias("source"), F.array_join("_q", "").alias("q"),
+                    F.array_join(sol, "").alias("a"), F.lit(0).alias("rating"))
