@@ -1,4 +1,4 @@
 """Registered queries. Importing this package fills ``registry.QUERIES`` / ``ORACLES``."""
 
-from tessera.plans import q_batching, q_boards, q_grid, q_ids, q_logic, q_metrics, q_sampling, q_text, q_votes  # noqa: F401
+from tessera.plans import q_batching, q_boards, q_grid, q_ids, q_logic, q_metrics, q_sampling, q_state, q_text, q_votes  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES  # noqa: F401

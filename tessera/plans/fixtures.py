@@ -213,3 +213,30 @@ def maze_rows(spark: SparkSession, sf_dir: str, seed: int = SEED, side: int = 10
     p = p.select(pid, cells.alias("_q"))
     return p.select(F.concat(F.lit("p"), pid.cast("string")).alias("source"), F.array_join("_q", "").alias("q"),
                     F.array_join(sol, "").alias("a"), F.lit(0).alias("rating"))
+
+
+# --------------------------------------------------------- F10 step trace
+def step_trace(spark: SparkSession, sf_dir: str, seed: int = SEED) -> DataFrame:
+    """seq = (user_id, day); step = 1-based position by (ts, event_id);
+    q_halt = (value - 100) / 50; q_continue = (hash % 400) / 100 - 2."""
+    from tessera.operators.trace import rank_within
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
+    e = e.withColumn("day", F.to_date("ts"))
+    r = rank_within(e, ["user_id", "day"], ["ts", "event_id"])
+    return r.select("user_id", "day", "event_id", (F.col("rank") + 1).cast("int").alias("step"),
+                    ((F.col("value") - 100) / 50).alias("q_halt"),
+                    ((h(seed, "qc", F.col("event_id")) % 400) / 100.0 - 2.0).alias("q_continue"))
+
+
+# ------------------------------------------------------ F11 sparse deltas
+def embedding_deltas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(table, deltas): table = embeddings as doubles; delta id = event_id % 500,
+    grad = the vector of user_id % 500, negated for 'error' events."""
+    t = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    src = t.select(F.col("id").alias("src"), F.col("embedding").alias("vec"))
+    d = ev.join(src, (ev.user_id % 500) == src.src)
+    sign = F.when(F.col("event_type") == "error", F.lit(-1.0)).otherwise(F.lit(1.0))
+    deltas = d.select((F.col("event_id") % 500).alias("id"), F.transform("vec", lambda x: x * sign).alias("grad"))
+    return t, deltas
