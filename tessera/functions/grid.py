@@ -129,7 +129,13 @@ def _hex2(x: Column) -> Column:
 def grid_hash(g: Column) -> Column:
     """SHA-256 over the bytes (h, w, cells row-major), hex."""
     def body(gg):
-        cells = F.array_join(F.transform(F.flatten(gg), _hex2), "")
+        flat = F.flatten(gg)
+        # cells 0..9 are one hex digit each: join the digits natively, then
+        # prefix every digit with 0 (one regex pass instead of a per-cell lambda)
+        fast = F.regexp_replace(F.array_join(flat, ""), "(.)", "0$1")
+        slow = F.array_join(F.transform(flat, _hex2), "")
+        mx, mn = F.array_max(flat), F.array_min(flat)
+        cells = F.when(F.size(flat) == 0, F.lit("")).when((mx <= 9) & (mn >= 0), fast).otherwise(slow)
         return F.sha2(F.unhex(F.concat(_hex2(height(gg)), _hex2(width(gg)), cells)), 256)
     return let(g, body)
 
@@ -139,20 +145,25 @@ def serialise(g: Column, pad_r=0, pad_c=0) -> Column:
 
     Cell -> colour + 2; end marker 1 on the row below the grid and on the column
     right of it (the corner stays 0; nothing when that border is off-grid).
+    Built row by row with native concat/array_repeat; only the grid's own cells
+    pass through a lambda.
     """
     def body(b):
         gg, h_, w_, pr, pc = b["g"], b["h"], b["w"], b["pr"], b["pc"]
-
-        def tok(k):
-            r = F.floor(k / MAX_GRID).cast("int") - pr
-            c = (k % MAX_GRID) - pc
-            in_rows = (r >= 0) & (r < h_)
-            in_cols = (c >= 0) & (c < w_)
-            return (F.when(in_rows & in_cols, gg[r][c] + DIGIT_OFFSET)
-                    .when((r == h_) & in_cols, F.lit(EOS_ID))
-                    .when((c == w_) & in_rows, F.lit(EOS_ID))
-                    .otherwise(F.lit(PAD_ID)))
-        return F.transform(F.sequence(F.lit(0), F.lit(SEQ_CELLS - 1)), tok)
+        right = MAX_GRID - pc - w_          # cells right of the grid (>= 0)
+        zeros_left = F.array_repeat(F.lit(PAD_ID), pc)
+        eos_col = F.when(right > 0, F.array(F.lit(EOS_ID))).otherwise(F.array().cast("array<int>"))
+        tail = F.array_repeat(F.lit(PAD_ID), F.greatest(right - 1, F.lit(0)))
+
+        def row(r):
+            gr = r - pr
+            in_grid = (gr >= 0) & (gr < h_)
+            cells = F.transform(gg[F.greatest(F.least(gr, h_ - 1), F.lit(0))], lambda x: x + DIGIT_OFFSET)
+            grid_row = F.concat(zeros_left, cells, eos_col, tail)
+            eos_row = F.concat(zeros_left, F.array_repeat(F.lit(EOS_ID), w_), F.array_repeat(F.lit(PAD_ID), right))
+            blank = F.array_repeat(F.lit(PAD_ID), MAX_GRID)
+            return F.when(in_grid, grid_row).when((gr == h_) & (w_ > 0), eos_row).otherwise(blank)
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(MAX_GRID - 1)), row))
 
     def bind(gg):
         return let(F.struct(gg.alias("g"), height(gg).alias("h"), width(gg).alias("w"),
@@ -161,12 +172,27 @@ def serialise(g: Column, pad_r=0, pad_c=0) -> Column:
 
 
 def _row_runs(s: Column) -> Column:
-    """Leading run of colour tokens in each of the 30 rows."""
-    def run(r):
+    """Leading run of colour tokens in each of the 30 rows.
+
+    When no token exceeds 11 (the serialised vocabulary, checked once per
+    sequence) the only stoppers are 0 and 1, found with native
+    array_position; other inputs take the general per-token test.
+    """
+    def fast_run(r):
+        row = F.slice(s, r * MAX_GRID + 1, MAX_GRID)
+        p0 = F.array_position(row, PAD_ID).cast("int")
+        p1 = F.array_position(F.slice(s, r * MAX_GRID + 1, MAX_GRID), EOS_ID).cast("int")
+        p = F.when(p0 == 0, p1).when(p1 == 0, p0).otherwise(F.least(p0, p1))
+        return F.when(p == 0, F.lit(MAX_GRID)).otherwise(p - 1)
+
+    def slow_run(r):
         p = F.array_position(F.transform(F.slice(s, r * MAX_GRID + 1, MAX_GRID),
                                          lambda x: (x < DIGIT_OFFSET) | (x > DIGIT_OFFSET + 9)), True).cast("int")
         return F.when(p == 0, F.lit(MAX_GRID)).otherwise(p - 1)
-    return F.transform(F.sequence(F.lit(0), F.lit(MAX_GRID - 1)), run)
+
+    rows = F.sequence(F.lit(0), F.lit(MAX_GRID - 1))
+    in_vocab = (F.array_max(s) <= DIGIT_OFFSET + 9) & (F.array_min(s) >= 0)
+    return F.when(in_vocab, F.transform(rows, fast_run)).otherwise(F.transform(rows, slow_run))
 
 
 def crop(seq: Column) -> Column:
