@@ -104,9 +104,10 @@ def submission_json(sub: DataFrame) -> DataFrame:
     per_pair = sub.groupBy("name", "ex_idx").agg(F.map_from_entries(F.array_sort(F.collect_list(
         F.struct(F.concat(F.lit("attempt_"), F.col("attempt").cast("string")).alias("k"),
                  F.col("grid").alias("v"))))).alias("attempts"))
+    per_pair = per_pair.select("name", "ex_idx", F.to_json("attempts").alias("j"))
     per_name = per_pair.groupBy("name").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("ex_idx", "attempts"))), lambda s: s["attempts"]).alias("pairs"))
-    return per_name.select("name", F.to_json("pairs").alias("json"))
+        F.transform(F.array_sort(F.collect_list(F.struct("ex_idx", "j"))), lambda s: s["j"]).alias("pairs"))
+    return per_name.select("name", F.concat(F.lit("["), F.array_join("pairs", ","), F.lit("]")).alias("json"))
 
 
 def coverage(decoded_or_votes: DataFrame, truth: DataFrame) -> DataFrame:
