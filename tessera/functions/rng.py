@@ -31,8 +31,27 @@ def uniform(seed, *keys) -> Column:
     return h(seed, *keys) / F.lit(float(1 << 32))
 
 
+DIGEST_PERM_MAX = 10  # up to 10 elements, 3 hex digits (12 bits) each fit one md5
+
+
+def digest(seed, *keys) -> Column:
+    """md5 hex of 'seed:k1:k2...' (32 lowercase hex digits)."""
+    cols = [as_col(seed)] + [as_col(k) for k in keys]
+    return F.md5(F.concat_ws(":", *[c.cast("string") for c in cols]))
+
+
 def random_perm(n, seed, *keys) -> Column:
-    """A permutation of 0..n-1 drawn by sorting on per-element hashes."""
+    """A permutation of 0..n-1 drawn by sorting on seeded keys (ties by index).
+
+    Small literal n (<= 10, colour maps, band orders) takes all its keys from
+    one md5 digest: element i sorts on hex digits 3i..3i+2, compared as
+    fixed-width strings. Larger n hashes every element.
+    """
+    if isinstance(n, int) and n <= DIGEST_PERM_MAX:
+        from tessera.functions.util import let
+        return let(digest(seed, *keys), lambda d: F.transform(F.array_sort(F.transform(
+            F.sequence(F.lit(0), F.lit(n - 1)),
+            lambda i: F.struct(F.substring(d, i * 3 + 1, 3).alias("k"), i.alias("i")))), lambda s: s["i"]))
     n = as_col(n)
     idx = F.sequence(F.lit(0), n - 1)
     keyed = F.transform(idx, lambda i: F.struct(h(seed, *keys, i).alias("k"), i.alias("i")))

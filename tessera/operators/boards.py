@@ -27,30 +27,48 @@ def _band_perm(seed, key, aug, tag: str) -> Column:
         random_perm(3, seed, tag + "_in", key, aug, bi), lambda r: F.element_at(b, bi + 1) * 3 + r))))  # noqa: E501
 
 
-def sudoku_shuffle(cells: Column, seed, key, aug) -> Column:
-    """G11 on an 81-vector: optional transpose, band/row and stack/column permutations,
-    digit relabelling that keeps 0; the same draws for board and solution."""
-    digit_map = colour_perm(seed, "digit", key, aug)
-    transpose = h(seed, "transpose", key, aug) % 2 == 1
-    rows, cols = _band_perm(seed, key, aug, "band"), _band_perm(seed, key, aug, "stack")
+def shuffle_params(seed, key, aug) -> Column:
+    """One draw of G11's parameters: digit map, transpose flag, row and column orders."""
+    return F.struct(colour_perm(seed, "digit", key, aug).alias("dm"),
+                    (h(seed, "transpose", key, aug) % 2 == 1).alias("t"),
+                    _band_perm(seed, key, aug, "band").alias("rows"),
+                    _band_perm(seed, key, aug, "stack").alias("cols"))
+
+
+def source_index(b: Column) -> Column:
+    """For each of the 81 new cells, the 1-based old cell it reads (rows, cols, transpose)."""
+    def src(i):
+        k = F.element_at(b["rows"], F.floor(i / 9).cast("int") + 1) * 9 + F.element_at(b["cols"], ((i % 9) + 1).cast("int"))
+        return (F.when(b["t"], (k % 9) * 9 + F.floor(k / 9).cast("int")).otherwise(k) + 1).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(80)), src)
+
+
+def apply_mapping(cells: Column, src: Column, digit_map: Column) -> Column:
+    return F.transform(src, lambda k: F.element_at(digit_map, F.element_at(cells, k) + 1))
 
-    def body(b):
-        def src(i):
-            k = F.element_at(b["rows"], F.floor(i / 9).cast("int") + 1) * 9 + F.element_at(b["cols"], ((i % 9) + 1).cast("int"))
-            k = F.when(b["t"], (k % 9) * 9 + F.floor(k / 9).cast("int")).otherwise(k)
-            return F.element_at(b["dm"], F.element_at(cells, k.cast("int") + 1) + 1)
-        return F.transform(F.sequence(F.lit(0), F.lit(80)), src)
-    return let(F.struct(digit_map.alias("dm"), transpose.alias("t"), rows.alias("rows"), cols.alias("cols")), body)
+
+def apply_shuffle(cells: Column, b: Column) -> Column:
+    """G11 on an 81-vector with drawn parameters ``b`` (see shuffle_params)."""
+    return apply_mapping(cells, source_index(b), b["dm"])
+
+
+def sudoku_shuffle(cells: Column, seed, key, aug) -> Column:
+    """Optional transpose, band/row and stack/column permutations, digit relabelling
+    that keeps 0."""
+    return let(shuffle_params(seed, key, aug), lambda b: apply_shuffle(cells, b))
 
 
 def augment_sudoku(df: DataFrame, n: int, seed: int, key: str, train_col: str = "is_train") -> DataFrame:
-    """A3: the original (aug 0) plus n shuffles for train boards; test boards only the original."""
+    """A3: the original (aug 0) plus n shuffles for train boards; test boards only the original.
+    Board and solution share one draw of the parameters (bound once per row)."""
     e = df.withColumn("aug_idx", F.explode(F.when(F.col(train_col), F.sequence(F.lit(0), F.lit(n)))
                                           .otherwise(F.array(F.lit(0)))))
     k, a = F.col(key), F.col("aug_idx")
-    q = F.when(a == 0, F.col("q_cells")).otherwise(sudoku_shuffle(F.col("q_cells"), seed, k, a))
-    s = F.when(a == 0, F.col("a_cells")).otherwise(sudoku_shuffle(F.col("a_cells"), seed, k, a))
-    return e.withColumn("q_cells", q).withColumn("a_cells", s)
+    both = let(shuffle_params(seed, k, a), lambda b: let(source_index(b), lambda src: F.struct(
+        apply_mapping(F.col("q_cells"), src, b["dm"]).alias("q"), apply_mapping(F.col("a_cells"), src, b["dm"]).alias("a"))))
+    e = e.withColumn("_s", F.when(a == 0, F.struct(F.col("q_cells").alias("q"), F.col("a_cells").alias("a")))
+                     .otherwise(both))
+    return e.withColumn("q_cells", F.col("_s.q")).withColumn("a_cells", F.col("_s.a")).drop("_s")
 
 
 def augment_maze(df: DataFrame, side: int, charset: str, do_aug: bool = True) -> DataFrame:

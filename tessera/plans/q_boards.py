@@ -16,10 +16,12 @@ N_SHUFFLE, MIN_RATING = 4, 3
 
 SUDOKU_SQL = f"""
 rel AS (SELECT o_orderkey, {X.random_perm(9, SEED, "'relabel'", 'o_orderkey')} AS p FROM orders),
-sol AS (SELECT o_orderkey, list_transform(range(81), lambda i: p[(3 * ((i // 9) % 3) + i // 27 + i % 9) % 9 + 1] + 1) AS a FROM rel),
+sol AS (SELECT o_orderkey, list_transform(range(81), lambda i: p[(3 * ((i // 9) % 3) + i // 27 + i % 9) % 9 + 1] + 1) AS a,
+               {X.digest(SEED, "'blank'", 'o_orderkey', '0')} || {X.digest(SEED, "'blank'", 'o_orderkey', '1')} || {X.digest(SEED, "'blank'", 'o_orderkey', '2')} AS m
+        FROM rel),
 sudoku AS (
   SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS source, o_orderkey,
-         array_to_string(list_transform(a, lambda x, i: CASE WHEN {X.h(SEED, "'blank'", 'o_orderkey', 'i - 1')} % 2 = 0
+         array_to_string(list_transform(a, lambda x, i: CASE WHEN instr('02468ace', substr(m, i, 1)) > 0
                                                      THEN '.' ELSE CAST(x AS VARCHAR) END), '') AS q,
          array_to_string(a, '') AS a, CAST(o_orderkey % 10 AS INTEGER) AS rating
   FROM sol)"""

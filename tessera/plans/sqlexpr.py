@@ -27,7 +27,16 @@ def h(seed, *keys) -> str:
     return f"CAST(('0x' || substr(md5(concat_ws(':', {parts})), 1, 8)) AS BIGINT)"
 
 
+def digest(seed, *keys) -> str:
+    parts = ", ".join([str(seed)] + [f"CAST({k} AS VARCHAR)" for k in keys])
+    return f"md5(concat_ws(':', {parts}))"
+
+
 def random_perm(n, seed, *keys) -> str:
+    if isinstance(n, int) and n <= 10:
+        return let(digest(seed, *keys), lambda d: (
+            f"list_transform(list_sort(list_transform(range({n}), lambda i: "
+            f"{{'k': substr({d}, CAST(i * 3 + 1 AS INTEGER), 3), 'i': i}})), lambda s: s.i)"))
     return (f"list_transform(list_sort(list_transform(range({n}), lambda i: "
             f"{{'k': {h(seed, *keys, 'i')}, 'i': i}})), lambda s: s.i)")
 
