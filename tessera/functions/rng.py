@@ -58,6 +58,12 @@ def random_perm(n, seed, *keys) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: s["i"])
 
 
+def perm_from_hex(d: Column, offset: int, n: int, width: int = 3) -> Column:
+    """Permutation of 0..n-1 sorted on fixed-width hex slices of a digest (ties by index)."""
+    return F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(
+        F.substring(d, i * width + offset + 1, width).alias("k"), i.alias("i")))), lambda s: s["i"])
+
+
 def colour_perm(seed, *keys) -> Column:
     """Colour map for grids: 0 stays 0, 1..9 are permuted."""
     return F.concat(F.array(F.lit(0)), F.transform(random_perm(9, seed, *keys), lambda x: x + 1))

@@ -20,19 +20,31 @@ def parse_sudoku(df: DataFrame, min_difficulty: int | None = None) -> DataFrame:
     return df.withColumn("q_cells", digits(F.col("q"))).withColumn("a_cells", digits(F.col("a")))
 
 
-def _band_perm(seed, key, aug, tag: str) -> Column:
-    """9 row (or column) indices: permuted bands, rows permuted inside each band."""
-    bands = random_perm(3, seed, tag, key, aug)
+def _band_order(d: Column, offset: int) -> Column:
+    """9 indices: 3 permuted bands (hex offset..+9), rows permuted inside each band (next 27)."""
+    from tessera.functions.rng import perm_from_hex
+    bands = perm_from_hex(d, offset, 3)
     return let(bands, lambda b: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda bi: F.transform(
-        random_perm(3, seed, tag + "_in", key, aug, bi), lambda r: F.element_at(b, bi + 1) * 3 + r))))  # noqa: E501
+        _inner(d, offset, bi), lambda r: F.element_at(b, bi + 1) * 3 + r))))
+
+
+def _inner(d: Column, offset: int, bi: Column) -> Column:
+    return F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(
+        F.substring(d, offset + 9 + bi * 9 + i * 3 + 1, 3).alias("k"), i.alias("i")))), lambda s: s["i"])
 
 
 def shuffle_params(seed, key, aug) -> Column:
-    """One draw of G11's parameters: digit map, transpose flag, row and column orders."""
-    return F.struct(colour_perm(seed, "digit", key, aug).alias("dm"),
-                    (h(seed, "transpose", key, aug) % 2 == 1).alias("t"),
-                    _band_perm(seed, key, aug, "band").alias("rows"),
-                    _band_perm(seed, key, aug, "stack").alias("cols"))
+    """One draw of G11's parameters from two SHA-256 digests (128 hex digits):
+    digit map hex 0-26, transpose hex 27, row order hex 28-63, column order hex 64-99."""
+    from tessera.functions.rng import perm_from_hex
+
+    def body(d):
+        dm = F.concat(F.array(F.lit(0)), F.transform(perm_from_hex(d, 0, 9), lambda x: x + 1))
+        t = F.instr(F.lit("13579bdf"), F.substring(d, 28, 1)) > 0
+        return F.struct(dm.alias("dm"), t.alias("t"), _band_order(d, 28).alias("rows"), _band_order(d, 64).alias("cols"))
+    text = F.concat_ws(":", F.lit(seed).cast("string"), F.lit("shuffle"), F.col(key) if isinstance(key, str) else key.cast("string"),
+                       aug.cast("string"))
+    return let(F.concat(F.sha2(F.concat(text, F.lit(":0")), 256), F.sha2(F.concat(text, F.lit(":1")), 256)), body)
 
 
 def source_index(b: Column) -> Column:
