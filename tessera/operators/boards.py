@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,3 +94,70 @@ def augment_maze(df: DataFrame, side: int, charset: str, do_aug: bool = True) ->
     d = d.withColumn("aug_idx", F.explode(tids))
     return d.withColumn("inputs", F.flatten(G.dihedral(F.col("_qg"), F.col("aug_idx")))) \
             .withColumn("labels", F.flatten(G.dihedral(F.col("_ag"), F.col("aug_idx")))).drop("_qg", "_ag")
+
+
+# ---------------------------------------------------------------------------
+# Vectorised G11: the same draws as shuffle_params/apply_shuffle, applied to
+# whole Arrow batches with NumPy (the Column version interprets ~1000 lambda
+# steps per board). Spark still partitions the rows; this is a per-batch helper.
+_HEX = np.frombuffer(b"0123456789abcdef", dtype=np.uint8)
+
+
+def _hex_keys(d: np.ndarray, start: int, n: int, width: int = 3) -> np.ndarray:
+    """(rows, n) sort keys from fixed-width hex slices starting at ``start``."""
+    cols = [d[:, start + i * width: start + (i + 1) * width] for i in range(n)]
+    out = np.zeros((d.shape[0], n), dtype=np.int64)
+    for i, c in enumerate(cols):
+        v = np.zeros(d.shape[0], dtype=np.int64)
+        for j in range(width):
+            v = v * 16 + c[:, j]
+        out[:, i] = v
+    return out
+
+
+def _perm(keys: np.ndarray) -> np.ndarray:
+    return np.argsort(keys, axis=1, kind="stable")  # ties keep index order, as the sort on (key, i)
+
+
+def _band_order_np(d: np.ndarray, offset: int) -> np.ndarray:
+    bands = _perm(_hex_keys(d, offset, 3))
+    parts = []
+    for bi in range(3):
+        inner = _perm(_hex_keys(d, offset + 9 + bi * 9, 3))
+        parts.append(bands[:, bi:bi + 1] * 3 + inner)
+    return np.concatenate(parts, axis=1)
+
+
+def shuffle_batch(digests: pd.Series, q: pd.Series, a: pd.Series) -> pd.DataFrame:
+    """G11 for a batch: digests are the 128-hex parameter digests of shuffle_params."""
+    raw = np.frombuffer("".join(digests.tolist()).encode(), dtype=np.uint8).reshape(len(digests), 128)
+    d = np.searchsorted(_HEX, raw)
+    dm = np.concatenate([np.zeros((len(d), 1), dtype=np.int64), _perm(_hex_keys(d, 0, 9)) + 1], axis=1)
+    t = (d[:, 27] % 2) == 1
+    rows, cols = _band_order_np(d, 28), _band_order_np(d, 64)
+    i = np.arange(81)
+    k = rows[:, i // 9] * 9 + cols[:, i % 9]
+    k = np.where(t[:, None], (k % 9) * 9 + k // 9, k)
+    qa = np.stack(q.to_numpy()).astype(np.int64)
+    aa = np.stack(a.to_numpy()).astype(np.int64)
+    qn = np.take_along_axis(dm, np.take_along_axis(qa, k, axis=1), axis=1)
+    an = np.take_along_axis(dm, np.take_along_axis(aa, k, axis=1), axis=1)
+    return pd.DataFrame({"q": list(qn.astype(np.int32)), "a": list(an.astype(np.int32))})
+
+
+def shuffle_digest(seed, key: Column, aug: Column) -> Column:
+    text = F.concat_ws(":", F.lit(seed).cast("string"), F.lit("shuffle"), key.cast("string"), aug.cast("string"))
+    return F.concat(F.sha2(F.concat(text, F.lit(":0")), 256), F.sha2(F.concat(text, F.lit(":1")), 256))
+
+
+def augment_sudoku_vectorised(df: DataFrame, n: int, seed: int, key: str, train_col: str = "is_train") -> DataFrame:
+    """A3 with the vectorised G11 (same output as augment_sudoku)."""
+    from pyspark.sql.functions import pandas_udf
+    udf = pandas_udf(shuffle_batch, "struct<q:array<int>,a:array<int>>")
+    e = df.withColumn("aug_idx", F.explode(F.when(F.col(train_col), F.sequence(F.lit(0), F.lit(n)))
+                                          .otherwise(F.array(F.lit(0)))))
+    orig = e.filter(F.col("aug_idx") == 0)
+    aug = e.filter(F.col("aug_idx") > 0)
+    s = udf(shuffle_digest(seed, F.col(key), F.col("aug_idx")), F.col("q_cells"), F.col("a_cells"))
+    aug = aug.withColumn("_s", s).withColumn("q_cells", F.col("_s.q")).withColumn("a_cells", F.col("_s.a")).drop("_s")
+    return orig.unionByName(aug)

@@ -65,7 +65,7 @@ def sudoku_augment(spark, sf_dir):
     s = BD.parse_sudoku(FX.sudoku_rows(spark, sf_dir), MIN_RATING)
     s = s.withColumn("o_orderkey", F.substring("source", 2, 20).cast("long")) \
          .withColumn("is_train", h(SEED, "split", F.col("o_orderkey")) % 10 < 8)
-    a = BD.augment_sudoku(s, N_SHUFFLE, SEED, "o_orderkey")
+    a = BD.augment_sudoku_vectorised(s, N_SHUFFLE, SEED, "o_orderkey")
     return a.select("source", "aug_idx", F.array_join(G.digits_to_ids(F.col("q_cells"), 1), ",").alias("inputs"),
                     F.array_join(G.digits_to_ids(F.col("a_cells"), 1), ",").alias("labels"))
 

@@ -72,3 +72,14 @@ def test_augment_shortage_for_one_colour(spark):
                                "puzzle_id int, input array<array<int>>, output array<array<int>>")
     group, short = augment_puzzles(df, 4, 42)
     assert group.count() == 1 and short.collect()[0]["n_aug"] == 0
+
+
+def test_sudoku_vectorised_equals_columns(spark, sf_dir):
+    from tessera.functions.rng import h
+    from tessera.operators import boards as BD
+    from tessera.plans import fixtures as FX
+    s = BD.parse_sudoku(FX.sudoku_rows(spark, sf_dir)).withColumn("k", F.substring("source", 2, 20).cast("long")) \
+        .withColumn("is_train", h(1, F.col("k")) % 2 == 0)
+    a = BD.augment_sudoku(s, 3, 9, "k").select("k", "aug_idx", "q_cells", "a_cells")
+    b = BD.augment_sudoku_vectorised(s, 3, 9, "k").select("k", "aug_idx", "q_cells", "a_cells")
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
