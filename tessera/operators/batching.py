@@ -51,15 +51,19 @@ def _chain_from_zero(nxt: DataFrame, max_steps: int) -> DataFrame:
     After round k the reached set holds next^i(0) for all i < 2^k; rounds stop
     once 2^k exceeds ``max_steps`` or the set stops growing.
     """
-    # Each round refers to the previous tables twice, so both are cut with a
-    # reliable checkpoint every round (the plan would double otherwise).
+    # The jump table refers to itself twice per round, so it is cut with a
+    # reliable checkpoint every round (its plan would double otherwise). The
+    # reached set refers to its predecessor once (join, then both endpoints),
+    # so its lineage grows by one join per round and a persist is enough.
     jump = materialise(nxt)
-    reached = materialise(jump.sparkSession.createDataFrame([(0,)], "src long"))
+    reached = jump.sparkSession.createDataFrame([(0,)], "src long")
     span, size = 1, 1
+    held = []
     while span <= max_steps:
-        step = reached.join(jump, "src").select(F.col("t").alias("src"))
-        reached = materialise(reached.unionByName(step).distinct())
-        new_size = reached.count()
+        nxt_reached = reached.join(jump, "src").select(F.explode(F.array("src", "t")).alias("src")).distinct().persist()
+        held.append(nxt_reached)
+        new_size = nxt_reached.count()
+        reached = nxt_reached
         if new_size == size:
             break
         size = new_size
@@ -67,7 +71,10 @@ def _chain_from_zero(nxt: DataFrame, max_steps: int) -> DataFrame:
             .select(F.col("a.src").alias("src"), F.col("b.t").alias("t"))
         jump = materialise(j2)
         span *= 2
-    return reached
+    out = materialise(reached)
+    for h_ in held:
+        h_.unpersist()
+    return out
 
 
 def pack_batches(order_sizes: DataFrame, batch_size: int, drop_last: bool = True) -> DataFrame:

@@ -64,7 +64,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialise(df):
+def materialise(df, cache: bool = False):
     """Cut lineage with a reliable checkpoint (never a local one).
 
     Used where later steps must see exactly the same rows twice (dense ids,
@@ -72,4 +72,12 @@ def materialise(df):
     shared checkpoint folder.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if not cache:
+        return df.checkpoint(eager=True)
+    # A reliable checkpoint runs the plan once to count and once more to write
+    # the files; for an expensive plan, cache the rows for the duration.
+    df = df.persist()
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
