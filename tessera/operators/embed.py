@@ -45,8 +45,7 @@ def reset_to_mean(table: DataFrame, n_rows, vec_col: str = "embedding", id_col:
     per_pos = table.select(F.posexplode(vec_col).alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("m"))
     mean = per_pos.agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("_v")) \
         .select(F.transform("_v", lambda s: s["m"]).alias(vec_col))
-    if isinstance(n_rows, int):
-        ids = spark.range(n_rows).withColumnRenamed("id", id_col)
-    else:
-        ids = n_rows.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias(id_col))
+    if not isinstance(n_rows, int):
+        n_rows = int(n_rows.collect()[0]["n"] or 0)  # one number
+    ids = spark.range(n_rows).withColumnRenamed("id", id_col)  # generated across tasks
     return ids.crossJoin(F.broadcast(mean))  # one-row side

@@ -162,6 +162,9 @@ def logic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One logic puzzle per order with 2-6 lines: header [House, Name, Part],
     rows [linenumber, 'S'+suppkey, partkey] in line order, size 'rows*3'."""
     l = table(spark, sf_dir, "lineitem").select(*LINE_ORDER)
+    # count first, collect only orders of 2-6 lines (a hot order is never gathered)
+    sizes = l.groupBy("l_orderkey").count().filter((F.col("count") >= 2) & (F.col("count") <= 6))
+    l = l.join(sizes.select("l_orderkey"), "l_orderkey", "left_semi")
     row = F.array(F.col("l_linenumber").cast("string"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")),
                   F.col("l_partkey").cast("string"))
     g = l.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in LINE_ORDER],

@@ -61,14 +61,11 @@ def dataset_roundtrip(spark, sf_dir):
 @register("identifiers_blank", ORACLES["identifier_map"] + """
 UNION ALL SELECT 0, '<blank>'""")
 def identifiers_blank(spark, sf_dir):
-    """D2 + K3 + S10: identifiers written as a JSON list (position = id, 0 = <blank>) and read back."""
+    """D2 + K3: identifiers with '<blank>' in every unused slot (here only 0), written and read back."""
     from tessera.plans.q_ids import identifier_map
-    ids = K.identifiers_with_blank(identifier_map(spark, sf_dir))
     path = scratch_path(spark, "ids")
-    # the list is written in id order: one row per id, then a sorted collect to one JSON array
-    ids.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("puzzle_identifier", "puzzle_name"))),
-                                  lambda s: s["puzzle_name"])).alias("value")).write.text(path)
-    return S.read_identifiers(spark, path)
+    K.write_identifiers(identifier_map(spark, sf_dir), path)
+    return spark.read.parquet(path)
 
 
 @register("submission_json")

@@ -16,6 +16,8 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.driver.memory": "8g",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files are removed once their DataFrame is garbage collected
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Small dimensions (vocabularies, category maps, per-partition offsets)
     # are broadcast explicitly after a size check; keep the automatic
     # threshold at Spark's default so big sides never broadcast by accident.
