@@ -124,3 +124,9 @@ def _vote_evaluator(predictions: DataFrame, identifiers: DataFrame = None, puzzl
     decoded = V.decode_predictions(predictions, identifiers)
     r = V.pass_at_k(V.vote_table(decoded, with_grid=False), V.truth_table(puzzles))
     return r.select(F.concat(F.lit("pass@"), F.col("k").cast("string")).alias("metric"), F.col("pass_at_k").alias("value"))
+
+
+def select_outputs(outputs: DataFrame, return_keys: list[str]) -> DataFrame:
+    """Keep only the requested output columns that exist (Catalyst prunes the rest
+    back to the scan)."""
+    return outputs.select(*[k for k in return_keys if k in outputs.columns])

@@ -163,3 +163,15 @@ def test_bpe_hand_example(spark):
     df = spark.createDataFrame([("aaab aaab ab",), ("ab ab aab",)], "text string")
     got = [tuple(r) for r in train_bpe(df, 3, min_freq=2).collect()]
     assert got == [(0, "a", "b", 6), (1, "a", "ab", 3), (2, "a", "aab", 2)]
+
+
+def test_render_select_and_range(spark):
+    from tessera.functions.text import render_solution
+    from tessera.operators.expect import grid_cells_in_range
+    from tessera.operators.metrics import select_outputs
+    df = spark.createDataFrame([((["H"], [["1"]]),), ((["H"], []),)],
+                               "s struct<header:array<string>,rows:array<array<string>>>")
+    assert [r[0] for r in df.select(render_solution(F.col("s"))).collect()] == ['{"header":["H"],"rows":[["1"]]}', "<EMPTY>"]
+    assert select_outputs(df.withColumn("x", F.lit(1)), ["x", "missing"]).columns == ["x"]
+    g = spark.createDataFrame([([[1, 9]],), ([[1, 10]],)], "g array<array<int>>")
+    assert [r[0] for r in g.select(grid_cells_in_range(F.col("g"))).collect()] == [True, False]
