@@ -77,7 +77,58 @@ def _chain_from_zero(nxt: DataFrame, max_steps: int) -> DataFrame:
     return out
 
 
-def pack_batches(order_sizes: DataFrame, batch_size: int, drop_last: bool = True) -> DataFrame:
+def _block_exits(block_len: int, n_total: int):
+    def fn(pdf):
+        import numpy as np
+        import pandas as pd
+        pdf = pdf.sort_values("src")
+        src, t = pdf["src"].to_numpy(), pdf["t"].to_numpy()
+        end = (src[0] // block_len + 1) * block_len
+        pos = {int(v): i for i, v in enumerate(src)}
+        x = np.empty_like(t)
+        for i in range(len(src) - 1, -1, -1):   # reverse scan: next(s) > s
+            nt = int(t[i])
+            x[i] = nt if (nt >= end or nt >= n_total or nt == src[i]) else x[pos[nt]]
+        return pd.DataFrame({"src": src, "x": x})
+    return fn
+
+
+def _block_walk(block_len: int, n_total: int):
+    def fn(pdf):
+        import pandas as pd
+        entry = pdf["entry"].iloc[0]
+        pdf = pdf.sort_values("src")
+        nxt = dict(zip(pdf["src"].tolist(), pdf["t"].tolist()))
+        end = (int(pdf["src"].iloc[0]) // block_len + 1) * block_len
+        out, s = [], int(entry)
+        while s < end and s < n_total:
+            out.append(s)
+            s = int(nxt[s])
+        return pd.DataFrame({"src": out}, dtype="int64")
+    return fn
+
+
+def _chain_by_blocks(nxt: DataFrame, n_total: int, block_len: int) -> DataFrame:
+    """Chain of batch starts from 0, exactly, in bounded pieces.
+
+    Positions are cut into range blocks of ``block_len`` (one pandas group each,
+    bounded by construction). Per block, a reverse scan gives every node's
+    exit: the first chain node at or after the next block. Pointer doubling over
+    exits then finds each block's entry in log(#blocks) rounds, and a second
+    per-block pass walks the chain from that entry.
+    """
+    spark = nxt.sparkSession
+    body = nxt.filter(F.col("src") < n_total).withColumn("_blk", F.floor(F.col("src") / block_len))
+    exits = body.groupBy("_blk").applyInPandas(_block_exits(block_len, n_total), "src long, x long")
+    exits = exits.unionByName(spark.createDataFrame([(n_total, n_total)], "src long, x long"))
+    entries = _chain_from_zero(exits.withColumnRenamed("x", "t"), n_total // block_len + 2)
+    entries = entries.filter(F.col("src") < n_total).withColumn("_blk", F.floor(F.col("src") / block_len))
+    walk_in = body.join(F.broadcast(entries.withColumnRenamed("src", "entry")), "_blk")  # one row per block
+    return materialise(walk_in.groupBy("_blk").applyInPandas(_block_walk(block_len, n_total), "src long"))
+
+
+def pack_batches(order_sizes: DataFrame, batch_size: int, drop_last: bool = True,
+                 block: int | None = None) -> DataFrame:
     """B2 + B3: greedy packing with truncation.
 
     ``order_sizes``: (order, size) with dense order 0..N-1 and size >= 1.
@@ -99,7 +150,7 @@ def pack_batches(order_sizes: DataFrame, batch_size: int, drop_last: bool = True
     nxt = targets.join(found.select("src", "p"), "src", "left") \
         .select("src", F.coalesce(F.col("p") + 1, F.lit(n_total)).cast("long").alias("t"))
     nxt = nxt.unionByName(spark.createDataFrame([(n_total, n_total)], "src long, t long"))
-    starts = _chain_from_zero(nxt, total // batch_size + 2).filter(F.col("src") < n_total)
+    starts = _chain_by_blocks(nxt, n_total, block or max(batch_size * 128, 4096)).filter(F.col("src") < n_total)
     starts = dense_id(starts, ["src"], name="batch_id")
     bounds = starts.join(nxt, "src").join(ps.select(F.col("order").alias("src"), F.col("run_lo").alias("base_lo")), "src")
     bounds = bounds.withColumn("full", F.col("t") <= n_total)

@@ -83,3 +83,13 @@ def test_sudoku_vectorised_equals_columns(spark, sf_dir):
     a = BD.augment_sudoku(s, 3, 9, "k").select("k", "aug_idx", "q_cells", "a_cells")
     b = BD.augment_sudoku_vectorised(s, 3, 9, "k").select("k", "aug_idx", "q_cells", "a_cells")
     assert a.count() == b.count() and a.exceptAll(b).count() == 0
+
+
+def test_packing_blocks_agree(spark):
+    from tessera.operators.batching import pack_batches
+    rnd = random.Random(5)
+    df = spark.createDataFrame([(i, rnd.randint(1, 12)) for i in range(300)], "order long, size long")
+    one = pack_batches(df, 16)
+    for blk in (7, 50):
+        many = pack_batches(df, 16, block=blk)
+        assert many.count() == one.count() and one.exceptAll(many).count() == 0
