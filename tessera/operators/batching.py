@@ -108,7 +108,7 @@ def _block_walk(block_len: int, n_total: int):
     return fn
 
 
-def _chain_by_blocks(nxt: DataFrame, n_total: int, block_len: int) -> DataFrame:
+def _chain_by_blocks(nxt: DataFrame, n_total: int, block_len: int, max_span: int | None = None) -> DataFrame:
     """Chain of batch starts from 0, exactly, in bounded pieces.
 
     Positions are cut into range blocks of ``block_len`` (one pandas group each,
@@ -120,6 +120,10 @@ def _chain_by_blocks(nxt: DataFrame, n_total: int, block_len: int) -> DataFrame:
     spark = nxt.sparkSession
     body = nxt.filter(F.col("src") < n_total).withColumn("_blk", F.floor(F.col("src") / block_len))
     exits = body.groupBy("_blk").applyInPandas(_block_exits(block_len, n_total), "src long, x long")
+    if max_span is not None and max_span < block_len:
+        # a batch covers at most max_span positions, so a block is entered within
+        # its first max_span positions: only those nodes take part in the doubling
+        exits = exits.filter(F.pmod(F.col("src"), F.lit(block_len)) < max_span)
     exits = exits.unionByName(spark.createDataFrame([(n_total, n_total)], "src long, x long"))
     entries = _chain_from_zero(exits.withColumnRenamed("x", "t"), n_total // block_len + 2)
     entries = entries.filter(F.col("src") < n_total).withColumn("_blk", F.floor(F.col("src") / block_len))
@@ -150,7 +154,8 @@ def pack_batches(order_sizes: DataFrame, batch_size: int, drop_last: bool = True
     nxt = targets.join(found.select("src", "p"), "src", "left") \
         .select("src", F.coalesce(F.col("p") + 1, F.lit(n_total)).cast("long").alias("t"))
     nxt = nxt.unionByName(spark.createDataFrame([(n_total, n_total)], "src long, t long"))
-    starts = _chain_by_blocks(nxt, n_total, block or max(batch_size * 128, 4096)).filter(F.col("src") < n_total)
+    starts = _chain_by_blocks(nxt, n_total, block or max(batch_size * 128, 4096), max_span=batch_size) \
+        .filter(F.col("src") < n_total)
     starts = dense_id(starts, ["src"], name="batch_id")
     bounds = starts.join(nxt, "src").join(ps.select(F.col("order").alias("src"), F.col("run_lo").alias("base_lo")), "src")
     bounds = bounds.withColumn("full", F.col("t") <= n_total)
