@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.util import as_col, idx_seq, let
+from tessera.functions.util import as_col, idx_seq, let, memo_columns
 
 # Fixed values that must equal the source corpus format.
 MAX_GRID = 30                        # grids are at most 30 x 30
@@ -56,6 +56,7 @@ def dihedral_static(g: Column, tid: int) -> Column:
     raise ValueError(tid)
 
 
+@memo_columns
 def dihedral(g: Column, tid) -> Column:
     """G1: the 8 symmetries; ``tid`` may be a Column (only its branch runs per row)."""
     if isinstance(tid, int):
@@ -80,22 +81,26 @@ def inverse_dihedral(g: Column, tid) -> Column:
     return dihedral(g, inverse_tid(tid))
 
 
+@memo_columns
 def recolour(g: Column, perm: Column) -> Column:
     """Cell -> perm[cell]."""
     return let(perm, lambda pp: F.transform(g, lambda r: F.transform(r, lambda x: F.element_at(pp, x + 1))))
 
 
+@memo_columns
 def inverse_perm(perm: Column) -> Column:
     """Position of each digit in the permutation."""
     return let(perm, lambda pp: F.transform(F.sequence(F.lit(0), F.lit(9)),
                                             lambda d: (F.array_position(pp, d) - 1).cast("int")))
 
 
+@memo_columns
 def augment(g: Column, tid, perm: Column) -> Column:
     """Forward augmentation: recolour, then the dihedral transform."""
     return dihedral(recolour(g, perm), tid)
 
 
+@memo_columns
 def unaugment(g: Column, tid, perm: Column) -> Column:
     """Inverse dihedral, then inverse recolour."""
     return recolour(inverse_dihedral(g, tid), inverse_perm(perm))
@@ -126,6 +131,7 @@ def _hex2(x: Column) -> Column:
     return F.lpad(F.hex(x), 2, "0")
 
 
+@memo_columns
 def grid_hash(g: Column) -> Column:
     """SHA-256 over the bytes (h, w, cells row-major), hex."""
     def body(gg):
@@ -140,6 +146,7 @@ def grid_hash(g: Column) -> Column:
     return let(g, body)
 
 
+@memo_columns
 def serialise(g: Column, pad_r=0, pad_c=0) -> Column:
     """30x30 token image of one grid, flattened to 900 tokens.
 
@@ -195,6 +202,7 @@ def _row_runs(s: Column) -> Column:
     return F.when(in_vocab, F.transform(rows, fast_run)).otherwise(F.transform(rows, slow_run))
 
 
+@memo_columns
 def crop(seq: Column) -> Column:
     """Largest top-left rectangle of colour tokens (2..11), minus 2.
 

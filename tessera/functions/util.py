@@ -27,3 +27,29 @@ def let(value, fn) -> Column:
     element; binding an input first keeps every builder linear in its input.
     """
     return F.element_at(F.transform(F.array(as_col(value)), fn), 1)
+
+
+def memo_columns(fn):
+    """Reuse a built expression when a builder is called again with the same inputs.
+
+    Column objects are immutable, unresolved expressions; their text identifies
+    them (lambda variables carry unique generated names), so the text of the
+    arguments is a safe cache key. Building a large higher-order expression
+    costs many Python-to-JVM calls; this keeps it to once per process.
+    """
+    import functools
+    cache: dict = {}
+
+    @functools.wraps(fn)
+    def wrapper(*args):
+        try:
+            key = tuple(("c", str(a)) if isinstance(a, Column) else ("v", repr(a)) for a in args)
+        except Exception:  # noqa: BLE001 - unusual argument: build without the cache
+            return fn(*args)
+        hit = cache.get(key)
+        if hit is None:
+            if len(cache) > 512:
+                cache.clear()
+            hit = cache[key] = fn(*args)
+        return hit
+    return wrapper
