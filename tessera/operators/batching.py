@@ -127,7 +127,9 @@ def _chain_by_blocks(nxt: DataFrame, n_total: int, block_len: int, max_span: int
     exits = exits.unionByName(spark.createDataFrame([(n_total, n_total)], "src long, x long"))
     entries = _chain_from_zero(exits.withColumnRenamed("x", "t"), n_total // block_len + 2)
     entries = entries.filter(F.col("src") < n_total).withColumn("_blk", F.floor(F.col("src") / block_len))
-    walk_in = body.join(F.broadcast(entries.withColumnRenamed("src", "entry")), "_blk")  # one row per block
+    # one entry row per block: #blocks grows with the data, so no broadcast hint
+    # (AQE turns it into a broadcast at run time when it is small)
+    walk_in = body.join(entries.withColumnRenamed("src", "entry"), "_blk")
     return materialise(walk_in.groupBy("_blk").applyInPandas(_block_walk(block_len, n_total), "src long"))
 
 
