@@ -84,12 +84,19 @@ def pass_at_k(votes: DataFrame, truth: DataFrame, ks=PASS_KS) -> DataFrame:
     return per_puzzle.groupBy("k").agg(F.round(F.avg("frac"), 6).alias("pass_at_k"))
 
 
-def submission(votes: DataFrame, truth: DataFrame, k: int = 2) -> DataFrame:
+def submission(votes: DataFrame, truth: DataFrame, k: int = 2, decoded: DataFrame | None = None) -> DataFrame:
     """Per answered test pair, the top-K grids, padded by repeating the first.
 
-    Returns (name, ex_idx, attempt, pred_hash, grid) with attempt 1..K.
+    Returns (name, ex_idx, attempt, pred_hash, grid) with attempt 1..K. When the
+    vote table carries no grids, they are fetched from ``decoded`` for the top-K
+    hashes only (semi-join first, so the array-valued aggregate sees few rows).
     """
-    ranked = rank_votes(votes, top=k)
+    ranked = rank_votes(votes.drop("grid") if decoded is not None else votes, top=k)
+    if decoded is not None:
+        winners = ranked.select("pred_hash").distinct()
+        grids = decoded.select("pred_hash", "pred_grid").join(winners, "pred_hash", "left_semi") \
+            .groupBy("pred_hash").agg(F.any_value("pred_grid").alias("grid"))
+        ranked = ranked.join(grids, "pred_hash")
     pairs = truth.select("name", "ex_idx", "input_hash").join(ranked, ["name", "input_hash"])
     n = F.max("rank").over(Window.partitionBy("name", "ex_idx"))
     pairs = pairs.withColumn("n_ranked", n)

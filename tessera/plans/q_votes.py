@@ -12,10 +12,10 @@ from tessera.plans.sqlfixtures import DECODED, GRIDS, PLAN, PREDICTIONS, with_ct
 _CTES = with_ctes(GRIDS, PLAN, PREDICTIONS, DECODED)
 
 
-def _votes(spark, sf_dir):
+def _votes(spark, sf_dir, with_grid=False):
     preds, identifiers, puzzles = FX.grid_predictions(spark, sf_dir)
     decoded = V.decode_predictions(preds, identifiers)
-    return V.vote_table(decoded), V.truth_table(puzzles), decoded
+    return V.vote_table(decoded, with_grid=with_grid), V.truth_table(puzzles), decoded
 
 
 @register("vote_pass_at_k", _CTES + """,
@@ -37,7 +37,7 @@ def vote_pass_at_k(spark, sf_dir):
 SELECT name, input_hash, pred_hash, votes, round(mean_q, 6) AS mean_q, to_json(grid)::VARCHAR AS grid_json
 FROM votes""")
 def vote_table(spark, sf_dir):
-    votes, _, _ = _votes(spark, sf_dir)
+    votes, _, _ = _votes(spark, sf_dir, with_grid=True)
     return votes.select("name", "input_hash", "pred_hash", "votes", F.round("mean_q", 6).alias("mean_q"),
                         F.to_json("grid").alias("grid_json"))
 
@@ -46,7 +46,7 @@ def vote_table(spark, sf_dir):
 SELECT name, input_hash, pred_hash, votes, round(mean_q, 6) AS mean_q, rank FROM ranked WHERE rank <= 3""")
 def vote_rank_topk(spark, sf_dir):
     votes, _, _ = _votes(spark, sf_dir)
-    r = V.rank_votes(votes.drop("grid"), top=3)
+    r = V.rank_votes(votes, top=3)
     return r.select("name", "input_hash", "pred_hash", "votes", F.round("mean_q", 6).alias("mean_q"), "rank")
 
 
@@ -59,8 +59,8 @@ slots AS (SELECT top.*, a.attempt FROM top, (SELECT unnest([1, 2]) AS attempt) a
 SELECT name, ex_idx, attempt, pred_hash, to_json(grid)::VARCHAR AS grid_json FROM slots
 WHERE rank = attempt OR (attempt > n_ranked AND rank = 1)""")
 def submission(spark, sf_dir):
-    votes, truth, _ = _votes(spark, sf_dir)
-    s = V.submission(votes, truth, k=2)
+    votes, truth, decoded = _votes(spark, sf_dir)
+    s = V.submission(votes, truth, k=2, decoded=decoded)
     return s.select("name", "ex_idx", "attempt", "pred_hash", F.to_json("grid").alias("grid_json"))
 
 
