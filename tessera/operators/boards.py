@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import grid as G
-from tessera.functions.rng import colour_perm, h, random_perm
+
 from tessera.functions.util import let
 
 
