@@ -90,6 +90,8 @@ def submission(votes: DataFrame, truth: DataFrame, k: int = 2, decoded: DataFram
     Returns (name, ex_idx, attempt, pred_hash, grid) with attempt 1..K. When the
     vote table carries no grids, they are fetched from ``decoded`` for the top-K
     hashes only (semi-join first, so the array-valued aggregate sees few rows).
+    That avoids a sort-based aggregate over every prediction, but recomputes
+    ``decoded`` unless it is stored: use it when decoded predictions are a table.
     """
     ranked = rank_votes(votes.drop("grid") if decoded is not None else votes, top=k)
     if decoded is not None:

@@ -72,6 +72,5 @@ def identifiers_blank(spark, sf_dir):
 def submission_json(spark, sf_dir):
     """E10 + K6: per-puzzle submission documents {attempt_1, attempt_2} per answered pair."""
     preds, identifiers, puzzles = FX.grid_predictions(spark, sf_dir)
-    decoded = V.decode_predictions(preds, identifiers)
-    votes = V.vote_table(decoded, with_grid=False)
-    return V.submission_json(V.submission(votes, V.truth_table(puzzles), 2, decoded=decoded))
+    votes = V.vote_table(V.decode_predictions(preds, identifiers), with_grid=True)
+    return V.submission_json(V.submission(votes, V.truth_table(puzzles), 2))

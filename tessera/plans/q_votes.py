@@ -59,8 +59,8 @@ slots AS (SELECT top.*, a.attempt FROM top, (SELECT unnest([1, 2]) AS attempt) a
 SELECT name, ex_idx, attempt, pred_hash, to_json(grid)::VARCHAR AS grid_json FROM slots
 WHERE rank = attempt OR (attempt > n_ranked AND rank = 1)""")
 def submission(spark, sf_dir):
-    votes, truth, decoded = _votes(spark, sf_dir)
-    s = V.submission(votes, truth, k=2, decoded=decoded)
+    votes, truth, _ = _votes(spark, sf_dir, with_grid=True)
+    s = V.submission(votes, truth, k=2)
     return s.select("name", "ex_idx", "attempt", "pred_hash", F.to_json("grid").alias("grid_json"))
 
 
