@@ -179,12 +179,21 @@ def serialise(g: Column, pad_r=0, pad_c=0) -> Column:
 
 
 def _row_runs(s: Column) -> Column:
-    """Leading run of colour tokens in each of the 30 rows.
+    """Leading run of colour tokens in each row that can still contribute.
 
-    When no token exceeds 11 (the serialised vocabulary, checked once per
-    sequence) the only stoppers are 0 and 1, found with native
-    array_position; other inputs take the general per-token test.
+    Once a row starts with a non-colour token every later column limit is 0,
+    so only the rows before the first such row are measured. When no token
+    exceeds 11 (the serialised vocabulary, checked once per sequence) the only
+    stoppers are 0 and 1, found with native array_position; other inputs take
+    the general per-token test.
     """
+    def bad(x):
+        return (x < DIGIT_OFFSET) | (x > DIGIT_OFFSET + 9)
+
+    first_col = F.transform(F.sequence(F.lit(0), F.lit(MAX_GRID - 1)), lambda r: F.element_at(s, r * MAX_GRID + 1))
+    stop = F.array_position(F.transform(first_col, bad), True).cast("int")
+    n_live = F.when(stop == 0, F.lit(MAX_GRID)).otherwise(stop - 1)
+
     def fast_run(r):
         row = F.slice(s, r * MAX_GRID + 1, MAX_GRID)
         p0 = F.array_position(row, PAD_ID).cast("int")
@@ -193,11 +202,10 @@ def _row_runs(s: Column) -> Column:
         return F.when(p == 0, F.lit(MAX_GRID)).otherwise(p - 1)
 
     def slow_run(r):
-        p = F.array_position(F.transform(F.slice(s, r * MAX_GRID + 1, MAX_GRID),
-                                         lambda x: (x < DIGIT_OFFSET) | (x > DIGIT_OFFSET + 9)), True).cast("int")
+        p = F.array_position(F.transform(F.slice(s, r * MAX_GRID + 1, MAX_GRID), bad), True).cast("int")
         return F.when(p == 0, F.lit(MAX_GRID)).otherwise(p - 1)
 
-    rows = F.sequence(F.lit(0), F.lit(MAX_GRID - 1))
+    rows = idx_seq(n_live)
     in_vocab = (F.array_max(s) <= DIGIT_OFFSET + 9) & (F.array_min(s) >= 0)
     return F.when(in_vocab, F.transform(rows, fast_run)).otherwise(F.transform(rows, slow_run))
 
@@ -219,11 +227,11 @@ def crop(seq: Column) -> Column:
             best = F.array_max(areas)
             n_rows = F.array_position(areas, best).cast("int")
             return let(F.struct(best.alias("best"), n_rows.alias("n_rows"),
-                                F.element_at(limits, F.greatest(n_rows, F.lit(1))).alias("n_cols")), with_best)
+                                F.get(limits, n_rows - 1).alias("n_cols")), with_best)
         return let(F.transform(limits, lambda c, i: c * (i + 1)), with_areas)
 
     def with_runs(s, runs):
-        limits = F.transform(F.sequence(F.lit(1), F.lit(MAX_GRID)), lambda r: F.array_min(F.slice(runs, 1, r)))
+        limits = F.transform(runs, lambda _, i: F.array_min(F.slice(runs, 1, i + 1)))
         return let(limits, lambda lim: with_limits(s, lim))
 
     return let(seq, lambda s: let(_row_runs(s), lambda runs: with_runs(s, runs)))
