@@ -190,14 +190,15 @@ def sudoku_rows(spark: SparkSession, sf_dir: str, seed: int = SEED) -> DataFrame
     o = table(spark, sf_dir, "orders").select("o_orderkey")
     key = F.col("o_orderkey")
     relabel = random_perm(9, seed, "relabel", key)
-    sol = let(relabel, lambda p: F.transform(F.sequence(F.lit(0), F.lit(80)), lambda i: F.element_at(
-        p, ((3 * (F.floor(i / 9) % 3) + F.floor(i / 27) + i % 9) % 9 + 1).cast("int")) + 1))
+    # base solution cell values 1..9 from the rule above, as one literal array
+    base = F.array(*[F.lit((3 * ((i // 9) % 3) + i // 27 + i % 9) % 9 + 1) for i in range(81)])
+    sol = let(relabel, lambda p: F.transform(base, lambda v: F.element_at(p, v) + 1))
     from tessera.functions.rng import digest
     # blank mask: cell i is blank when hex digit i of three digests is even
     mask = F.concat(digest(seed, "blank", key, 0), digest(seed, "blank", key, 1), digest(seed, "blank", key, 2))
-    o = o.select(key, sol.alias("_a"), mask.alias("_m"))
-    q = F.transform("_a", lambda x, i: F.when(F.instr(F.lit("02468ace"), F.substring(F.col("_m"), i + 1, 1)) > 0,
-                                              F.lit(".")).otherwise(x.cast("string")))
+    bits = F.split(F.translate(mask, "02468ace13579bdf", "1111111100000000"), "")
+    o = o.select(key, sol.alias("_a"), bits.alias("_m"))
+    q = F.zip_with("_a", F.slice("_m", 1, 81), lambda x, m: F.when(m == "1", F.lit(".")).otherwise(x.cast("string")))
     return o.select(F.concat(F.lit("o"), key.cast("string")).alias("source"),
                     F.array_join(q, "").alias("q"),
                     F.array_join(F.col("_a"), "").alias("a"),
