@@ -158,7 +158,8 @@ def pack_batches(order_sizes: DataFrame, batch_size: int, drop_last: bool = True
     nxt = nxt.unionByName(spark.createDataFrame([(n_total, n_total)], "src long, t long"))
     starts = _chain_by_blocks(nxt, n_total, block or max(batch_size * 128, 4096), max_span=batch_size) \
         .filter(F.col("src") < n_total)
-    starts = dense_id(starts, ["src"], name="batch_id")
+    # starts is checkpointed and src is unique: numbering it needs no second checkpoint
+    starts = dense_id(starts, ["src"], name="batch_id", stable=False)
     bounds = starts.join(nxt, "src").join(ps.select(F.col("order").alias("src"), F.col("run_lo").alias("base_lo")), "src")
     bounds = bounds.withColumn("full", F.col("t") <= n_total)
     # the last batch may be short: it is full only if the running size reaches B
