@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.decontaminate import contamination
+from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.tables import load
 
 
@@ -18,8 +19,14 @@ def op1_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
                         "found.longest_match", "found.contaminated")
 
 
+def op4_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near copies of every document."""
+    return near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_decontamination": op1_suffix_array_decontamination,
+    "op4_odd_sketch_near_dedup": op4_odd_sketch_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}
