@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.decontaminate import contamination
 from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.quality import judged
+from tessera.llm.sharding import sharded
 from tessera.llm.tables import load
+from tessera.llm.token_output import token_table
 
 
 def op1_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +27,35 @@ def op4_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts and verdict of every document."""
+    out = judged(load(spark, sf_dir, "documents"), ["doc_id"])
+    return out.select("doc_id", *[f"found.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+                      "verdict.base_failed", F.col("verdict.passed").alias("kept"))
+
+
+def op8_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return sharded(load(spark, sf_dir, "documents"))
+
+
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizer files lie; the same path on every machine."""
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
+def op10_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as ORC and read back."""
+    return token_table(load(spark, sf_dir, "documents"), tokenizer_file())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_decontamination": op1_suffix_array_decontamination,
     "op4_odd_sketch_near_dedup": op4_odd_sketch_near_dedup,
+    "op6_adaptive_quality": op6_adaptive_quality,
+    "op8_lpt_sharding": op8_lpt_sharding,
+    "op10_orc_token_ids": op10_orc_token_ids,
 }
 
 ORACLES: dict[str, str] = {}
