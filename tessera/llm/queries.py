@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import chat, line_dedup, mixing
 from tessera.llm.decontaminate import contamination
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.quality import judged
+from tessera.llm.secrets import secret_digests
 from tessera.llm.sharding import sharded
 from tessera.llm.tables import load
 from tessera.llm.token_output import token_table
@@ -22,11 +24,21 @@ def op1_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
                         "found.longest_match", "found.contaminated")
 
 
+def op3_site_relative_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page without the lines that its site repeats."""
+    return line_dedup.line_deduplicated(load(spark, sf_dir, "pages"))
+
+
 def op4_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of near copies of every document."""
     return near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot of every document in the mixture of sources."""
+    return mixing.mixing_slots(load(spark, sf_dir, "documents"))
+
+
 def op6_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality counts and verdict of every document."""
     out = judged(load(spark, sf_dir, "documents"), ["doc_id"])
@@ -34,11 +46,24 @@ def op6_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "verdict.base_failed", F.col("verdict.passed").alias("kept"))
 
 
+def op7_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secret_digests(load(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op8_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document."""
     return sharded(load(spark, sf_dir, "documents"))
 
 
+def op9_chat_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one whose texts are control strings, formatted and read back."""
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    made = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat.digests(chat.formatted(rows.unionByName(made)))
+
+
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     """Where the public tokenizer files lie; the same path on every machine."""
     import public_tokenizers
@@ -52,10 +77,18 @@ def op10_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_decontamination": op1_suffix_array_decontamination,
+    "op3_site_relative_lines": op3_site_relative_lines,
     "op4_odd_sketch_near_dedup": op4_odd_sketch_near_dedup,
+    "op5_pfair_mixing": op5_pfair_mixing,
     "op6_adaptive_quality": op6_adaptive_quality,
+    "op7_entropy_secrets": op7_entropy_secrets,
     "op8_lpt_sharding": op8_lpt_sharding,
+    "op9_chat_fsm": op9_chat_fsm,
     "op10_orc_token_ids": op10_orc_token_ids,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_site_relative_lines": line_dedup.ORACLE,
+    "op5_pfair_mixing": mixing.ORACLE,
+    "op9_chat_fsm": chat.oracle(),
+}
