@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import chat, line_dedup, mixing
 from tessera.llm.decontaminate import contamination
+from tessera.llm.html_extract import extracted
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.quality import judged
 from tessera.llm.secrets import secret_digests
@@ -24,6 +25,11 @@ def op1_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
                         "found.longest_match", "found.contaminated")
 
 
+def op2_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extracted(load(spark, sf_dir, "pages"))
+
+
 def op3_site_relative_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page without the lines that its site repeats."""
     return line_dedup.line_deduplicated(load(spark, sf_dir, "pages"))
@@ -77,6 +83,7 @@ def op10_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_decontamination": op1_suffix_array_decontamination,
+    "op2_site_style_tree": op2_site_style_tree,
     "op3_site_relative_lines": op3_site_relative_lines,
     "op4_odd_sketch_near_dedup": op4_odd_sketch_near_dedup,
     "op5_pfair_mixing": op5_pfair_mixing,
