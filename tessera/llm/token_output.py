@@ -17,7 +17,7 @@ The strings of special tokens in a text are ordinary text, so no document can
 write an id that only the engine sets.
 
 Defined cases: null text is empty, and empty text only has the end id; rows
-are ordered by doc_id (null first), then by text; repeated rows are written
+are ordered by doc_id (null first), then by text digest; repeated rows are written
 once each; an empty table writes no rows and reads as none.
 """
 
@@ -241,16 +241,16 @@ def encoded(docs: DataFrame, tokenizer: str, order: list) -> DataFrame:
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, order: list | None = None) -> None:
     """Write the token ids of ``docs`` as ORC files under ``path``, in ascending doc_id order unless ``order`` says otherwise."""
-    encoded(docs, tokenizer, order or [F.col("doc_id"), F.col("text")]).write.options(**ORC).orc(path)
+    encoded(docs, tokenizer, order or [F.col("doc_id"), F.xxhash64("text")]).write.options(**ORC).orc(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of files that ``write_ids`` left."""
     rows = spark.read.schema(LAYOUT).orc(path)
     last = rows.groupBy("part").agg(F.max(F.col("in_part") + F.size("ids")).alias("n"))
-    # one row a file
+    # one row a file: bounded by the number of partitions that wrote
     base = last.select(F.col("part").alias("_part"), F.expr("coalesce(sum(n) over (order by part rows between unbounded preceding and 1 preceding), 0L)").alias("base"))
-    return rows.join(base, F.col("part") == F.col("_part")).select(
+    return rows.join(F.broadcast(base), F.col("part") == F.col("_part")).select(
         "doc_id", (F.col("base") + F.col("in_part")).alias("start"), F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
