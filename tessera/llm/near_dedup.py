@@ -5,23 +5,25 @@
    odd sketch: a bitmap in which each sample flips one bit. Two sketches' XOR
    then counts the samples that differ, so its population count estimates a
    high similarity precisely.
-2. Classes that share a band meet. In every bucket the least class is the
-   pivot and is paired with each other member: a bucket of m classes makes
-   m - 1 pairs, however large it is.
+2. Classes that share a band meet. In every bucket the class that meets most
+   others over all its bands is the pivot and is paired with each other member:
+   a bucket of m classes makes m - 1 pairs, however large it is. In a group of
+   edited copies that is the copy nearest to all.
 3. Pairs whose XOR count or set sizes rule out a link are dropped, and the rest
    confirmed on full sets.
 4. Links are joined to components. Buckets that still hold more than one
-   component may hide a link between two members that are both unlike the
-   pivot. All such pairs across components are tested against their sketches
-   inside a join on the band, and only those that may be linked leave it; they
-   are confirmed like the others. So no link between components is lost, and a
-   large group of near copies, one component after step 3, is not compared
-   pair by pair.
+   component may hide a link between two members that the pivot doesn't join.
+   Such pairs across components are tested inside a join on the band, and only
+   those that may be linked leave it, once each, to be confirmed like the
+   others. Set sizes, sketches, and the triangle inequality of Jaccard distances
+   (both distances to the pivot are known from step 3) rule out the rest. So no
+   link between components is lost, and the bulk of a large group of near
+   copies, one component after step 3, is not compared pair by pair.
 5. Every document gets the least doc_id of its component.
 
 Bands: 25 of 5 samples miss a pair of similarity 0.85 with probability
-4.3e-7. The XOR limit lies six standard deviations above the expected count at
-the threshold. Sets are sets of 64-bit hashes.
+4.3e-7. The XOR limit of 400 samples lies 4.5 standard deviations above the
+expected count at the threshold (3.4e-6). Sets are sets of 64-bit hashes.
 
 Defined cases: null text and text without words have an empty set, are linked
 with nothing and form a component of their own; rows with equal text, or the
@@ -47,7 +49,8 @@ from tessera.llm.components import components
 from tessera.llm.tables import stored
 from tessera.llm.words import SPACED_LOWER, Words, mix, words
 
-BANDS, ROWS, BITS = 25, 5, 512
+BANDS, ROWS = 25, 5
+SAMPLES, BITS, DEVIATIONS = 400, 2048, 4.5
 CLASS = T.DecimalType(38, 0)
 
 
@@ -126,11 +129,15 @@ def odd_sketch(minima: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(odd, axis=1, bitorder="little").view(np.uint64)
 
 
-def xor_limit(similarity: float, n: int, bits: int, deviations: float = 6.0) -> int:
-    """Largest XOR count that a pair at the threshold reaches within so many deviations."""
-    differ = min(n, n * (1 - similarity) + deviations * math.sqrt(n * similarity * (1 - similarity)))
-    expected = bits / 2 * (1 - (1 - 2 / bits) ** (2 * differ))
-    return math.ceil(expected + deviations * math.sqrt(expected) / 2)
+def least_similarity(similarity: float, n: int) -> float:
+    """Share of equal samples that a pair at the threshold goes below by ``DEVIATIONS`` only."""
+    return similarity - DEVIATIONS * math.sqrt(similarity * (1 - similarity) / n)
+
+
+def xor_limit(similarity: float, n: int, bits: int) -> int:
+    """Largest XOR count of a pair at the threshold, within the deviations of samples and of the folding."""
+    expected = bits / 2 * (1 - (1 - 2 / bits) ** (2 * n * (1 - least_similarity(similarity, n))))
+    return math.ceil(expected + math.sqrt(expected))
 
 
 def longs(table: np.ndarray) -> pa.Array:
@@ -148,7 +155,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             for chunk in words(batch.column(2), SPACED_LOWER):
                 sets, offs = shingles(chunk, width)
                 size = np.diff(offs)
-                minima = samples(sets, offs, BANDS * ROWS)
+                minima = samples(sets, offs, SAMPLES)
                 cls = pc.if_else(pa.array(size > 0), decimals(digests(sets, offs)), pa.scalar(None, pa.decimal128(38, 0)))
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i).slice(chunk.first, chunk.n) for i in range(2)), pa.array(size), cls, longs(bands(minima, BANDS, ROWS)), longs(odd_sketch(minima, BITS))],
@@ -180,12 +187,12 @@ def xor_count(a: str, b: str) -> Column:
 def may_link(percent: int, a: str, b: str) -> Column:
     """Set sizes and sketches allow a link of ``percent`` or more."""
     sizes = F.expr(f"100 * least(n_{a}, n_{b}) >= {percent} * greatest(n_{a}, n_{b})")
-    return sizes & (xor_count(f"s_{a}", f"s_{b}") <= xor_limit(percent / 100, BANDS * ROWS, BITS))
+    return sizes & (xor_count(f"s_{a}", f"s_{b}") <= xor_limit(percent / 100, SAMPLES, BITS))
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) of classes that full sets link."""
-    pairs = stored(pairs, f"{name}-pairs")
+def compared(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, name: str) -> DataFrame:
+    """(a, b, common, total): sizes of intersection and union of the full sets of each pair of classes."""
+    pairs = stored(pairs.select("a", "b"), f"{name}-pairs")
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     wanted = stored(wanted.join(reps.select("cls", "min_doc"), "cls"), f"{name}-wanted")
     texts = wanted.join(docs.select("doc_id", "text"), F.col("min_doc").eqNullSafe(F.col("doc_id")))
@@ -193,34 +200,48 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, pe
     a = sets.select(F.col("cls").alias("a"), F.col("members").alias("m_a"))
     b = sets.select(F.col("cls").alias("b"), F.col("members").alias("m_b"))
     both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("m_a", "m_b")))
-    return both.where(f"100 * common >= {percent} * (size(m_a) + size(m_b) - common)").select("a", "b")
+    return both.select("a", "b", "common", (F.size("m_a") + F.size("m_b") - F.col("common")).alias("total"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, text_key), one row per row of ``docs``; text_key hashes the text."""
+    linked = f"100 * common >= {percent} * total"
     sig = stored(signatures(docs, width), "signatures")
     reps = stored(sig.where("cls is not null").groupBy("cls").agg(
         F.min("doc_id").alias("min_doc"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     members = reps.select("cls", F.explode("bands").alias("band"))
-    buckets = stored(members.groupBy("band").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last"), F.count(F.lit(1)).alias("size")).where("pivot <> last"), "buckets")
-
-    met = members.join(buckets.select("band", "pivot"), "band").where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
+    sizes = stored(members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket-sizes")
+    met = stored(members.join(sizes, "band"), "met")
+    score = met.groupBy("cls").agg(F.sum("size").alias("score"))
+    scored = stored(met.join(score, "cls"), "scored")
+    pivots = scored.groupBy("band").agg(F.max(F.struct("score", "cls"))["cls"].alias("pivot"))
+    scored = stored(scored.join(pivots, "band").select("band", "size", "cls", "pivot"), "buckets")
+
+    star = scored.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
     ra = reps.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     rb = reps.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-    likely = met.join(ra, "a").join(rb, "b").where(may_link(percent, "a", "b")).select("a", "b")
-    links = stored(confirmed(likely, reps, docs, width, percent, "pivots"), "pivot-links")
+    likely = star.join(ra, "a").join(rb, "b").where(may_link(percent, "a", "b"))
+    known = stored(compared(likely, reps, docs, width, "pivots"), "pivot-pairs-compared")
+    links = known.where(linked).select("a", "b")
     label = components(links)
 
-    # members of buckets of three classes or more that are not one component yet
-    large = members.join(buckets.where("size > 2").select("band", "pivot"), "band")
-    large = large.join(label, large["cls"] == label["v"], "left").select("band", "pivot", "cls", F.coalesce("root", "cls").alias("root"))
+    # buckets of three classes or more that are not one component yet
+    large = scored.where("size > 2").join(label, scored["cls"] == label["v"], "left").select("band", "pivot", "cls", F.coalesce("root", "cls").alias("root"))
     open_ = large.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
-    rest = stored(large.where("cls <> pivot").join(open_, "band").join(reps.select("cls", "n", "sketch"), "cls").select("band", "cls", "root", "n", "sketch"), "open-buckets")
-    ra = rest.select("band", F.col("cls").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
-    rb = rest.select("band", F.col("cls").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-    across = (ra["band"] == rb["band"]) & F.expr("a < b and root_a <> root_b") & may_link(percent, "a", "b")
-    hidden = ra.join(rb, across).select("a", "b").distinct()
-    more = stored(confirmed(hidden, reps, docs, width, percent, "hidden"), "hidden-links")
+    # distance to the pivot: as compared, or at least what the sketch lets through
+    far = 1 - least_similarity(percent / 100, SAMPLES)
+    away = known.select(F.col("a").alias("pivot"), F.col("b").alias("cls"), (1 - F.col("common") / F.col("total")).alias("d"))
+    rest = large.where("cls <> pivot").join(open_, "band").join(away, ["pivot", "cls"], "left").join(reps.select("cls", "n", "bands", "sketch"), "cls")
+    rest = stored(rest.select("band", "cls", "root", "n", "bands", "sketch", F.coalesce("d", F.lit(far)).alias("near"), F.coalesce("d", F.lit(1.0)).alias("far")), "open-buckets")
+    side = lambda x: rest.select("band", *[F.col(c).alias(f"{k}_{x}") for c, k in
+                                           (("cls", "c"), ("root", "r"), ("n", "n"), ("bands", "b"), ("sketch", "s"), ("near", "near"), ("far", "far"))])
+    reach = 1 - percent / 100 + 1e-9
+    first = F.expr("element_at(filter(zip_with(b_a, b_b, (x, y) -> if(x = y, x, null)), z -> z is not null), 1) = band")  # the first band they share
+    close = F.expr(f"near_a - far_b <= {reach} and near_b - far_a <= {reach}")
+    left, right = side("a"), side("b").withColumnRenamed("band", "band_b")
+    across = (F.col("band") == F.col("band_b")) & F.expr("c_a < c_b and r_a <> r_b") & close & may_link(percent, "a", "b") & first
+    hidden = left.join(right, across).select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct()
+    more = stored(compared(hidden, reps, docs, width, "hidden").where(linked).select("a", "b"), "hidden-links")
     if more.limit(1).count():
         label = components(links.union(more))
 
