@@ -296,22 +296,22 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> list:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: the columns ``keep`` and a struct ``found`` (FOUND)."""
+    """One row per document: a struct ``row`` of the columns ``keep`` and a struct ``found`` (FOUND)."""
     blocks = benchmark_blocks(benchmark, block_bytes)
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("found", FOUND)])
-    source = docs.select(*keep, F.col("text").alias("_text"))
+    source = docs.select(F.struct(*keep).alias("row"), "text")
+    schema = T.StructType([source.schema["row"], T.StructField("found", FOUND)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = [prepare(b.value, window) for b in blocks] if len(blocks) == 1 else None
         for batch in batches:
             queries = whole if whole is not None else (prepare(b.value, window) for b in blocks)
-            got = judge(batch.column(len(keep)), [q for q in queries if q is not None])
+            got = judge(batch.column(1), [q for q in queries if q is not None])
             found = pa.StructArray.from_arrays([pa.array(got[k], t) for k, t in ARROW.items()], names=list(ARROW))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), found], names=[*keep, "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that hold no window of any benchmark item, with all their columns."""
-    return contamination(docs, benchmark, docs.columns, window).where(~F.col("found.contaminated")).select(*docs.columns)
+    return contamination(docs, benchmark, docs.columns, window).where(~F.col("found.contaminated")).select("row.*")

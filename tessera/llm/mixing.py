@@ -86,10 +86,11 @@ def schedules(table: DataFrame) -> DataFrame:
 
 
 def placed(docs: DataFrame, weights: dict | None, alpha: float, period: int, block_rows: int) -> DataFrame:
-    """``docs`` with a struct ``mix``: block, release, deadline, slot, offset in the block, position."""
+    """Structs ``row`` (the columns of ``docs``) and ``mix`` (block, release, deadline, slot, offset in the block, position)."""
     plan = stored(schedules(stored(shares(docs, weights, alpha, period, block_rows), "mix-shares")), "mix-schedules")
     order = [F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.col("doc_id"), F.xxhash64("text")]
-    rows = ranked(docs, ["source"], order, "_rank")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", *[c.alias(f"_o{i}") for i, c in enumerate(order)])
+    rows = ranked(rows, ["source"], [F.col(f"_o{i}") for i in range(len(order))], "_rank")
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")))
     rows = rows.withColumn("_block", F.expr(f"_rank div {block_rows}"))
     rows = rows.withColumn("_period", F.expr("_block div share")).withColumn("_k", F.expr("cast(_block % share as int)"))
@@ -100,7 +101,7 @@ def placed(docs: DataFrame, weights: dict | None, alpha: float, period: int, blo
     mix = F.struct(F.col("_block").alias("block"), (first + F.expr("(_k * _p.length) div share")).alias("release"),
                    (first + F.expr("((_k + 1) * _p.length + share - 1) div share")).alias("deadline"),
                    slot.alias("slot"), offset.alias("offset"), (slot * block_rows + offset).alias("position"))
-    return rows.select(*docs.columns, mix.alias("mix"))
+    return rows.select("row", mix.alias("mix"))
 
 
 def mixing_slots(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, period: int = PERIOD, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -111,13 +112,13 @@ def mixing_slots(docs: DataFrame, weights: dict | None = None, alpha: float = 0.
     only where a block isn't full or a source runs out inside a period.
     """
     narrow = docs.select("doc_id", "source", F.xxhash64("text").alias("text"))
-    return placed(narrow, weights, alpha, period, block_rows).select("doc_id", "source", *[f"mix.{c}" for c in ("block", "release", "deadline", "slot", "position")])
+    return placed(narrow, weights, alpha, period, block_rows).select("row.doc_id", "row.source", *[f"mix.{c}" for c in ("block", "release", "deadline", "slot", "position")])
 
 
 def mixed(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, period: int = PERIOD, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All documents with all their columns, ranged and sorted in mixing order."""
     rows = placed(docs, weights, alpha, period, block_rows)
-    return rows.repartitionByRange("mix.position").sortWithinPartitions("mix.position").select(*docs.columns)
+    return rows.repartitionByRange("mix.position").sortWithinPartitions("mix.position").select("row.*")
 
 
 ORACLE = f"""

@@ -21,8 +21,8 @@
    copies, one component after step 3, is not compared pair by pair.
 5. Every document gets the least doc_id of its component.
 
-Bands: 25 of 5 samples miss a pair of similarity 0.85 with probability
-4.3e-7. The XOR limit of 400 samples lies 4.5 standard deviations above the
+Bands are of 5 samples, as many as it takes to miss a pair at the threshold
+with a probability of at most 5e-7 (25 for 0.85, 37 for 0.8). The XOR limit of 400 samples lies 4.5 standard deviations above the
 expected count at the threshold (3.4e-6). Sets are sets of 64-bit hashes.
 
 Defined cases: null text and text without words have an empty set, are linked
@@ -49,7 +49,7 @@ from tessera.llm.components import components
 from tessera.llm.tables import stored
 from tessera.llm.words import SPACED_LOWER, Words, mix, words
 
-BANDS, ROWS = 25, 5
+ROWS, MISS = 5, 5e-7
 SAMPLES, BITS, DEVIATIONS = 400, 2048, 4.5
 CLASS = T.DecimalType(38, 0)
 
@@ -121,6 +121,10 @@ def bands(minima: np.ndarray, n_bands: int, rows: int) -> np.ndarray:
     return keys
 
 
+def bands_for(similarity: float) -> int:
+    return math.ceil(math.log(MISS) / math.log(1 - similarity ** ROWS))
+
+
 def odd_sketch(minima: np.ndarray, bits: int) -> np.ndarray:
     """Parity bitmaps: sample i with value x flips the bit that (i, x) hashes to."""
     m, n = minima.shape
@@ -145,11 +149,13 @@ def longs(table: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1, dtype=np.int32) * np.int32(table.shape[1])), flat)
 
 
-def signatures(docs: DataFrame, width: int) -> DataFrame:
+def signatures(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """(doc_id, text_key, n_shingles, cls, bands, sketch) of each row; cls null for an empty set."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("text_key", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("cls", CLASS),
                            T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
+    n_bands = bands_for(similarity)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in words(batch.column(2), SPACED_LOWER):
@@ -158,7 +164,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 minima = samples(sets, offs, SAMPLES)
                 cls = pc.if_else(pa.array(size > 0), decimals(digests(sets, offs)), pa.scalar(None, pa.decimal128(38, 0)))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(chunk.first, chunk.n) for i in range(2)), pa.array(size), cls, longs(bands(minima, BANDS, ROWS)), longs(odd_sketch(minima, BITS))],
+                    [*(batch.column(i).slice(chunk.first, chunk.n) for i in range(2)), pa.array(size), cls, longs(bands(minima, n_bands, ROWS)), longs(odd_sketch(minima, BITS))],
                     names=schema.names)
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, schema)
@@ -206,7 +212,7 @@ def compared(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, nam
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, text_key), one row per row of ``docs``; text_key hashes the text."""
     linked = f"100 * common >= {percent} * total"
-    sig = stored(signatures(docs, width), "signatures")
+    sig = stored(signatures(docs, width, percent / 100), "signatures")
     reps = stored(sig.where("cls is not null").groupBy("cls").agg(
         F.min("doc_id").alias("min_doc"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     members = reps.select("cls", F.explode("bands").alias("band"))

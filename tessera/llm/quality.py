@@ -91,16 +91,17 @@ def measure(text: pa.Array, width: int = 3) -> list[pa.Array]:
 
 
 def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and a struct ``found`` of COUNTS, one row per row."""
+    """A struct ``row`` of the columns ``keep``, lang, source, and a struct ``found`` of COUNTS, one row per row."""
     found = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("found", found)])
+    source = docs.select(F.struct(*keep).alias("row"), "lang", "source", "text")
+    schema = T.StructType([*source.schema.fields[:3], T.StructField("found", found)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = pa.StructArray.from_arrays(measure(batch.column(len(keep))), names=COUNTS)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), got], names=[*keep, "found"])
+            got = pa.StructArray.from_arrays(measure(batch.column(3)), names=COUNTS)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), got], names=schema.names)
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def ratios() -> dict[str, Column]:
@@ -115,7 +116,7 @@ def base_failed() -> Column:
 
 def thresholds(docs: DataFrame, reach: float = REACH) -> DataFrame:
     """(lang, source, low and high of each ratio) from the documents that pass the base."""
-    passed = measured(docs, ["lang", "source"]).where(~base_failed()).select("lang", "source", *[v.alias(k) for k, v in ratios().items()])
+    passed = measured(docs, ["lang"]).where(~base_failed()).select("lang", "source", *[v.alias(k) for k, v in ratios().items()])
     sketches = passed.groupBy("lang", "source").agg(*[F.kll_sketch_agg_double(k).alias(k) for k in SPREAD])
     out = [F.col("lang").alias("_lang"), F.col("source").alias("_source")]
     for k, least in SPREAD.items():
@@ -126,18 +127,16 @@ def thresholds(docs: DataFrame, reach: float = REACH) -> DataFrame:
 
 
 def judged(docs: DataFrame, keep: list[str], reach: float = REACH) -> DataFrame:
-    """The columns ``keep``, ``found`` (COUNTS), ``base_failed`` and ``passed`` in a struct ``verdict``."""
+    """Structs ``row`` (the columns ``keep``), ``found`` (COUNTS), and ``verdict`` (base_failed, passed)."""
     limits = stored(thresholds(docs, reach), "quality-thresholds")
-    extra = [c for c in ("lang", "source") if c not in keep]
-    rows = measured(docs, [*keep, *extra])
-    both = rows.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+    both = measured(docs, keep).join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     inside = F.lit(True)
     for k, v in ratios().items():
         inside = inside & F.coalesce(v <= F.col(f"high_{k}"), F.lit(True))
     inside = inside & F.coalesce(ratios()["word_length"] >= F.col("low_word_length"), F.lit(True))
-    return both.select(*keep, "found", F.struct(base_failed().alias("base_failed"), (~base_failed() & inside).alias("passed")).alias("verdict"))
+    return both.select("row", "found", F.struct(base_failed().alias("base_failed"), (~base_failed() & inside).alias("passed")).alias("verdict"))
 
 
 def quality_filtered(docs: DataFrame, reach: float = REACH) -> DataFrame:
     """The documents that pass, with all their columns."""
-    return judged(docs, docs.columns, reach).where("verdict.passed").select(*docs.columns)
+    return judged(docs, docs.columns, reach).where("verdict.passed").select("row.*")

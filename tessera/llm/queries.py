@@ -21,7 +21,7 @@ from tessera.llm.token_output import token_table
 def op1_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every document."""
     found = contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), ["doc_id"])
-    return found.select("doc_id", "found.n_words", "found.n_hit", "found.n_items", "found.items_sha256",
+    return found.select("row.doc_id", "found.n_words", "found.n_hit", "found.n_items", "found.items_sha256",
                         "found.longest_match", "found.contaminated")
 
 
@@ -48,7 +48,7 @@ def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality counts and verdict of every document."""
     out = judged(load(spark, sf_dir, "documents"), ["doc_id"])
-    return out.select("doc_id", *[f"found.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+    return out.select("row.doc_id", *[f"found.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
                       "verdict.base_failed", F.col("verdict.passed").alias("kept"))
 
 

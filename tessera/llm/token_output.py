@@ -270,6 +270,13 @@ def with_crc(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, schema)
 
 
+def file_order(docs: DataFrame) -> tuple[DataFrame, list]:
+    """(documents, order) that follow the files of a table that Spark has written: by part number, then by row in the file."""
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
+    rows = docs.select("doc_id", "text", part.alias("_part"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return rows, [F.col("_part"), F.col("_file"), F.col("_row")]
+
+
 def token_table(docs: DataFrame, tokenizer: str, path: str | None = None, order: list | None = None) -> DataFrame:
     """Write ``docs`` (to a new shared folder unless ``path`` names one) and describe them from the files."""
     path = path or shared_path(docs.sparkSession, "token-ids")
