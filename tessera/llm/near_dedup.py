@@ -51,6 +51,7 @@ from tessera.llm.words import SPACED_LOWER, Words, mix, words
 
 ROWS, MISS = 5, 5e-7
 SAMPLES, BITS, DEVIATIONS = 400, 2048, 4.5
+SLOTS = 1 << 20
 CLASS = T.DecimalType(38, 0)
 
 
@@ -201,7 +202,11 @@ def compared(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, nam
     pairs = stored(pairs.select("a", "b"), f"{name}-pairs")
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     wanted = stored(wanted.join(reps.select("cls", "min_doc"), "cls"), f"{name}-wanted")
-    texts = wanted.join(docs.select("doc_id", "text"), F.col("min_doc").eqNullSafe(F.col("doc_id")))
+    # texts that can't be wanted don't leave their scan: a broadcast of at most SLOTS numbers
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).alias("slot")
+    slots = F.broadcast(wanted.select(slot("min_doc")).distinct())
+    texts = docs.select("doc_id", "text", slot("doc_id")).join(slots, "slot", "left_semi")
+    texts = wanted.join(texts, F.col("min_doc").eqNullSafe(F.col("doc_id")))
     sets = stored(full_sets(texts, width).dropDuplicates(["cls"]), f"{name}-sets")
     a = sets.select(F.col("cls").alias("a"), F.col("members").alias("m_a"))
     b = sets.select(F.col("cls").alias("b"), F.col("members").alias("m_b"))
