@@ -109,7 +109,9 @@ def spans(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     def varied(c: Column) -> Column:
         # entropy = log2(window) - sum / window
-        return F.round(F.lit(most * 1e6 * WINDOW)).cast("long") - least_sum(F.split(c["word"], "")) >= limit(c["word"]).cast("long") * WINDOW
+        # the characters are bound first: a lambda works out what it holds for every element
+        least = F.element_at(F.transform(F.array(F.split(c["word"], "")), least_sum), 1)
+        return F.round(F.lit(most * 1e6 * WINDOW)).cast("long") - least >= limit(c["word"]).cast("long") * WINDOW
 
     found = F.transform(F.filter("near", varied), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["k"].alias("k")))
     return rows.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], "base", found.alias("found"))
