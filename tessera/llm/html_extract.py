@@ -7,8 +7,8 @@ its texts, for a block of text) over the m pages that have it, with m as the
 base: 1 if every page shows another one, 0 if all show the same. The composite
 importance of an inner node with l presentations is
 (1 - g^l) * own + g^l * (mean over pages of the mean importance of the children
-of their presentation). Branches on at least ``MIN_PAGES`` pages with a
-composite importance under ``LEAST`` are removed from each page.
+of their presentation). Branches on at least ``MIN_PAGES`` pages in which no
+node has a composite importance of ``LEAST`` are removed from each page.
 
 What a page says about itself is the prior: elements marked as menus, footers,
 sidebars, notices, adverts, forms, comments, scripts and so on have importance
@@ -177,7 +177,7 @@ def nodes(pages: DataFrame) -> DataFrame:
 
 
 def importance(tree: DataFrame) -> DataFrame:
-    """(host, node, m, importance) of every node of the merged trees."""
+    """(host, node, m, importance, best) of every node of the merged trees; best: the highest importance in its branch."""
     values = stored(tree.groupBy("host", "level", "style", "node", "value").agg(F.count(F.lit(1)).alias("c")), "style-tree")
     own = F.when(F.col("m") > 1, 1 - F.col("q") / (F.col("m") * F.log(F.col("m").cast("double")))).otherwise(F.lit(1.0))
     stats = values.groupBy("host", "level", "style", "node").agg(
@@ -189,26 +189,27 @@ def importance(tree: DataFrame) -> DataFrame:
     for level in range(deepest if deepest is not None else -1, -1, -1):
         here = stats.where(F.col("level") == level)
         if below is None:
-            here = here.select("host", "style", "node", "m", F.col("own").alias("importance"))
+            here = here.select("host", "style", "node", "m", F.col("own").alias("importance"), F.col("own").alias("best"))
         else:
             # mean importance of the children that a presentation has, then its mean over pages
-            shown = below.groupBy("host", "style").agg(F.avg("importance").alias("mean")).withColumnRenamed("style", "value")
+            shown = below.groupBy("host", "style").agg(F.avg("importance").alias("mean"), F.max("best").alias("top")).withColumnRenamed("style", "value")
             inner = values.where(F.col("level") == level).join(shown, ["host", "value"])
-            inner = inner.groupBy("host", "node").agg((F.sum(F.col("c") * F.col("mean")) / F.sum("c")).alias("inner"))
+            inner = inner.groupBy("host", "node").agg((F.sum(F.col("c") * F.col("mean")) / F.sum("c")).alias("inner"), F.max("top").alias("top"))
             weight = F.pow(F.lit(DAMPING), F.col("l").cast("double"))
+            composite = F.when(F.col("inner").isNull(), F.col("own")).otherwise((1 - weight) * F.col("own") + weight * F.col("inner"))
             here = here.join(inner, ["host", "node"], "left").select(
-                "host", "style", "node", "m", F.when(F.col("inner").isNull(), F.col("own")).otherwise((1 - weight) * F.col("own") + weight * F.col("inner")).alias("importance"))
+                "host", "style", "node", "m", composite.alias("importance"), F.greatest(composite, "top").alias("best"))
         below = stored(here, f"importance-{level}")
         done = below if done is None else done.unionByName(below)
     if done is None:
-        return stats.select("host", "node", "m", F.col("own").alias("importance"))
-    return done.select("host", "node", "m", "importance")
+        return stats.select("host", "node", "m", F.col("own").alias("importance"), F.col("own").alias("best"))
+    return done.select("host", "node", "m", "importance", "best")
 
 
 def removed_branches(pages: DataFrame) -> DataFrame:
     """(host, removed): keys of the low-importance branches of each host."""
     total = pages.select(host_of(F.col("url")).alias("host")).where("host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    low = importance(nodes(pages)).where((F.col("importance") < LEAST) & (F.col("m") >= MIN_PAGES))
+    low = importance(nodes(pages)).where((F.col("best") < LEAST) & (F.col("m") >= MIN_PAGES))
     low = low.join(total, "host").where(F.col("m") >= LEAST_SHARE * F.col("n"))
     return low.groupBy("host").agg(F.collect_list("node").alias("removed"))
 
