@@ -31,37 +31,36 @@ def uniform(seed, *keys) -> Column:
     return h(seed, *keys) / F.lit(float(1 << 32))
 
 
-DIGEST_PERM_MAX = 10  # up to 10 elements, 3 hex digits (12 bits) each fit one md5
-
-
 def digest(seed, *keys) -> Column:
     """md5 hex of 'seed:k1:k2...' (32 lowercase hex digits)."""
     cols = [as_col(seed)] + [as_col(k) for k in keys]
     return F.md5(F.concat_ws(":", *[c.cast("string") for c in cols]))
 
 
+KEY_DIGITS, KEYS_PER_DIGEST = 8, 8  # a SHA-256 digest gives eight sort keys of 32 bits
+
+
+def key_digits(n, seed, *keys) -> Column:
+    """Hex digits of n sort keys: the SHA-256 digests of 'seed:k1:...:0', ':1', ... one after the other."""
+    cols = [as_col(seed)] + [as_col(k) for k in keys]
+    text = F.concat_ws(":", *[c.cast("string") for c in cols])
+    if isinstance(n, int):
+        parts = [F.sha2(F.concat(text, F.lit(f":{j}")), 256) for j in range(-(-n // KEYS_PER_DIGEST))]
+        return F.concat(*parts)
+    last = F.floor((as_col(n) - 1) / KEYS_PER_DIGEST).cast("int")
+    return F.array_join(F.transform(F.sequence(F.lit(0), last), lambda j: F.sha2(F.concat_ws(":", text, j.cast("string")), 256)), "")
+
+
 def random_perm(n, seed, *keys) -> Column:
-    """A permutation of 0..n-1 drawn by sorting on seeded keys (ties by index).
+    """A permutation of 0..n-1 drawn by sorting on seeded 32-bit keys (ties by index), by one rule for any n."""
+    from tessera.functions.util import let
+    return let(key_digits(n, seed, *keys), lambda d: perm_from_hex(d, 0, n))
 
-    Small literal n (<= 10, colour maps, band orders) takes all its keys from
-    one md5 digest: element i sorts on hex digits 3i..3i+2, compared as
-    fixed-width strings. Larger n hashes every element.
-    """
-    if isinstance(n, int) and n <= DIGEST_PERM_MAX:
-        from tessera.functions.util import let
-        return let(digest(seed, *keys), lambda d: F.transform(F.array_sort(F.transform(
-            F.sequence(F.lit(0), F.lit(n - 1)),
-            lambda i: F.struct(F.substring(d, i * 3 + 1, 3).alias("k"), i.alias("i")))), lambda s: s["i"]))
-    n = as_col(n)
-    idx = F.sequence(F.lit(0), n - 1)
-    keyed = F.transform(idx, lambda i: F.struct(h(seed, *keys, i).alias("k"), i.alias("i")))
-    return F.transform(F.array_sort(keyed), lambda s: s["i"])
-
-
-def perm_from_hex(d: Column, offset: int, n: int, width: int = 3) -> Column:
-    """Permutation of 0..n-1 sorted on fixed-width hex slices of a digest (ties by index)."""
-    return F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(
-        F.substring(d, i * width + offset + 1, width).alias("k"), i.alias("i")))), lambda s: s["i"])
+
+def perm_from_hex(d: Column, first: int | Column, n) -> Column:
+    """Permutation of 0..n-1 sorted on the keys ``first``, ``first + 1``, ... of ``key_digits`` (ties by index)."""
+    return F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), as_col(n) - 1), lambda i: F.struct(
+        F.substring(d, ((i + first) * KEY_DIGITS + 1).cast("int"), KEY_DIGITS).alias("k"), i.alias("i")))), lambda s: s["i"])
 
 
 def colour_perm(seed, *keys) -> Column:

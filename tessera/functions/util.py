@@ -32,24 +32,26 @@ def let(value, fn) -> Column:
 def memo_columns(fn):
     """Reuse a built expression when a builder is called again with the same inputs.
 
-    Column objects are immutable, unresolved expressions; their text identifies
-    them (lambda variables carry unique generated names), so the text of the
-    arguments is a safe cache key. Building a large higher-order expression
-    costs many Python-to-JVM calls; this keeps it to once per process.
+    Inputs are the same if Spark says so of the expressions (their text is only
+    the first look-up): columns of two frames print alike but differ. Building a
+    large higher-order expression costs many Python-to-JVM calls; this keeps it
+    to once per input.
     """
     import functools
     cache: dict = {}
 
     @functools.wraps(fn)
     def wrapper(*args):
-        try:
-            key = tuple(("c", str(a)) if isinstance(a, Column) else ("v", repr(a)) for a in args)
-        except Exception:  # noqa: BLE001 - unusual argument: build without the cache
+        columns = [a for a in args if isinstance(a, Column)]
+        if any(not hasattr(c, "_jc") for c in columns):
             return fn(*args)
-        hit = cache.get(key)
-        if hit is None:
-            if len(cache) > 512:
-                cache.clear()
-            hit = cache[key] = fn(*args)
-        return hit
+        key = tuple(("c", str(a)) if isinstance(a, Column) else ("v", repr(a)) for a in args)
+        for held, built in cache.get(key, ()):
+            if all(a._jc.equals(b._jc) for a, b in zip(columns, held, strict=True)):
+                return built
+        if len(cache) > 512:
+            cache.clear()
+        built = fn(*args)
+        cache.setdefault(key, []).append((columns, built))
+        return built
     return wrapper

@@ -137,12 +137,20 @@ def pack_batches(order_sizes: DataFrame, batch_size: int, drop_last: bool = True
                  block: int | None = None) -> DataFrame:
     """B2 + B3: greedy packing with truncation.
 
-    ``order_sizes``: (order, size) with dense order 0..N-1 and size >= 1.
+    ``order_sizes``: (order, size) with dense order 0..N-1; puzzles of size 0
+    take no slot and are in no batch.
     Returns (order, batch_id, take, slot_start): the puzzle at ``order`` gives
     ``take`` examples to batch ``batch_id`` at slots slot_start.. (the rest of
     an overflowing puzzle is discarded, as in the reference).
     """
     spark = order_sizes.sparkSession
+    some = order_sizes.filter(F.col("size") >= 1).select("order", "size")
+    if order_sizes.filter("size is null or size < 1").limit(1).count():
+        # positions without the empty puzzles, and the orders they stand for
+        dense = materialise(dense_id(some, ["order"], name="_dense"))
+        packed = pack_batches(dense.select(F.col("_dense").alias("order"), "size"), batch_size, drop_last, block)
+        return packed.withColumnRenamed("order", "_dense").join(dense.select("_dense", "order"), "_dense") \
+            .select("order", "batch_id", "take", "slot_start")
     ps = prefix_sum(order_sizes.select("order", "size"), "size", ["order"], name="run_lo")
     ps = materialise(ps.withColumn("run_hi", F.col("run_lo") + F.col("size")))
     stats = ps.agg(F.count("*").alias("n"), F.max("run_hi").alias("total")).collect()[0]
@@ -158,10 +166,8 @@ def pack_batches(order_sizes: DataFrame, batch_size: int, drop_last: bool = True
     nxt = nxt.unionByName(spark.createDataFrame([(n_total, n_total)], "src long, t long"))
     starts = _chain_by_blocks(nxt, n_total, block or max(batch_size * 128, 4096), max_span=batch_size) \
         .filter(F.col("src") < n_total)
-    # starts is checkpointed and src is unique: numbering it needs no second checkpoint
-    starts = dense_id(starts, ["src"], name="batch_id", stable=False)
+    starts = dense_id(starts, ["src"], name="batch_id")
     bounds = starts.join(nxt, "src").join(ps.select(F.col("order").alias("src"), F.col("run_lo").alias("base_lo")), "src")
-    bounds = bounds.withColumn("full", F.col("t") <= n_total)
     # the last batch may be short: it is full only if the running size reaches B
     bounds = bounds.withColumn("end_sum", F.col("base_lo") + batch_size)
     members = lookup_interval(ps, "order", bounds.select("batch_id", F.col("src").alias("b_start"),

@@ -22,31 +22,27 @@ def parse_sudoku(df: DataFrame, min_difficulty: int | None = None) -> DataFrame:
     return df.withColumn("q_cells", digits(F.col("q"))).withColumn("a_cells", digits(F.col("a")))
 
 
-def _band_order(d: Column, offset: int) -> Column:
-    """9 indices: 3 permuted bands (hex offset..+9), rows permuted inside each band (next 27)."""
-    from tessera.functions.rng import perm_from_hex
-    bands = perm_from_hex(d, offset, 3)
-    return let(bands, lambda b: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda bi: F.transform(
-        _inner(d, offset, bi), lambda r: F.element_at(b, bi + 1) * 3 + r))))
+#: keys of one draw: 0-8 digit map, 9 transpose (its first digit), 10-21 rows, 22-33 columns
+DIGIT_KEYS, FLIP_KEY, ROW_KEYS, COLUMN_KEYS, N_KEYS = 0, 9, 10, 22, 34
 
 
-def _inner(d: Column, offset: int, bi: Column) -> Column:
-    return F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(
-        F.substring(d, offset + 9 + bi * 9 + i * 3 + 1, 3).alias("k"), i.alias("i")))), lambda s: s["i"])
+def _band_order(d: Column, first: int) -> Column:
+    """9 indices: 3 permuted bands (three keys), rows permuted inside each band (three keys each)."""
+    from tessera.functions.rng import perm_from_hex
+    bands = perm_from_hex(d, first, 3)
+    return let(bands, lambda b: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda bi: F.transform(
+        perm_from_hex(d, bi * 3 + first + 3, 3), lambda r: F.element_at(b, bi + 1) * 3 + r))))
 
 
 def shuffle_params(seed, key, aug) -> Column:
-    """One draw of G11's parameters from two SHA-256 digests (128 hex digits):
-    digit map hex 0-26, transpose hex 27, row order hex 28-63, column order hex 64-99."""
-    from tessera.functions.rng import perm_from_hex
+    """One draw of G11's parameters."""
+    from tessera.functions.rng import KEY_DIGITS, perm_from_hex
 
     def body(d):
-        dm = F.concat(F.array(F.lit(0)), F.transform(perm_from_hex(d, 0, 9), lambda x: x + 1))
-        t = F.instr(F.lit("13579bdf"), F.substring(d, 28, 1)) > 0
-        return F.struct(dm.alias("dm"), t.alias("t"), _band_order(d, 28).alias("rows"), _band_order(d, 64).alias("cols"))
-    text = F.concat_ws(":", F.lit(seed).cast("string"), F.lit("shuffle"), F.col(key) if isinstance(key, str) else key.cast("string"),
-                       aug.cast("string"))
-    return let(F.concat(F.sha2(F.concat(text, F.lit(":0")), 256), F.sha2(F.concat(text, F.lit(":1")), 256)), body)
+        dm = F.concat(F.array(F.lit(0)), F.transform(perm_from_hex(d, DIGIT_KEYS, 9), lambda x: x + 1))
+        t = F.instr(F.lit("13579bdf"), F.substring(d, FLIP_KEY * KEY_DIGITS + 1, 1)) > 0
+        return F.struct(dm.alias("dm"), t.alias("t"), _band_order(d, ROW_KEYS).alias("rows"), _band_order(d, COLUMN_KEYS).alias("cols"))
+    return let(shuffle_digest(seed, F.col(key) if isinstance(key, str) else key, aug), body)
 
 
 def source_index(b: Column) -> Column:
@@ -103,38 +99,34 @@ def augment_maze(df: DataFrame, side: int, charset: str, do_aug: bool = True) ->
 _HEX = np.frombuffer(b"0123456789abcdef", dtype=np.uint8)
 
 
-def _hex_keys(d: np.ndarray, start: int, n: int, width: int = 3) -> np.ndarray:
-    """(rows, n) sort keys from fixed-width hex slices starting at ``start``."""
-    cols = [d[:, start + i * width: start + (i + 1) * width] for i in range(n)]
-    out = np.zeros((d.shape[0], n), dtype=np.int64)
-    for i, c in enumerate(cols):
-        v = np.zeros(d.shape[0], dtype=np.int64)
-        for j in range(width):
-            v = v * 16 + c[:, j]
-        out[:, i] = v
-    return out
+def _hex_keys(d: np.ndarray, first: int, n: int) -> np.ndarray:
+    """(rows, n) sort keys from the digits of keys ``first``, ``first + 1``, ..."""
+    from tessera.functions.rng import KEY_DIGITS
+    own = d[:, first * KEY_DIGITS:(first + n) * KEY_DIGITS].reshape(len(d), n, KEY_DIGITS)
+    return own @ (16 ** np.arange(KEY_DIGITS - 1, -1, -1, dtype=np.int64))
 
 
 def _perm(keys: np.ndarray) -> np.ndarray:
     return np.argsort(keys, axis=1, kind="stable")  # ties keep index order, as the sort on (key, i)
 
 
-def _band_order_np(d: np.ndarray, offset: int) -> np.ndarray:
-    bands = _perm(_hex_keys(d, offset, 3))
+def _band_order_np(d: np.ndarray, first: int) -> np.ndarray:
+    bands = _perm(_hex_keys(d, first, 3))
     parts = []
     for bi in range(3):
-        inner = _perm(_hex_keys(d, offset + 9 + bi * 9, 3))
+        inner = _perm(_hex_keys(d, first + 3 + bi * 3, 3))
         parts.append(bands[:, bi:bi + 1] * 3 + inner)
     return np.concatenate(parts, axis=1)
 
 
 def shuffle_batch(digests: pd.Series, q: pd.Series, a: pd.Series) -> pd.DataFrame:
-    """G11 for a batch: digests are the 128-hex parameter digests of shuffle_params."""
-    raw = np.frombuffer("".join(digests.tolist()).encode(), dtype=np.uint8).reshape(len(digests), 128)
+    """G11 for a batch: digests are the key digits of shuffle_params."""
+    from tessera.functions.rng import KEY_DIGITS
+    raw = np.frombuffer("".join(digests.tolist()).encode(), dtype=np.uint8).reshape(len(digests), -1)
     d = np.searchsorted(_HEX, raw)
-    dm = np.concatenate([np.zeros((len(d), 1), dtype=np.int64), _perm(_hex_keys(d, 0, 9)) + 1], axis=1)
-    t = (d[:, 27] % 2) == 1
-    rows, cols = _band_order_np(d, 28), _band_order_np(d, 64)
+    dm = np.concatenate([np.zeros((len(d), 1), dtype=np.int64), _perm(_hex_keys(d, DIGIT_KEYS, 9)) + 1], axis=1)
+    t = (d[:, FLIP_KEY * KEY_DIGITS] % 2) == 1
+    rows, cols = _band_order_np(d, ROW_KEYS), _band_order_np(d, COLUMN_KEYS)
     i = np.arange(81)
     k = rows[:, i // 9] * 9 + cols[:, i % 9]
     k = np.where(t[:, None], (k % 9) * 9 + k // 9, k)
@@ -146,8 +138,8 @@ def shuffle_batch(digests: pd.Series, q: pd.Series, a: pd.Series) -> pd.DataFram
 
 
 def shuffle_digest(seed, key: Column, aug: Column) -> Column:
-    text = F.concat_ws(":", F.lit(seed).cast("string"), F.lit("shuffle"), key.cast("string"), aug.cast("string"))
-    return F.concat(F.sha2(F.concat(text, F.lit(":0")), 256), F.sha2(F.concat(text, F.lit(":1")), 256))
+    from tessera.functions.rng import key_digits
+    return key_digits(N_KEYS, seed, "shuffle", key, aug)
 
 
 def augment_sudoku_vectorised(df: DataFrame, n: int, seed: int, key: str, train_col: str = "is_train") -> DataFrame:

@@ -24,12 +24,11 @@ def _order_cols(order) -> list[Column]:
     return out
 
 
-def _layout(df: DataFrame, order, num_partitions: int | None, stable: bool) -> DataFrame:
+def _layout(df: DataFrame, order, num_partitions: int | None) -> DataFrame:
     oc = _order_cols(order)
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *oc).sortWithinPartitions(*oc)
-    if stable:
-        ranged = materialise(ranged)
+    # range bounds are sampled: counting and numbering must see one and the same layout
+    ranged = materialise(df.repartitionByRange(n, *oc).sortWithinPartitions(*oc))
     return ranged.withColumn("_t_pid", F.spark_partition_id()) \
                  .withColumn("_t_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33)))
 
@@ -43,13 +42,13 @@ def _partition_offsets(laid: DataFrame, weight: Column | None = None) -> DataFra
 
 
 def dense_id(df: DataFrame, order, name: str = "id", start: int = 0,
-             num_partitions: int | None = None, stable: bool = True) -> DataFrame:
+             num_partitions: int | None = None) -> DataFrame:
     """0-based (plus ``start``) position of each row in ``order``.
 
-    ``order`` should be a total order (add a tiebreak key); ``stable`` cuts the
-    lineage with a reliable checkpoint before numbering.
+    ``order`` should be a total order (add a tiebreak key). The lineage is cut
+    with a reliable checkpoint before numbering.
     """
-    laid = _layout(df, order, num_partitions, stable)
+    laid = _layout(df, order, num_partitions)
     offs = _partition_offsets(laid)
     out = laid.join(F.broadcast(offs), "_t_pid")
     return out.withColumn(name, (F.col("_t_off") + F.col("_t_pos") + F.lit(start)).cast("long")) \
@@ -63,7 +62,7 @@ def prefix_sum(df: DataFrame, value: str, order, name: str = "prefix",
     Partition totals are offsets; inside a partition a window runs on the
     partition id, which is balanced because the layout is range-partitioned.
     """
-    laid = _layout(df, order, num_partitions, stable=True)
+    laid = _layout(df, order, num_partitions)
     offs = _partition_offsets(laid, F.col(value))
     frame = (Window.partitionBy("_t_pid").orderBy("_t_pos")
              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))

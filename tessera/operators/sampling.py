@@ -70,7 +70,7 @@ def train_test_split(df: DataFrame, frac: float, seed: int, key, group=None) ->
     unit = df.select(*_cols(group)).distinct() if group is not None else df
     ukeys = _cols(group if group is not None else key)
     ordered = shuffle_order(unit, seed, ukeys, name="_pos")
-    total = unit.agg(F.count("*").alias("_n"))
+    total = ordered.agg(F.count("*").alias("_n"))  # counted where it is laid out already
     o = ordered.crossJoin(F.broadcast(total)).withColumn(
         "split", F.when(F.col("_pos") < F.floor(F.col("_n") * F.lit(frac)), F.lit("train")).otherwise(F.lit("test")))
     if group is not None:
@@ -87,14 +87,7 @@ def pick_one_per_group(df: DataFrame, group, seed: int, tiebreak, value=None, na
     gcols, tcols = _cols(group), _cols(tiebreak)
     val = F.col(value) if isinstance(value, str) else (value if value is not None else tcols[0])
     hk = h(seed, *gcols, *tcols)
-    integral = len(tcols) == 1 and isinstance(tiebreak, str) and \
-        dict(df.dtypes).get(tiebreak) in ("int", "bigint", "smallint", "tinyint")
-    if integral:
-        # (32-bit hash, 31-bit key) packed in one long: the buffer stays fixed-width,
-        # so this runs as a hash aggregate; order = (hash, key) for keys below 2^31
-        order_key = hk * F.lit(1 << 31) + F.pmod(tcols[0].cast("long"), F.lit(1 << 31))
-    else:
-        order_key = F.struct(hk.alias("k"), *[c.alias(f"t{i}") for i, c in enumerate(tcols)])
+    order_key = F.struct(hk.alias("k"), *[c.alias(f"t{i}") for i, c in enumerate(tcols)])
     return df.groupBy(*gcols).agg(F.min_by(val, order_key).alias(name))
 
 

@@ -34,18 +34,23 @@ def ema_final(df: DataFrame, keys: list[str], order: list[str], value: str, mu:
     return r.groupBy(*keys).agg(F.sum(w * F.col(value)).alias("ema"), F.count("*").alias("n"))
 
 
-def halt_steps(trace: DataFrame, seq: list[str], max_steps: int, rule: str = "positive",
-               explore: F.Column | None = None, min_steps: F.Column | None = None) -> DataFrame:
-    """T4: first step (1-based) that is the last allowed one or wants to halt.
+def halt_step(max_steps: int, rule: str = "positive", explore: F.Column | None = None, min_steps: F.Column | None = None) -> F.Column:
+    """T4 as an aggregate: first step (1-based) that is the last allowed one or wants to halt.
 
-    rule 'positive': q_halt > 0; rule 'compare': q_halt > q_continue. With
-    exploration, a wanting-to-halt step only counts from ``min_steps`` on.
+    rule 'positive': q_halt > 0; 'compare': q_halt > q_continue; 'never': only
+    the last step halts (no adaptive halting). With exploration, a
+    wanting-to-halt step only counts from ``min_steps`` on.
     """
-    want = F.col("q_halt") > 0 if rule == "positive" else F.col("q_halt") > F.col("q_continue")
+    want = {"positive": F.col("q_halt") > 0, "compare": F.col("q_halt") > F.col("q_continue"), "never": F.lit(False)}[rule]
     if explore is not None:
         want = want & (~explore | (F.col("step") >= min_steps))
-    halted = (F.col("step") >= max_steps) | want
-    return trace.groupBy(*seq).agg(F.min(F.when(halted, F.col("step"))).alias("halt_step"))
+    return F.min(F.when((F.col("step") >= max_steps) | want, F.col("step")))
+
+
+def halt_steps(trace: DataFrame, seq: list[str], max_steps: int, rule: str = "positive",
+               explore: F.Column | None = None, min_steps: F.Column | None = None) -> DataFrame:
+    """T4: ``halt_step`` of every sequence."""
+    return trace.groupBy(*seq).agg(halt_step(max_steps, rule, explore, min_steps).alias("halt_step"))
 
 
 def continue_target(trace: DataFrame, seq: list[str], max_steps: int) -> DataFrame:

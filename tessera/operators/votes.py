@@ -108,15 +108,21 @@ def submission(votes: DataFrame, truth: DataFrame, k: int = 2, decoded: DataFram
     return slots.filter(keep).select("name", "ex_idx", "attempt", "pred_hash", "grid")
 
 
-def submission_json(sub: DataFrame) -> DataFrame:
-    """K6: one JSON document per puzzle: name -> [{attempt_1: grid, ...} per pair]."""
+def submission_json(sub: DataFrame, truth: DataFrame | None = None) -> DataFrame:
+    """K6: one JSON document per puzzle: name -> [{attempt_1: grid, ...} per pair].
+
+    With ``truth``, every held-out puzzle is in it, the unanswered with an empty list.
+    """
     per_pair = sub.groupBy("name", "ex_idx").agg(F.map_from_entries(F.array_sort(F.collect_list(
         F.struct(F.concat(F.lit("attempt_"), F.col("attempt").cast("string")).alias("k"),
                  F.col("grid").alias("v"))))).alias("attempts"))
     per_pair = per_pair.select("name", "ex_idx", F.to_json("attempts").alias("j"))
     per_name = per_pair.groupBy("name").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ex_idx", "j"))), lambda s: s["j"]).alias("pairs"))
-    return per_name.select("name", F.concat(F.lit("["), F.array_join("pairs", ","), F.lit("]")).alias("json"))
+    if truth is not None:
+        per_name = truth.select("name").distinct().join(per_name, "name", "left")
+    pairs = F.coalesce(F.array_join("pairs", ","), F.lit(""))
+    return per_name.select("name", F.concat(F.lit("["), pairs, F.lit("]")).alias("json"))
 
 
 def coverage(decoded_or_votes: DataFrame, truth: DataFrame) -> DataFrame:

@@ -159,17 +159,13 @@ LINE_ORDER = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extende
 
 
 def logic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One logic puzzle per order with 2-6 lines: header [House, Name, Part],
+    """One logic puzzle per order: header [House, Name, Part],
     rows [linenumber, 'S'+suppkey, partkey] in line order, size 'rows*3'."""
     l = table(spark, sf_dir, "lineitem").select(*LINE_ORDER)
-    # count first, collect only orders of 2-6 lines (a hot order is never gathered)
-    sizes = l.groupBy("l_orderkey").count().filter((F.col("count") >= 2) & (F.col("count") <= 6))
-    l = l.join(sizes.select("l_orderkey"), "l_orderkey", "left_semi")
     row = F.array(F.col("l_linenumber").cast("string"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")),
                   F.col("l_partkey").cast("string"))
     g = l.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in LINE_ORDER],
                                                                         row.alias("row")))).alias("_r"))
-    g = g.filter((F.size("_r") >= 2) & (F.size("_r") <= 6))
     return g.select(
         F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("id"),
         F.concat(F.size("_r").cast("string"), F.lit("*3")).alias("size"),
@@ -238,13 +234,14 @@ def step_trace(spark: SparkSession, sf_dir: str, seed: int = SEED) -> DataFrame:
 
 # ------------------------------------------------------ F11 sparse deltas
 def embedding_deltas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(table, deltas): table = embeddings as doubles; delta id = event_id % 500,
-    grad = the vector of user_id % 500, negated for 'error' events."""
+    """(table, deltas): table = embeddings as doubles; delta id = event_id modulo the
+    number of vectors, grad = the vector of user_id modulo that, negated for 'error' events."""
     t = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    n = t.count() or 1
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     src = t.select(F.col("id").alias("src"), F.col("embedding").alias("vec"))
-    d = ev.join(src, (ev.user_id % 500) == src.src)
+    d = ev.join(src, (ev.user_id % n) == src.src)
     sign = F.when(F.col("event_type") == "error", F.lit(-1.0)).otherwise(F.lit(1.0))
-    deltas = d.select((F.col("event_id") % 500).alias("id"), F.transform("vec", lambda x: x * sign).alias("grad"))
+    deltas = d.select((F.col("event_id") % n).alias("id"), F.transform("vec", lambda x: x * sign).alias("grad"))
     return t, deltas

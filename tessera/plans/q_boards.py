@@ -27,15 +27,10 @@ sudoku AS (
   FROM sol)"""
 
 
-def _hex_perm_sql(d, offset, n, extra="0"):
-    return (f"list_transform(list_sort(list_transform(range({n}), lambda i: "
-            f"{{'k': substr({d}, CAST({offset} + ({extra}) + i * 3 + 1 AS INTEGER), 3), 'i': i}})), lambda s: s.i)")
-
-
-def _band_sql(d, offset):
-    return X.let(_hex_perm_sql(d, offset, 3), lambda b: (
+def _band_sql(d, first):
+    return X.let(X.perm_from_hex(d, first, 3), lambda b: (
         f"flatten(list_transform(range(3), lambda bi: list_transform("
-        f"{_hex_perm_sql(d, offset + 9, 3, 'bi * 9')}, lambda r: {b}[bi + 1] * 3 + r)))"))
+        f"{X.perm_from_hex(d, f'{first + 3} + bi * 3', 3)}, lambda r: {b}[bi + 1] * 3 + r)))"))
 
 
 def _shuffle_sql(cells):
@@ -50,12 +45,10 @@ parsed AS (SELECT o_orderkey, source, list_transform(string_split(replace(q, '.'
                   {X.h(SEED, "'split'", 'o_orderkey')} % 10 < 8 AS is_train
            FROM sudoku WHERE rating >= {MIN_RATING}),
 e AS (SELECT parsed.*, CAST(unnest(CASE WHEN is_train THEN range({N_SHUFFLE + 1}) ELSE [0] END) AS INTEGER) AS aug_idx FROM parsed),
-dg AS (SELECT e.*, sha256(concat_ws(':', '{SEED}', 'shuffle', CAST(o_orderkey AS VARCHAR), CAST(aug_idx AS VARCHAR)) || ':0')
-                  || sha256(concat_ws(':', '{SEED}', 'shuffle', CAST(o_orderkey AS VARCHAR), CAST(aug_idx AS VARCHAR)) || ':1') AS dg
-      FROM e),
-d AS (SELECT dg.*, list_concat([0], list_transform({_hex_perm_sql('dg', 0, 9)}, lambda x: x + 1)) AS dm,
-             instr('13579bdf', substr(dg, 28, 1)) > 0 AS tr,
-             {_band_sql('dg', 28)} AS rows_, {_band_sql('dg', 64)} AS cols_ FROM dg),
+dg AS (SELECT e.*, {X.key_digits(BD.N_KEYS, SEED, "'shuffle'", 'o_orderkey', 'aug_idx')} AS dg FROM e),
+d AS (SELECT dg.*, list_concat([0], list_transform({X.perm_from_hex('dg', BD.DIGIT_KEYS, 9)}, lambda x: x + 1)) AS dm,
+             instr('13579bdf', substr(dg, {BD.FLIP_KEY * 8 + 1}, 1)) > 0 AS tr,
+             {_band_sql('dg', BD.ROW_KEYS)} AS rows_, {_band_sql('dg', BD.COLUMN_KEYS)} AS cols_ FROM dg),
 s AS (SELECT source, aug_idx, CASE WHEN aug_idx = 0 THEN qc ELSE {_shuffle_sql('qc')} END AS q2,
              CASE WHEN aug_idx = 0 THEN ac ELSE {_shuffle_sql('ac')} END AS a2 FROM d)
 SELECT source, aug_idx, array_to_string(list_transform(q2, lambda x: x + 1), ',') AS inputs,

@@ -73,4 +73,5 @@ def submission_json(spark, sf_dir):
     """E10 + K6: per-puzzle submission documents {attempt_1, attempt_2} per answered pair."""
     preds, identifiers, puzzles = FX.grid_predictions(spark, sf_dir)
     votes = V.vote_table(V.decode_predictions(preds, identifiers), with_grid=True)
-    return V.submission_json(V.submission(votes, V.truth_table(puzzles), 2))
+    truth = V.truth_table(puzzles)
+    return V.submission_json(V.submission(votes, truth, 2), truth)

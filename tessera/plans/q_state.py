@@ -20,18 +20,19 @@ te AS (SELECT id, unnest(emb) AS p, CAST(unnest(range(len(emb))) AS INTEGER) AS
 
 
 @register("embed_update", f"""WITH {_EMB_SQL},
-d AS (SELECT e.event_id % 500 AS id,
+n AS (SELECT count(*) AS n FROM embeddings),
+d AS (SELECT e.event_id % n.n AS id,
              list_transform(t.emb, lambda x: x * CASE WHEN e.event_type = 'error' THEN -1.0 ELSE 1.0 END) AS grad
-      FROM events e JOIN t ON t.id = e.user_id % 500),
+      FROM events e, n JOIN t ON t.id = e.user_id % n.n),
 dl AS (SELECT id, unnest(grad) AS g, CAST(unnest(range(len(grad))) AS INTEGER) AS pos FROM d),
 s AS (SELECT id, pos, round(sum(g), 6) AS g FROM dl GROUP BY id, pos)
-SELECT te.id, te.pos, round(te.p * {1.0 - LR * WD!r} - {LR!r} * sign(s.g), 6) AS value
-FROM te JOIN s ON s.id = te.id AND s.pos = te.pos""")
+SELECT te.id, te.pos, round(CASE WHEN s.g IS NULL THEN te.p ELSE te.p * {1.0 - LR * WD!r} - {LR!r} * sign(s.g) END, 6) AS value
+FROM te LEFT JOIN s ON s.id = te.id AND s.pos = te.pos""")
 def embed_update(spark, sf_dir):
-    """F11 + N1-N3: sparse deltas summed per id (rounded to 6), sign-SGD with decoupled decay."""
+    """F11 + N1-N3: sparse deltas summed per id (rounded to 6), sign-SGD with decoupled decay; all rows, touched or not."""
     table, deltas = FX.embedding_deltas(spark, sf_dir)
     grads = N.aggregate_deltas(deltas, "id", "grad", round_to=6)
-    upd = N.apply_sign_sgd(table, grads, LR, WD, "id", "embedding", "grad").filter("touched")
+    upd = N.apply_sign_sgd(table, grads, LR, WD, "id", "embedding", "grad")
     return upd.select("id", F.posexplode("embedding").alias("pos", "v")).select("id", "pos", F.round("v", 6).alias("value"))
 
 
@@ -76,13 +77,11 @@ FROM tr GROUP BY user_id, day""")
 def halt_step(spark, sf_dir):
     """F10 + T4: halting step per (user, day) trace under both rules and with exploration (p = 0.1)."""
     tr = FX.step_trace(spark, sf_dir)
-    a = T.halt_steps(tr, ["user_id", "day"], MAX_STEPS, "positive").withColumnRenamed("halt_step", "halt_positive")
-    b = T.halt_steps(tr, ["user_id", "day"], MAX_STEPS, "compare").withColumnRenamed("halt_step", "halt_compare")
     explore = h(SEED, "explore", F.col("user_id"), F.col("day")) % 10 == 0
     min_steps = 2 + h(SEED, "min_steps", F.col("user_id"), F.col("day")) % (MAX_STEPS - 1)
-    c = T.halt_steps(tr, ["user_id", "day"], MAX_STEPS, "positive", explore, min_steps) \
-        .withColumnRenamed("halt_step", "halt_explore")
-    return a.join(b, ["user_id", "day"]).join(c, ["user_id", "day"])
+    return tr.groupBy("user_id", "day").agg(  # one aggregation for the three rules
+        T.halt_step(MAX_STEPS, "positive").alias("halt_positive"), T.halt_step(MAX_STEPS, "compare").alias("halt_compare"),
+        T.halt_step(MAX_STEPS, "positive", explore, min_steps).alias("halt_explore"))
 
 
 @register("continue_target", f"""WITH {_TRACE_SQL}

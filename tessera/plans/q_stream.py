@@ -18,11 +18,6 @@ def _stream_table(spark, sf_dir, name, files_per_trigger=1):
             .option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir))
 
 
-def _swap_source(df_fn, stream):
-    """Run a fixture builder on a stream by handing it the streamed table."""
-    return df_fn(stream)
-
-
 def _logits_from(e):
     from tessera.functions.rng import h
     from tessera.functions.util import let
@@ -51,7 +46,7 @@ def stream_metrics_by_set(spark, sf_dir):
 def stream_ema(spark, sf_dir):
     """T3 (stream): per-user moving average of event values kept in keyed state."""
     ev = _stream_table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    out = ST.run_to_table(ST.ema_state(ev, "user_id", ["ts", "event_id"], "value", 0.9), spark, "update", ["user_id"])
+    out = ST.ema_to_table(ev, spark, "user_id", ["ts", "event_id"], "value", 0.9)
     return out.select("user_id", F.round("ema", 6).alias("ema"), "n")
 
 

@@ -32,13 +32,18 @@ def digest(seed, *keys) -> str:
     return f"md5(concat_ws(':', {parts}))"
 
 
-def random_perm(n, seed, *keys) -> str:
-    if isinstance(n, int) and n <= 10:
-        return let(digest(seed, *keys), lambda d: (
-            f"list_transform(list_sort(list_transform(range({n}), lambda i: "
-            f"{{'k': substr({d}, CAST(i * 3 + 1 AS INTEGER), 3), 'i': i}})), lambda s: s.i)"))
+def key_digits(n, seed, *keys) -> str:
+    parts = ", ".join([str(seed)] + [f"CAST({k} AS VARCHAR)" for k in keys])
+    return " || ".join(f"sha256(concat_ws(':', {parts}, '{j}'))" for j in range(-(-n // 8)))
+
+
+def perm_from_hex(d, first, n) -> str:
     return (f"list_transform(list_sort(list_transform(range({n}), lambda i: "
-            f"{{'k': {h(seed, *keys, 'i')}, 'i': i}})), lambda s: s.i)")
+            f"{{'k': substr({d}, CAST((i + {first}) * 8 + 1 AS INTEGER), 8), 'i': i}})), lambda s: s.i)")
+
+
+def random_perm(n, seed, *keys) -> str:
+    return let(f"({key_digits(n, seed, *keys)})", lambda d: perm_from_hex(d, 0, n))
 
 
 def colour_perm(seed, *keys) -> str:

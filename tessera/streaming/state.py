@@ -2,20 +2,18 @@
 
 T1 vote state and T2 metric totals are streaming aggregations (state in the
 state store, partial aggregation per micro-batch). T3 keeps one (ema, n) per
-key with applyInPandasWithState. Results go through foreachBatch into a table
-in the shared checkpoint folder (never the driver), and stream checkpoints
-live there too, so a restarted query resumes where it stopped.
+key in a table that each micro-batch merges into. Results go through
+foreachBatch into tables under one path, in the shared checkpoint folder unless
+the caller names one (never the driver), and stream checkpoints live there too:
+a query that is started again on its path resumes where it stopped.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.session import ensure_checkpoint_dir
 
@@ -38,60 +36,93 @@ def metric_totals(scored: DataFrame, set_col: str = "set_name") -> DataFrame:
     return scored.groupBy(set_col).agg(*_sums(F.col("valid")))
 
 
-def ema_state(stream: DataFrame, key: str, order: list[str], value: str, mu: float) -> DataFrame:
-    """T3 (stream): s <- (1 - mu) x + mu s per key, s0 = first value; state = (ema, n).
+def latest_version(spark: SparkSession, out: str) -> int | None:
+    """Highest v<n> under ``out``, from the file system, so a restarted query knows it too."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    done = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{n}/_SUCCESS"))]
+    return max(done, default=None)
 
-    Rows of a key inside one micro-batch are applied in ``order``; batches are
-    assumed to arrive in order (as a training log does).
-    """
-    out_schema = f"{key} long, ema double, n long"
-    state_schema = "ema double, n long"
-
-    def fold(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ema, n = (state.get if state.exists else (None, 0))
-        for pdf in pdfs:
-            for x in pdf.sort_values(order)[value].to_numpy():
-                ema = float(x) if ema is None else (1.0 - mu) * float(x) + mu * ema
-                n += 1
-        state.update((ema, n))
-        yield pd.DataFrame({key: [k[0]], "ema": [ema], "n": [n]})
 
-    return stream.groupBy(key).applyInPandasWithState(
-        fold, out_schema, state_schema, "update", GroupStateTimeout.NoTimeout)
+def _drain(stream: DataFrame, mode: str, sink, ckpt: str, timeout_s: int) -> None:
+    q = (stream.writeStream.outputMode(mode).foreachBatch(sink)
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination(timeout_s)
+    if q.isActive:
+        q.stop()
+        raise TimeoutError("stream did not finish")
+    if q.exception():
+        raise q.exception()
 
 
 def run_to_table(stream: DataFrame, spark: SparkSession, mode: str = "complete",
-                 keys: list[str] | None = None, timeout_s: int = 600) -> DataFrame:
+                 keys: list[str] | None = None, timeout_s: int = 600, path: str | None = None) -> DataFrame:
     """Run a stream over everything available (availableNow) into a table, return it.
 
-    complete: each batch overwrites the table with the whole result.
-    update:   each batch's changed keys are merged (anti-join + union) into it.
+    complete: each batch is the whole result, a new version.
+    update:   each batch holds changed keys (``keys``), which replace those of the version before.
+    ``path`` holds table and stream checkpoint: a query started again on it goes
+    on from its last version. A version belongs to a batch id, so a batch that
+    is run again writes the same one.
     """
-    out = scratch_path(spark, "out")
-    ckpt = scratch_path(spark, "ckpt")
-    state = {"n": 0}
+    path = path or scratch_path(spark, "stream")
+    out = f"{path}/out"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        if mode == "complete" or state["n"] == 0:
-            batch.write.mode("overwrite").parquet(f"{out}/v{batch_id}")
-        else:
-            prev = spark.read.parquet(f"{out}/v{state['last']}")
-            merged = prev.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
-            merged.write.mode("overwrite").parquet(f"{out}/v{batch_id}")
-        state["n"] += 1
-        state["last"] = batch_id
+        before = [v for v in (latest_version(spark, out),) if v is not None]
+        if mode == "update" and before:
+            last = before[0] if before[0] < batch_id else batch_id - 1
+            prev = spark.read.parquet(f"{out}/v{last}")
+            batch = prev.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
+        batch.write.mode("overwrite").parquet(f"{out}/v{batch_id}")
+
+    _drain(stream, mode, sink, f"{path}/checkpoint", timeout_s)
+    last = latest_version(spark, out)
+    if last is None:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.parquet(f"{out}/v{last}")
+
+
+def ema_to_table(stream: DataFrame, spark: SparkSession, key: str, order: list[str], value: str, mu: float,
+                 timeout_s: int = 600, path: str | None = None) -> DataFrame:
+    """T3 (stream): s <- (1 - mu) x + mu s per key, s0 = first value; (key, ema, n).
+
+    The update is linear: a micro-batch with x_1 .. x_n takes s to
+    mu^n s + sum of (1 - mu) mu^(n - i) x_i, with x_1 for s at a key's first
+    batch. The sum is a grouped aggregate over ranks, so a key with any number
+    of rows in a batch is summed by many tasks; the state is a table of one row
+    a key. Rows are applied in ``order`` inside a batch; batches are taken to
+    arrive in order, as a training log does.
+    """
+    from tessera.operators.trace import rank_within
+    path = path or scratch_path(spark, "ema")
+    out = f"{path}/out"
 
-    q = (stream.writeStream.outputMode(mode).foreachBatch(sink)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("stream did not finish")
-    if q.exception():
-        raise q.exception()
-    if state["n"] == 0:
-        return stream.sparkSession.createDataFrame([], stream.schema)
-    return spark.read.parquet(f"{out}/v{state['last']}")
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        rows = rank_within(batch.select(key, *[c for c in order if c != key], value), [key], order)
+        weight = (1.0 - mu) * F.pow(F.lit(mu), (F.col("key_size") - 1 - F.col("rank")).cast("double"))
+        new = rows.groupBy(key).agg(F.sum(weight * F.col(value)).alias("w"), F.count("*").alias("m"),
+                                    F.max(F.when(F.col("rank") == 0, F.col(value))).cast("double").alias("x1"))
+        last = latest_version(spark, out)
+        last = None if last is None else last if last < batch_id else batch_id - 1
+        if last is None or last < 0:
+            old = spark.createDataFrame([], f"{key} {dict(batch.dtypes)[key]}, ema double, n long")
+        else:
+            old = spark.read.parquet(f"{out}/v{last}")
+        both = old.join(new, key, "full")
+        ema = F.when(F.col("m").isNull(), F.col("ema")).otherwise(
+            F.pow(F.lit(mu), F.col("m").cast("double")) * F.coalesce("ema", "x1") + F.col("w"))
+        n = F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))
+        both.select(key, ema.alias("ema"), n.alias("n")).write.mode("overwrite").parquet(f"{out}/v{batch_id}")
+
+    _drain(stream, "append", sink, f"{path}/checkpoint", timeout_s)
+    last = latest_version(spark, out)
+    if last is None:
+        return spark.createDataFrame([], f"{key} {dict(stream.dtypes)[key]}, ema double, n long")
+    return spark.read.parquet(f"{out}/v{last}")
 
 
 def append_metrics(wide: DataFrame, path: str, step: int, keys: list[str]) -> None:

@@ -17,8 +17,7 @@ def test_ema_many_batches_equals_batch(spark, sf_dir):
     files = spark.read.parquet(src)
     stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(src)
     # the file source lists partitions in path order, so part=1 .. part=5 arrive in time order
-    out = ST.run_to_table(ST.ema_state(stream.drop("part"), "user_id", ["ts", "event_id"], "value", 0.9),
-                          spark, "update", ["user_id"])
+    out = ST.ema_to_table(stream.drop("part"), spark, "user_id", ["ts", "event_id"], "value", 0.9)
     got = {r["user_id"]: (round(r["ema"], 6), r["n"]) for r in out.collect()}
     want = {r["user_id"]: (round(r["ema"], 6), r["n"]) for r in ema_final(ev, ["user_id"], ["ts", "event_id"], "value", 0.9).collect()}
     assert got == want
