@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, line_dedup, mixing
+from tessera.llm import chat, line_dedup, mixing, oracles
 from tessera.llm.decontaminate import contamination
 from tessera.llm.html_extract import extracted
 from tessera.llm.near_dedup import near_duplicates
@@ -21,8 +21,7 @@ from tessera.llm.token_output import token_table
 def op1_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every document."""
     found = contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), ["doc_id"])
-    return found.select("row.doc_id", "found.n_words", "found.n_hit", "found.n_items", "found.items_sha256",
-                        "found.longest_match", "found.contaminated")
+    return found.select("row.doc_id", "found.n_words", "found.n_hit", "found.n_items", "found.items_sha256", "found.contaminated")
 
 
 def op2_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +94,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_suffix_array_decontamination": oracles.decontamination(),
     "op3_site_relative_lines": line_dedup.ORACLE,
+    "op4_odd_sketch_near_dedup": oracles.near_duplicates(),
     "op5_pfair_mixing": mixing.ORACLE,
+    "op7_entropy_secrets": oracles.secrets(),
     "op9_chat_fsm": chat.oracle(),
 }
