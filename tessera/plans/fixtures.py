@@ -20,19 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- F1 grids
+GRID_WIDTHS = (8, 16, 4)
+
+
 def embedding_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One grid per vector: 8x8 cells quantised to 0..9, cropped to h x w.
+    """One grid per vector: all its values quantised to 0..9, in rows of 4, 8 or 16 (a last row is filled up with 0).
 
     puzzle = vec_id div 4; example = (vec_id % 4) div 2; even = input, odd = output.
     """
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     vid = F.col("vec_id")
-    hh = (F.lit(3) + vid % 6).cast("int")
-    ww = (F.lit(3) + F.floor(vid / 6) % 6).cast("int")
+    ww = F.element_at(F.array(*[F.lit(w) for w in GRID_WIDTHS]), (vid % len(GRID_WIDTHS) + 1).cast("int"))
+    hh = F.ceil(F.size("embedding") / ww).cast("int")
     emb = F.col("embedding")
     grid = F.transform(F.sequence(F.lit(0), hh - 1), lambda r: F.transform(
         F.sequence(F.lit(0), ww - 1),
-        lambda c: F.least(F.lit(9), F.floor(F.abs(emb[r * 8 + c].cast("double")) * 20)).cast("int")))
+        lambda c: F.coalesce(F.least(F.lit(9), F.floor(F.abs(F.get(emb, r * ww + c).cast("double")) * 20)).cast("int"), F.lit(0))))
     return e.select(
         vid,
         F.floor(vid / 4).alias("puzzle_id"),
@@ -88,7 +91,9 @@ def grid_predictions(spark: SparkSession, sf_dir: str, n_aug: int = N_AUG, seed:
     Per test pair and augmentation: with probability 0.6 the prediction is the
     true output, else the test output of puzzle 1 + hash % 3 further on (own
     output when that puzzle does not exist). One prediction in ten gets an end
-    marker written at a hashed position, so cropping has real work to do.
+    marker written at a hashed position, so cropping has real work to do. One
+    puzzle in ten has no prediction at all, and one row in twenty has the blank
+    identifier.
     """
     puz = grid_puzzles(spark, sf_dir)
     plan = augmentation_plan(puz, n_aug, seed)
@@ -96,6 +101,8 @@ def grid_predictions(spark: SparkSession, sf_dir: str, n_aug: int = N_AUG, seed:
     donor = test.select(F.col("puzzle_id").alias("donor_id"), F.col("output").alias("donor_out"))
     t = test.join(plan.drop("puzzle_name"), "puzzle_id")
     pid, aidx = F.col("puzzle_id"), F.col("aug_idx")
+    t = t.filter(h(seed, "unanswered", pid) % 10 != 0).withColumn(
+        "puzzle_identifier", F.when(h(seed, "blank", pid, aidx) % 20 == 0, F.lit(0)).otherwise(F.col("puzzle_identifier")))
     u = h(seed, "pred", pid, aidx)
     t = t.withColumn("u", u).withColumn(
         "donor_id", F.when(F.col("u") % 100 < 60, pid).otherwise(pid + 1 + F.col("u") % 3))
@@ -206,11 +213,14 @@ MAZE_CHARSET = "# SGo"  # fixed value: maze characters, ids 1..5 in this order
 
 
 def maze_rows(spark: SparkSession, sf_dir: str, seed: int = SEED, side: int = 10) -> DataFrame:
-    """One side x side character board per page (shape fixture, not a solvable maze)."""
-    p = table(spark, sf_dir, "pages").select("page_id")
+    """One side x side character board per page, from characters all over its url and html
+    (shape fixture, not a solvable maze)."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat_ws(" ", F.lit(""), "url", "html").alias("_t"))
+    p = p.withColumn("_n", F.char_length("_t"))
     pid = F.col("page_id")
-    cells = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)),
-                        lambda i: F.substring(F.lit(MAZE_CHARSET), (h(seed, "maze", pid, i) % 5 + 1).cast("int"), 1))
+    n = side * side
+    cells = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(
+        F.lit(MAZE_CHARSET), ((F.ascii(F.substring(F.col("_t"), (F.floor(i * F.col("_n") / n) + 1).cast("int"), F.lit(1))) + i) % 5 + 1).cast("int"), F.lit(1)))
     sol = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.when(
         (F.element_at(F.col("_q"), i + 1) == " ") & (h(seed, "path", pid, i) % 3 == 0), F.lit("o"))
         .otherwise(F.element_at(F.col("_q"), i + 1)))

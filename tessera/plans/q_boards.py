@@ -64,7 +64,8 @@ def sudoku_augment(spark, sf_dir):
 
 
 MAZE_SQL = f"""
-mz0 AS (SELECT page_id, list_transform(range(100), lambda i: substr('{FX.MAZE_CHARSET}', CAST({X.h(SEED, "'maze'", 'page_id', 'i')} % 5 + 1 AS INTEGER), 1)) AS qc FROM pages),
+mz0 AS (SELECT page_id, list_transform(range(100), lambda i: substr('{FX.MAZE_CHARSET}', CAST((unicode(substr(t, CAST(i * length(t) // 100 + 1 AS INTEGER), 1)) + i) % 5 + 1 AS INTEGER), 1)) AS qc
+        FROM (SELECT page_id, concat_ws(' ', '', url, html) AS t FROM pages)),
 maze AS (SELECT 'p' || CAST(page_id AS VARCHAR) AS source, array_to_string(qc, '') AS q,
                 array_to_string(list_transform(qc, lambda x, i: CASE WHEN x = ' ' AND {X.h(SEED, "'path'", 'page_id', 'i - 1')} % 3 = 0 THEN 'o' ELSE x END), '') AS a
          FROM mz0)"""

@@ -11,9 +11,9 @@ GRIDS = f"""
 grids AS (
   SELECT vec_id, vec_id // 4 AS puzzle_id, CAST((vec_id % 4) // 2 AS INTEGER) AS ex_idx,
          CAST(vec_id % 2 AS INTEGER) AS is_output,
-         list_transform(range(3 + vec_id % 6), lambda r: list_transform(range(3 + (vec_id // 6) % 6),
-           lambda c: CAST(least(9, floor(abs(CAST(embedding[r * 8 + c + 1] AS DOUBLE)) * 20)) AS INTEGER))) AS grid
-  FROM embeddings),
+         list_transform(range((len(embedding) + ww - 1) // ww), lambda r: list_transform(range(ww),
+           lambda c: coalesce(CAST(least(9, floor(abs(CAST(embedding[r * ww + c + 1] AS DOUBLE)) * 20)) AS INTEGER), 0))) AS grid
+  FROM (SELECT *, [8, 16, 4][vec_id % 3 + 1] AS ww FROM embeddings)),
 pairs AS (
   SELECT puzzle_id, 'p' || CAST(puzzle_id AS VARCHAR) AS puzzle_name, ex_idx,
          CASE WHEN ex_idx = 0 THEN 'train' ELSE 'test' END AS role,
@@ -35,11 +35,13 @@ plan AS (
 PREDICTIONS = f"""
 ptest AS (SELECT * FROM pairs WHERE role = 'test'),
 pt AS (
-  SELECT t.puzzle_id, p.aug_idx, p.tid, p.perm, p.puzzle_identifier, t.input, t.output,
+  SELECT t.puzzle_id, p.aug_idx, p.tid, p.perm,
+         CASE WHEN {X.h(SEED, "'blank'", 't.puzzle_id', 'p.aug_idx')} % 20 = 0 THEN 0 ELSE p.puzzle_identifier END AS puzzle_identifier,
+         t.input, t.output,
          {X.h(SEED, "'pred'", 't.puzzle_id', 'p.aug_idx')} AS u,
          {X.h(SEED, "'noise'", 't.puzzle_id', 'p.aug_idx')} AS noise,
          ({X.h(SEED, "'q'", 't.puzzle_id', 'p.aug_idx')} % 2000) / 1000.0 - 1.0 AS q_halt_logits
-  FROM ptest t JOIN plan p ON p.puzzle_id = t.puzzle_id),
+  FROM ptest t JOIN plan p ON p.puzzle_id = t.puzzle_id WHERE {X.h(SEED, "'unanswered'", 't.puzzle_id')} % 10 <> 0),
 pt2 AS (
   SELECT pt.*, coalesce(d.output, pt.output) AS pred
   FROM pt LEFT JOIN ptest d
