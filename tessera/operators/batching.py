@@ -13,7 +13,7 @@ single-task fold:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.rng import h
@@ -182,6 +182,48 @@ def pack_batches(order_sizes: DataFrame, batch_size: int, drop_last: bool = True
     return out.drop("_closes")
 
 
+def batch_examples(packed: DataFrame, examples: DataFrame, puzzle_col: str, example_key: list[str],
+                   batch_size: int, replicas: int, seed: int, iteration: int = 1, draw_key: list[str] | None = None) -> DataFrame:
+    """R7 + B5: the examples of a packed plan.
+
+    ``packed`` has (order, puzzle, batch_id, take, slot_start). ``take`` seeded
+    examples of a slot's puzzle, without replacement, go to the slots from
+    slot_start on; a slot's rank and place in it follow from its number. Adds
+    (order, batch_id, slot, rank, local_slot) to the columns of ``examples``. The
+    draw hashes ``draw_key``, ties going by ``example_key`` (by default the same).
+    """
+    if batch_size % replicas:
+        raise ValueError("global batch must be divisible by replicas (V7)")
+    local = batch_size // replicas
+    j = packed.select("order", puzzle_col, "batch_id", "take", "slot_start").join(examples, puzzle_col)
+    draw = h(seed + iteration, "example", F.col("order"), *[F.col(c) for c in draw_key or example_key])
+    j = j.withColumn("_n", F.row_number().over(Window.partitionBy("order").orderBy(draw, *example_key)))
+    slot = (F.col("slot_start") + F.col("_n") - 1).cast("int")
+    return j.filter(F.col("_n") <= F.col("take")).withColumn("slot", slot) \
+            .withColumn("rank", F.floor(F.col("slot") / local).cast("int")) \
+            .withColumn("local_slot", (F.col("slot") % local).cast("int")).drop("_n", "take", "slot_start")
+
+
+def train_batches(examples: DataFrame, sets: list[str], group_col: str, puzzle_col: str, example_key: list[str], epochs: int,
+                  batch_size: int, replicas: int, seed: int, iteration: int = 1, set_col: str = "set_name",
+                  draw_key: list[str] | None = None) -> DataFrame:
+    """B1 -> R6 -> B2 -> R7 -> B5 for every set in turn: the training batches of one pass over ``sets``.
+
+    Each set is shuffled and packed on its own, with the next iteration number;
+    short last batches are dropped.
+    """
+    out = None
+    for i, name in enumerate(sets):  # a few names, a parameter
+        own = examples.filter(F.col(set_col) == name)
+        puzzles = own.groupBy(group_col, puzzle_col).agg(F.count("*").alias("size"))
+        order = epoch_order(puzzles, group_col, epochs, seed, iteration + i)
+        plan = materialise(pick_puzzles(order, puzzles, group_col, puzzle_col, seed, iteration + i))
+        packed = pack_batches(plan.select("order", "size"), batch_size).join(plan.select("order", puzzle_col), "order")
+        rows = batch_examples(packed, own, puzzle_col, example_key, batch_size, replicas, seed, iteration + i, draw_key)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def eval_batches(examples: DataFrame, order, batch_size: int, replicas: int = 1) -> DataFrame:
     """B4 + B5: sequential evaluation batches (short last batch kept) and rank slices.
 
