@@ -20,8 +20,9 @@ _ASCII_LOWER[65:91] += 32
 
 
 def byte_class(separators: np.ndarray, lower: bool) -> np.ndarray:
-    """Table byte -> the byte of the word it belongs to, 0 for a separator."""
+    """Table byte -> the byte of the word it belongs to, 0 for a separator; the zero byte stands as 0xFF, which UTF-8 lacks."""
     table = (_ASCII_LOWER if lower else np.arange(256, dtype=np.uint8)).copy()
+    table[0] = 0xFF
     table[separators] = 0
     return table
 
