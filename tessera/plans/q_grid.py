@@ -96,7 +96,7 @@ def puzzle_hash(spark, sf_dir):
 AUG_N = 8
 
 
-@register("augment_dedup", _G + _PH + f""",
+_KEPT = f""",
 tr0 AS (
   SELECT k.puzzle_id, t.trial,
          CAST({X.h(SEED, "'tid'", 'k.puzzle_id', 't.trial')} % 8 AS INTEGER) AS tid,
@@ -110,7 +110,10 @@ th AS (SELECT puzzle_id, trial, sha256(array_to_string(list_sort(list({X.grid_ha
        FROM ex GROUP BY puzzle_id, trial),
 cand AS (SELECT th.puzzle_id, th.puzzle_hash, min(th.trial) AS trial FROM th JOIN ph ON ph.puzzle_id = th.puzzle_id
          WHERE th.puzzle_hash <> ph.puzzle_hash GROUP BY th.puzzle_id, th.puzzle_hash),
-kept AS (SELECT *, row_number() OVER (PARTITION BY puzzle_id ORDER BY trial) AS aug_idx FROM cand)
+kept AS (SELECT *, row_number() OVER (PARTITION BY puzzle_id ORDER BY trial) AS aug_idx FROM cand)"""
+
+
+@register("augment_dedup", _G + _PH + _KEPT + f"""
 SELECT k.puzzle_id, CAST(k.aug_idx AS INTEGER) AS aug_idx, CAST(k.trial AS INTEGER) AS trial, tr.tid, array_to_string(tr.perm, '') AS perm, k.puzzle_hash
 FROM kept k JOIN tr ON tr.puzzle_id = k.puzzle_id AND tr.trial = k.trial WHERE k.aug_idx <= {AUG_N}
 UNION ALL
@@ -137,12 +140,10 @@ def grid_serialise(spark, sf_dir):
     """G8 + G9 + R8: translated token images; one seeded example per puzzle keeps offset 0."""
     p = FX.grid_puzzles(spark, sf_dir)
     p = R.mark_exempt(p, "puzzle_id", SEED, "ex_idx")
-    key = F.concat_ws(":", F.col("puzzle_id").cast("string"), F.col("ex_idx").cast("string"))
     pr = F.when(F.col("exempt"), F.lit(0)).otherwise(F.pmod(h(SEED, "pad_r", F.col("puzzle_id"), F.col("ex_idx")),
                                                            31 - F.greatest(G.height(F.col("input")), G.height(F.col("output")))).cast("int"))
     pc = F.when(F.col("exempt"), F.lit(0)).otherwise(F.pmod(h(SEED, "pad_c", F.col("puzzle_id"), F.col("ex_idx")),
                                                            31 - F.greatest(G.width(F.col("input")), G.width(F.col("output")))).cast("int"))
-    del key
     p = p.withColumn("pad_r", pr).withColumn("pad_c", pc)
     return p.select("puzzle_id", "ex_idx", "exempt", "pad_r", "pad_c",
                     F.array_join(G.serialise(F.col("input"), F.col("pad_r"), F.col("pad_c")), ",").alias("inputs"),
@@ -164,3 +165,38 @@ def grid_crop_roundtrip(spark, sf_dir):
                                                                      (F.col("u") % 2).cast("int")).otherwise(x)))
     return g.select("vec_id", (F.to_json(G.crop(F.col("seq"))) == F.to_json("grid")).alias("roundtrip_ok"),
                     F.to_json(G.crop(F.col("noisy"))).alias("noisy_crop_json"))
+
+
+_EX = """,
+grp AS (SELECT k.puzzle_id, k.aug_idx, tr.tid, tr.perm FROM kept k JOIN tr ON tr.puzzle_id = k.puzzle_id AND tr.trial = k.trial WHERE k.aug_idx <= """ + str(AUG_N) + """
+        UNION ALL SELECT puzzle_id, 0, 0, range(10) FROM ph),
+names AS (SELECT DISTINCT g.*, CASE WHEN aug_idx = 0 THEN p.puzzle_name ELSE p.puzzle_name || '|||t' || CAST(tid AS VARCHAR) || '|||' || array_to_string(perm, '') END AS name
+          FROM grp g JOIN pairs p ON p.puzzle_id = g.puzzle_id),
+numbered AS (SELECT *, row_number() OVER (ORDER BY puzzle_id, aug_idx, name) AS ident FROM names),
+rows AS (SELECT CASE WHEN p.role = 'train' OR p.puzzle_id % 2 = 0 THEN 'train' ELSE 'test' END AS split, n.puzzle_id, n.name, n.ident, p.ex_idx,
+                """ + X.augment('p.input', 'n.tid', 'n.perm') + """ AS input, """ + X.augment('p.output', 'n.tid', 'n.perm') + """ AS output
+         FROM numbered n JOIN pairs p ON p.puzzle_id = n.puzzle_id),
+spare AS (SELECT split, name, arg_min(ex_idx, {'h': """ + X.h(SEED, 'name', 'split', 'ex_idx') + """, 'i': ex_idx}) AS ex FROM rows GROUP BY split, name),
+placed AS (SELECT r.*, CASE WHEN r.split <> 'train' OR r.ex_idx = s.ex THEN 0 ELSE CAST(""" + X.h(SEED, "'pad_r'", "r.name || ':' || r.ex_idx") + """ % (31 - greatest(len(input), len(output))) AS INTEGER) END AS pr,
+                  CASE WHEN r.split <> 'train' OR r.ex_idx = s.ex THEN 0 ELSE CAST(""" + X.h(SEED, "'pad_c'", "r.name || ':' || r.ex_idx") + """ % (31 - greatest(len(input[1]), len(output[1]))) AS INTEGER) END AS pc
+           FROM rows r JOIN spare s ON s.split = r.split AND s.name = r.name),
+meta AS (SELECT split, count(DISTINCT puzzle_id) AS total_groups, count(DISTINCT name) AS total_puzzles, count(*) / count(DISTINCT name) AS mean_examples FROM rows GROUP BY split)"""
+
+
+@register("build_corpus", _G + _PH + _KEPT + _EX + f"""
+SELECT p.split, 'all' AS set_name, p.name AS puzzle_name, CAST(ident AS INTEGER) AS puzzle_identifier, p.ex_idx,
+       md5(array_to_string({X.serialise('input', 'pr', 'pc')}, ',')) AS inputs_md5, md5(array_to_string({X.serialise('output', 'pr', 'pc')}, ',')) AS labels_md5,
+       total_groups, total_puzzles, round(mean_examples, 6) AS mean_puzzle_examples, CAST((SELECT max(ident) + 1 FROM numbered) AS BIGINT) AS num_puzzle_identifiers, true AS consistent
+FROM placed p JOIN meta ON meta.split = p.split""")
+def build_corpus(spark, sf_dir):
+    """A1 -> G5 -> D2 -> R8 -> G9 -> G8 -> K1-K4, then S9 + S10 + metadata + D6: the corpus built, written and read back."""
+    from tessera.operators import corpus as C
+    from tessera.streaming.state import scratch_path
+    p = FX.grid_puzzles(spark, sf_dir)
+    p = p.withColumn("split", F.when((F.col("role") == "train") | (F.col("puzzle_id") % 2 == 0), "train").otherwise("test"))
+    path = scratch_path(spark, "corpus")
+    C.build_corpus(p, path, AUG_N, SEED)
+    r = C.load_corpus(spark, path)
+    return r.select("split", "set_name", "puzzle_name", "puzzle_identifier", "ex_idx", F.md5(F.array_join("inputs", ",")).alias("inputs_md5"),
+                    F.md5(F.array_join("labels", ",")).alias("labels_md5"), "total_groups", "total_puzzles",
+                    F.round("mean_puzzle_examples", 6).alias("mean_puzzle_examples"), F.col("num_puzzle_identifiers").cast("long").alias("num_puzzle_identifiers"), "consistent")
