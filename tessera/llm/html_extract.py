@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.dom import MAYBE, NOISE, TEXT, Node, parse
 from tessera.llm.line_dedup import host_of
-from tessera.llm.tables import stored
+from tessera.llm.tables import scratch, stored
 
 DEPTH = 12
 DAMPING = 0.9
@@ -216,7 +216,8 @@ def removed_branches(pages: DataFrame) -> DataFrame:
 
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), one row a page."""
-    low = stored(removed_branches(pages), "removed-branches").withColumnRenamed("host", "_host")
+    with scratch(pages.sparkSession, "style-tree"):
+        low = stored(removed_branches(pages), "removed-branches", keep=True).withColumnRenamed("host", "_host")
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
     rows = rows.join(low, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "removed")
     schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.components import components
-from tessera.llm.tables import stored
+from tessera.llm.tables import scratch, stored
 from tessera.llm.words import SPACED_LOWER, Words, mix, words
 
 ROWS, MISS = 5, 5e-7
@@ -197,15 +197,19 @@ def may_link(percent: int, a: str, b: str) -> Column:
     return sizes & (xor_count(f"s_{a}", f"s_{b}") <= xor_limit(percent / 100, SAMPLES, BITS))
 
 
+def number_of(doc_id: str | Column) -> Column:
+    """One of ``SLOTS`` numbers, so that a set of them is a broadcast of bounded size."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(SLOTS))
+
+
 def compared(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, name: str) -> DataFrame:
     """(a, b, common, total): sizes of intersection and union of the full sets of each pair of classes."""
     pairs = stored(pairs.select("a", "b"), f"{name}-pairs")
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     wanted = stored(wanted.join(reps.select("cls", "min_doc"), "cls"), f"{name}-wanted")
     # texts that can't be wanted don't leave their scan: a broadcast of at most SLOTS numbers
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).alias("slot")
-    slots = F.broadcast(wanted.select(slot("min_doc")).distinct())
-    texts = docs.select("doc_id", "text", slot("doc_id")).join(slots, "slot", "left_semi")
+    numbers = F.broadcast(wanted.select(number_of("min_doc").alias("number")).distinct())
+    texts = docs.select("doc_id", "text", number_of("doc_id").alias("number")).join(numbers, "number", "left_semi")
     texts = wanted.join(texts, F.col("min_doc").eqNullSafe(F.col("doc_id")))
     sets = stored(full_sets(texts, width).dropDuplicates(["cls"]), f"{name}-sets")
     a = sets.select(F.col("cls").alias("a"), F.col("members").alias("m_a"))
@@ -216,6 +220,11 @@ def compared(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, nam
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, text_key), one row per row of ``docs``; text_key hashes the text."""
+    with scratch(docs.sparkSession, "near-dedup"):
+        return stored(_near_duplicates(docs, width, percent), "near-duplicates", keep=True)
+
+
+def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     linked = f"100 * common >= {percent} * total"
     sig = stored(signatures(docs, width, percent / 100), "signatures")
     reps = stored(sig.where("cls is not null").groupBy("cls").agg(
@@ -270,8 +279,13 @@ def deduplicated(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFram
 
     Of rows that share a kept doc_id and their text, one stays.
     """
-    verdict = stored(near_duplicates(docs, width, percent), "near-verdicts")
+    verdict = near_duplicates(docs, width, percent)
     gone = stored(verdict.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).distinct(), "near-gone")
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_key"]), "left_anti")
+    # only documents whose number may be among those that go are shuffled to find out
+    numbers = F.broadcast(gone.select(number_of("_gone").alias("_number")).distinct())
+    hit = number_of(docs["doc_id"]) == numbers["_number"]
+    maybe = docs.join(numbers, hit, "left_semi")
+    left = maybe.join(gone, maybe["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(maybe["text"]) == gone["_key"]), "left_anti")
+    left = docs.join(numbers, hit, "left_anti").unionByName(left)
     repeated = verdict.where("kept").groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count()
     return left.dropDuplicates(["doc_id", "text"]) if repeated else left

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,22 +23,37 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[None]:
+    """Tables that are stored inside go when the block ends, but for those with ``keep``.
+
+    What leaves the block must not read them: store it with ``keep``.
+    """
+    path = shared_path(spark, name)
+    token = _scratch.set(path)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage like ``checkpoint()`` and, unlike it, lets the planner see
     the size of the table, so that it is broadcast only if it is small.
     """
-    path = shared_path(df.sparkSession, name)
+    inside = _scratch.get()
+    path = f"{inside}/{name}-{uuid.uuid4().hex}" if inside and not keep else shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def as_texts(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, the last ones cast to text where needed."""
-    return df.select(*[F.col(c) for c in columns])
-
-
 def ranked(df: DataFrame, group: list[str], order: list[Column], name: str, buckets: int = 1024) -> DataFrame:
     """Add ``name``: the 0-based rank of each row in its group by ``order``.
 
