@@ -16,7 +16,7 @@
    Such pairs across components are tested inside a join on the band, and only
    those that may be linked leave it, once each, to be confirmed like the
    others. Set sizes, sketches, and the triangle inequality of Jaccard distances
-   (both distances to the pivot are known from step 3) rule out the rest. So no
+   (to the pivot: known from step 3, or at least what the set sizes prove) rule out the rest. So no
    link between components is lost, and the bulk of a large group of near
    copies, one component after step 3, is not compared pair by pair.
 5. Every document gets the least doc_id of its component.
@@ -229,13 +229,13 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     sig = stored(signatures(docs, width, percent / 100), "signatures")
     reps = stored(sig.where("cls is not null").groupBy("cls").agg(
         F.min("doc_id").alias("min_doc"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-    members = reps.select("cls", F.explode("bands").alias("band"))
+    members = reps.select("cls", "n", F.explode("bands").alias("band"))
     sizes = stored(members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket-sizes")
     met = stored(members.join(sizes, "band"), "met")
     score = met.groupBy("cls").agg(F.sum("size").alias("score"))
     scored = stored(met.join(score, "cls"), "scored")
-    pivots = scored.groupBy("band").agg(F.max(F.struct("score", "cls"))["cls"].alias("pivot"))
-    scored = stored(scored.join(pivots, "band").select("band", "size", "cls", "pivot"), "buckets")
+    pivots = scored.groupBy("band").agg(F.max(F.struct("score", "cls", "n")).alias("p")).select("band", F.col("p.cls").alias("pivot"), F.col("p.n").alias("n_pivot"))
+    scored = stored(scored.join(pivots, "band").select("band", "size", "cls", "n", "pivot", "n_pivot"), "buckets")
 
     star = scored.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
     ra = reps.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
@@ -246,13 +246,13 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     label = components(links)
 
     # buckets of three classes or more that are not one component yet
-    large = scored.where("size > 2").join(label, scored["cls"] == label["v"], "left").select("band", "pivot", "cls", F.coalesce("root", "cls").alias("root"))
+    large = scored.where("size > 2").join(label, scored["cls"] == label["v"], "left").select("band", "pivot", "n_pivot", "cls", "n", F.coalesce("root", "cls").alias("root"))
     open_ = large.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
-    # distance to the pivot: as compared, or at least what the sketch lets through
-    far = 1 - least_similarity(percent / 100, SAMPLES)
+    # distance to the pivot: as compared, or at least what the set sizes prove (a sketch proves no distance)
+    apart = 1 - F.least("n", "n_pivot") / F.greatest("n", "n_pivot")
     away = known.select(F.col("a").alias("pivot"), F.col("b").alias("cls"), (1 - F.col("common") / F.col("total")).alias("d"))
-    rest = large.where("cls <> pivot").join(open_, "band").join(away, ["pivot", "cls"], "left").join(reps.select("cls", "n", "bands", "sketch"), "cls")
-    rest = stored(rest.select("band", "cls", "root", "n", "bands", "sketch", F.coalesce("d", F.lit(far)).alias("near"), F.coalesce("d", F.lit(1.0)).alias("far")), "open-buckets")
+    rest = large.where("cls <> pivot").join(open_, "band").join(away, ["pivot", "cls"], "left").join(reps.select("cls", "bands", "sketch"), "cls")
+    rest = stored(rest.select("band", "cls", "root", "n", "bands", "sketch", F.coalesce("d", apart).alias("near"), F.coalesce("d", F.lit(1.0)).alias("far")), "open-buckets")
     side = lambda x: rest.select("band", *[F.col(c).alias(f"{k}_{x}") for c, k in
                                            (("cls", "c"), ("root", "r"), ("n", "n"), ("bands", "b"), ("sketch", "s"), ("near", "near"), ("far", "far"))])
     reach = 1 - percent / 100 + 1e-9

@@ -33,6 +33,16 @@ def test_chains_and_groups_of_edits(spark):
     assert got == {r[0]: w[1] for r, w in zip(rows, brute.near(rows, 3, 85), strict=True)}
 
 
+def test_truncated_copies_that_sizes_part_from_the_pivot(spark):
+    """The shortest copy is linked only with copies that are near a pivot it was never compared with."""
+    rows = []
+    for g in range(4):
+        for n in (810, *range(950, 1001)):
+            rows.append((1000 * g + 1000 - n, " ".join(f"g{g}w{i}" for i in range(n + 2))))
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {r[0]: w[1] for r, w in zip(rows, brute.near(rows, 3, 85), strict=True)}
+
+
 def test_deduplicated_keeps_one_of_each(odd, rows):
     left = N.deduplicated(odd)
     assert left.columns == odd.columns
