@@ -18,18 +18,18 @@ one host don't make it a template.
 
 A page's tree is read in its task. Counts are partial sums, and the levels of
 the tree are worked upwards by joins on nodes, so a host with a third of all
-pages is no single task. What is removed of a host is one row of at most
-(nodes a page) / ``LEAST_SHARE`` keys.
+pages is no single task. Removed branches are rows (host, node), joined to the
+nodes that a page's walk asks about, so a row holds at most the nodes of a page.
+Only pages that may have removed branches are shuffled.
 
 Defined cases: null, empty or textless html gives the empty text; pages with no
-host in the url are judged by their marks alone; repeated pages count each;
-elements deeper than ``DEPTH`` count as part of the one at that depth; an empty
-table gives no rows. Other columns are neither read nor changed.
+host in the url are judged by their marks alone; repeated pages count each; an
+empty table gives no rows. Other columns are neither read nor changed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +42,10 @@ from tessera.llm.dom import MAYBE, NOISE, TEXT, Node, parse
 from tessera.llm.line_dedup import host_of
 from tessera.llm.tables import scratch, stored
 
-DEPTH = 12
 DAMPING = 0.9
 LEAST = 0.3
 MIN_PAGES = 5
-LEAST_SHARE = 0.05
+SLOTS = 1 << 20
 
 NODES = "host string, level int, style bigint, node bigint, value bigint"
 
@@ -109,52 +108,61 @@ def labels(children: list) -> list[str]:
     return [c.label if not isinstance(c, str) else "#text" for c in children]
 
 
+def shown_keys(root: Node) -> dict[int, int]:
+    """Key of the presentation of every element, by its ``id``."""
+    out: dict[int, int] = {}
+    todo = [(root, 1)]
+    while todo:
+        x, own = todo.pop()
+        shown = out[id(x)] = key(own, *labels(x.children))
+        todo += [(c, key(shown, i)) for i, c in enumerate(x.children) if not isinstance(c, str)]
+    return out
+
+
 def tree_rows(root: Node, out: list[tuple[int, int, int, int]]) -> None:
     """(level, style it is a child of, node, presentation or text) of every node with text in it."""
-    def visit(node: Node, style: int, own: int, level: int) -> None:
-        children = flat(node) if level >= DEPTH else node.children
-        shown = key(own, *labels(children))
+    todo = [(root, 0, 1, 0)]
+    while todo:
+        node, style, own, level = todo.pop()
+        shown = key(own, *labels(node.children))
         out.append((level, style, own, shown))
-        for i, c in enumerate(children):
+        for i, c in enumerate(node.children):
             child = key(shown, i)
             if isinstance(c, str):
                 out.append((level + 1, shown, child, key(c)))
             else:
-                visit(c, shown, child, level + 1)
+                todo.append((c, shown, child, level + 1))
 
-    visit(root, 0, 1, 0)
 
+def main_text(root: Node, removed: set[int], asked: list[int] | None = None) -> str:
+    """Blocks of a page whose branches are kept, one a line; ``asked`` gets the branches that ``removed`` is asked for."""
+    shown = shown_keys(root)
 
-def flat(node: Node) -> list[str]:
-    """Texts below a node, in page order."""
-    out, todo = [], list(reversed(node.children))
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            out.append(x)
-        else:
-            todo += reversed(x.children)
-    return out
+    def walk(todo: list[tuple], noise: Callable[[Node], bool]) -> list[str]:
+        out: list[str] = []
+        while todo:
+            x, own = todo.pop()
+            element = not isinstance(x, str)
+            if element and noise(x):
+                continue
+            if not element or x.mark in (0, MAYBE):
+                if asked is not None:
+                    asked.append(own)
+                if own in removed:
+                    continue
+            if element:
+                todo += below(x)
+            else:
+                out.append(x)
+        return out
 
+    def below(x: Node) -> list[tuple]:
+        return [(c, key(shown[id(x)], i)) for i, c in reversed(list(enumerate(x.children)))]
 
-def main_text(root: Node, removed: set[int]) -> str:
-    """Blocks of a page whose branches are kept, one a line."""
     out: list[str] = []
     for x in text_nodes(root):
         out += kept(x)
-    if out:
-        return "\n".join(out)
-    todo: list[tuple] = [(root, 1, 0)]  # child, key, level
-    while todo:
-        x, own, level = todo.pop()
-        if own in removed:
-            continue
-        if isinstance(x, str):
-            out.append(x)
-        elif not is_noise(x):
-            shown = key(own, *labels(x.children)) if level < DEPTH else 0
-            todo += [(c, key(shown, i) if level < DEPTH else 0, level + 1) for i, c in reversed(list(enumerate(x.children)))]
-    return "\n".join(out)
+    return "\n".join(out or walk([(root, 1)], is_noise))
 
 
 def nodes(pages: DataFrame) -> DataFrame:
@@ -183,10 +191,11 @@ def importance(tree: DataFrame) -> DataFrame:
     stats = values.groupBy("host", "level", "style", "node").agg(
         F.sum("c").alias("m"), F.sum(F.col("c") * F.log(F.col("c").cast("double"))).alias("q"), F.count(F.lit(1)).alias("l"))
     stats = stored(stats.select("host", "level", "style", "node", "m", "l", own.alias("own")), "style-nodes")
-    deepest = stats.agg(F.max("level")).first()[0]  # at most DEPTH + 1
+    # what only one page has is of importance 1, as is all below it
+    deepest = stats.where("m > 1").agg(F.max("level")).first()[0]
     done: DataFrame | None = None
     below: DataFrame | None = None
-    for level in range(deepest if deepest is not None else -1, -1, -1):
+    for level in range(deepest + 1 if deepest is not None else -1, -1, -1):
         here = stats.where(F.col("level") == level)
         if below is None:
             here = here.select("host", "style", "node", "m", F.col("own").alias("importance"), F.col("own").alias("best"))
@@ -206,35 +215,49 @@ def importance(tree: DataFrame) -> DataFrame:
     return done.select("host", "node", "m", "importance", "best")
 
 
+def asked_branches(pages: DataFrame) -> DataFrame:
+    """(host, page, node): the branches that each page's walk asks about; page hashes the html."""
+    schema = T._parse_datatype_string("host string, page bigint, node bigint")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, keys = [], []
+            for i, html in enumerate(batch.column(2)):
+                before = len(keys)
+                main_text(parse(html.as_py()), set(), keys)
+                at += [i] * (len(keys) - before)
+            where = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(where), batch.column(1).take(where), pa.array(np.array(keys, np.uint64).view(np.int64))], names=schema.names)
+
+    rows = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html").where("host is not null and html is not null")
+    return rows.mapInArrow(run, schema)
+
+
 def removed_branches(pages: DataFrame) -> DataFrame:
-    """(host, removed): keys of the low-importance branches of each host."""
-    total = pages.select(host_of(F.col("url")).alias("host")).where("host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    low = importance(nodes(pages)).where((F.col("best") < LEAST) & (F.col("m") >= MIN_PAGES))
-    low = low.join(total, "host").where(F.col("m") >= LEAST_SHARE * F.col("n"))
-    return low.groupBy("host").agg(F.collect_list("node").alias("removed"))
+    """(host, page, removed): keys of the low-importance branches of each page that has some."""
+    low = stored(importance(nodes(pages)).where((F.col("best") < LEAST) & (F.col("m") >= MIN_PAGES)).select("host", "node"), "low-branches")
+    return asked_branches(pages).join(low, ["host", "node"]).groupBy("host", "page").agg(F.collect_set("node").alias("removed"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), one row a page."""
     with scratch(pages.sparkSession, "style-tree"):
-        low = stored(removed_branches(pages), "removed-branches", keep=True).withColumnRenamed("host", "_host")
-    rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
-    rows = rows.join(low, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "removed")
+        low = stored(removed_branches(pages), "removed-branches", keep=True).withColumnsRenamed({"host": "_host", "page": "_page"})
+    # pages without removed branches don't leave their scan: a broadcast of at most SLOTS numbers
+    numbers = F.broadcast(low.select(F.pmod("_page", F.lit(SLOTS)).alias("number")).distinct())
+    rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html")
+    rows = rows.withColumn("number", F.pmod("page", F.lit(SLOTS)))
+    maybe = rows.join(numbers, "number", "left_semi").join(low, (F.col("host") == F.col("_host")) & (F.col("page") == F.col("_page")), "left")
+    rest = rows.join(numbers, "number", "left_anti").withColumn("removed", F.lit(None).cast("array<bigint>"))
+    rows = maybe.select("page_id", "url", "html", "removed").union(rest.select("page_id", "url", "html", "removed"))
     schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, set[int]] = {}
         for batch in batches:
             texts = []
             for html, low in zip(batch.column(2), batch.column(3), strict=True):
-                keys: set[int] = set()
-                if low.is_valid:
-                    raw = np.asarray(low.values).tobytes()
-                    if raw not in known:
-                        if len(known) > 1000:
-                            known.clear()
-                        known[raw] = set(np.frombuffer(raw, np.uint64).tolist())
-                    keys = known[raw]
+                keys = set(np.asarray(low.values).view(np.uint64).tolist()) if low.is_valid else set()
                 texts.append(main_text(parse(html.as_py()), keys) if html.is_valid else "")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 

@@ -46,3 +46,13 @@ def test_style_tree_removes_the_template(spark):
 def test_copies_of_an_article_stay(spark):
     rows = [(i, "http://h.com/x", "<nav>m</nav><article><p>one article</p><p>on many pages</p></article><footer>f</footer>", 0, 0) for i in range(30)]
     assert {r.text for r in X.extracted(spark.createDataFrame(rows, PAGES)).collect()} == {"one article\non many pages"}
+
+
+def test_rare_and_deep_template_goes(spark):
+    """A footer on 4 % of a host's pages, and a menu more than 12 elements deep."""
+    rows, n = [], 250
+    for i in range(n):
+        foot = "<div class=extra><p>Season sale</p></div>" if i < 10 else ""
+        rows.append((i, "http://h.com/x", "<div>" * 20 + f"<div><p>Home About</p></div><p>text {i}</p>" + "</div>" * 20 + f"<p>end {i}</p>{foot}", 0, 0))
+    got = {r.page_id: r.text for r in X.extracted(spark.createDataFrame(rows, PAGES).repartition(3)).collect()}
+    assert got == {i: f"text {i}\nend {i}" for i in range(n)}
