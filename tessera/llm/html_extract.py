@@ -13,8 +13,9 @@ node has a composite importance of ``LEAST`` are removed from each page.
 What a page says about itself is the prior: elements marked as menus, footers,
 sidebars, notices, adverts, forms, comments, scripts and so on have importance
 0; where a page marks its article, that branch has importance 1 and what stands
-beside it 0. Entropy decides for everything else. So copies of one article on
-one host don't make it a template.
+beside it 0. Entropy decides for everything else, also for unmarked branches
+inside an article, which stays whole where all of it would go. So copies of one
+article on one host don't make it a template.
 
 A page's tree is read in its task. Counts are partial sums, and the levels of
 the tree are worked upwards by joins on nodes, so a host with a third of all
@@ -161,7 +162,8 @@ def main_text(root: Node, removed: set[int], asked: list[int] | None = None) ->
 
     out: list[str] = []
     for x in text_nodes(root):
-        out += kept(x)
+        # an article that would go as a whole is one of several copies
+        out += walk(below(x), lambda c: c.mark in (NOISE, MAYBE)) or kept(x)
     return "\n".join(out or walk([(root, 1)], is_noise))
 
 

@@ -56,3 +56,9 @@ def test_rare_and_deep_template_goes(spark):
         rows.append((i, "http://h.com/x", "<div>" * 20 + f"<div><p>Home About</p></div><p>text {i}</p>" + "</div>" * 20 + f"<p>end {i}</p>{foot}", 0, 0))
     got = {r.page_id: r.text for r in X.extracted(spark.createDataFrame(rows, PAGES).repartition(3)).collect()}
     assert got == {i: f"text {i}\nend {i}" for i in range(n)}
+
+
+def test_template_inside_marked_articles_goes(spark):
+    rows = [(i, "http://h.com/x", f"<nav>m</nav><article><h1>Title {i}</h1><div class=x><p>Get our app</p></div><p>text {i}</p></article>", 0, 0) for i in range(30)]
+    got = {r.page_id: r.text for r in X.extracted(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {i: f"Title {i}\ntext {i}" for i in range(30)}
