@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, line_dedup, mixing, oracles
+from tessera.llm import chat, importance, line_dedup, mixing, oracles
 from tessera.llm.decontaminate import contamination
 from tessera.llm.html_extract import extracted
 from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.packing import packed
 from tessera.llm.quality import judged
 from tessera.llm.secrets import secret_digests
 from tessera.llm.sharding import sharded
 from tessera.llm.tables import load
+from tessera.llm.token_alignment import alignment
 from tessera.llm.token_output import token_table
 
 
@@ -80,6 +82,21 @@ def op10_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(load(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op11_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, written to buckets of equal lengths and read back."""
+    return packed(load(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document, drawn towards the benchmark."""
+    return importance.resampled(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between the ids of two tokenizers in every document, and how common they are."""
+    return alignment(load(spark, sf_dir, "documents"), tokenizer_file(), tokenizer_file("piece_bpe_32k.model"))[0]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_decontamination": op1_suffix_array_decontamination,
     "op2_site_style_tree": op2_site_style_tree,
@@ -91,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lpt_sharding": op8_lpt_sharding,
     "op9_chat_fsm": op9_chat_fsm,
     "op10_orc_token_ids": op10_orc_token_ids,
+    "op11_power_of_two_packing": op11_power_of_two_packing,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES: dict[str, str] = {
@@ -100,4 +120,5 @@ ORACLES: dict[str, str] = {
     "op5_pfair_mixing": mixing.ORACLE,
     "op7_entropy_secrets": oracles.secrets(),
     "op9_chat_fsm": chat.oracle(),
+    "op12_importance_resampling": importance.oracle(),
 }

@@ -42,15 +42,15 @@ def scratch(spark: SparkSession, name: str) -> Iterator[None]:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def stored(df: DataFrame, name: str, keep: bool = False, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; ``by`` names a column whose values get folders of their own.
 
     Cuts the lineage like ``checkpoint()`` and, unlike it, lets the planner see
     the size of the table, so that it is broadcast only if it is small.
     """
     inside = _scratch.get()
     path = f"{inside}/{name}-{uuid.uuid4().hex}" if inside and not keep else shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

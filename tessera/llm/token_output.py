@@ -8,13 +8,11 @@ every document's offset in it; the offset of a stretch in the whole sequence is
 the sum of the ones before, a table of one row a file. Stripes are read back in
 parallel.
 
-Encoding: the tokenizer splits a text into pieces that it encodes one by one.
-A batch is cut at places where a piece surely ends, each distinct cut is
-encoded once, and ids are put together again in place. Encoded cuts are kept,
-up to a fixed number, while the worker lives.
+Encoding: ``cut_encoder``, each distinct cut of a text once a worker.
 
-The strings of special tokens in a text are ordinary text, so no document can
-write an id that only the engine sets.
+The strings of special tokens in a text become their ids, as the library does
+unless told otherwise; ``specials=False`` makes them ordinary text, so that no
+document can write an id that only the engine sets.
 
 Defined cases: null text is empty, and empty text only has the end id; rows
 are ordered by doc_id (null first), then by text digest; repeated rows are written
@@ -23,7 +21,6 @@ once each; an empty table writes no rows and reads as none.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -33,12 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.cut_encoder import ByteLevelEncoder, encoder
 from tessera.llm.tables import shared_path
-from tessera.llm.words import CHUNK_BYTES, _BASE, _BYTE_VALUE, _INVERSE, _power, chunks, mix, ranges, utf8
+from tessera.llm.words import CHUNK_BYTES, chunks, utf8
 
 END_ID = 2
-KEPT_CUTS = 1 << 21
-SLOTS = 1 << 22
 
 LAYOUT = "doc_id bigint, part int, in_part bigint, ids array<int>"
 ORC = {
@@ -46,177 +42,8 @@ ORC = {
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
 }
 
-# byte classes: 1 ASCII letter, 2 ASCII digit, 3 other ASCII that is seen but the apostrophe, 4 apostrophe, 5 space, 6 other blanks and controls, 7 not ASCII
-_KIND = np.full(256, 7, np.uint8)
-_KIND[:128] = [6 if c < 33 or c == 127 else 1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in range(128)]
-_KIND[39], _KIND[32] = 4, 5
-_CUT = np.zeros((8, 8), bool)
-#: a space begins a piece if what stands before it is seen; so does a letter, digit or sign after one of another kind
-_CUT[[1, 2, 3, 4], 5] = True
-for _a in (1, 2, 3):
-    for _b in (1, 2, 3):
-        _CUT[_a, _b] = _a != _b
-#: a line feed right after a seen ASCII character, and what is seen right after a line feed
-_CUT[[1, 2, 3, 4], 6] = True
 
-
-def kinds(data: np.ndarray) -> np.ndarray:
-    kind = _KIND[data]
-    # the letters of Latin-1 count as letters: two bytes, the first of them 0xC3
-    lead = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7))
-    kind[lead] = kind[lead + 1] = 1
-    return kind
-
-
-def one_piece(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Cuts of letters, digits or signs only, after a space or not: the tokenizer doesn't split them."""
-    kind = kinds(data)
-    changes = np.concatenate([[0], np.cumsum(kind[1:] != kind[:-1])])
-    begin = start + ((kind[start] == 5) & (end - start > 1))
-    return (changes[end - 1] == changes[begin]) & (kind[begin] <= 3)
-
-
-def cuts(data: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Starts of the cuts of a chunk, every row's start included."""
-    kind = kinds(data)
-    begin = np.zeros(len(data) + 1, bool)
-    begin[1:-1] = _CUT[kind[:-1], kind[1:]]
-    begin[text] = True
-    return np.flatnonzero(begin[:-1])
-
-
-class Encoder:
-    """Ids of cuts, each distinct one encoded once.
-
-    A table of ``SLOTS`` places finds most cuts in one look; those whose place
-    is taken are found in a sorted list. Identity is a 64-bit hash, checked
-    against the length and the first and last eight bytes.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.piece = Tokenizer.from_file(path)
-        self.piece.encode_special_tokens = True
-        self.piece.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.clear()
-
-    def clear(self) -> None:
-        self.place = np.full(SLOTS, -1, np.int32)
-        self.sorted = np.empty(0, np.uint64)
-        self.sorted_cut = np.empty(0, np.int64)
-        self.n = 0
-        self.hash = np.empty(1 << 16, np.uint64)
-        self.check = np.empty(1 << 16, np.uint64)
-        self.start = np.zeros((1 << 16) + 1, np.int64)
-        self.ids = np.empty(1 << 18, np.int32)
-
-    def _room(self, name: str, n: int) -> None:
-        have = getattr(self, name)
-        if len(have) < n:
-            grown = np.zeros(max(n, 2 * len(have)), have.dtype)
-            grown[:len(have)] = have
-            setattr(self, name, grown)
-
-    def _find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
-        """Number of each cut, -1 if it isn't known."""
-        if not self.n:
-            return np.full(len(h), -1, np.int64)
-        got = self.place[(h & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.int64)
-        wrong = np.flatnonzero((got < 0) | (self.hash[got] != h) | (self.check[got] != check))
-        got[wrong] = -1
-        if len(wrong) and len(self.sorted):
-            at = np.minimum(np.searchsorted(self.sorted, h[wrong]), len(self.sorted) - 1)
-            cut = self.sorted_cut[at]
-            got[wrong] = np.where((self.sorted[at] == h[wrong]) & (self.check[cut] == check[wrong]), cut, -1)
-        return got
-
-    def _ids(self, cut: list[str], single: bool) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the cuts, and how many each has; ``single``: each cut is one piece."""
-        if single:
-            got = self.piece.encode(cut, is_pretokenized=True, add_special_tokens=False)
-            return np.array(got.ids, np.int32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(cut))
-        ids = [e.ids for e in self.whole.encode_batch(cut, add_special_tokens=False)]
-        return np.fromiter((i for x in ids for i in x), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
-
-    def _add(self, h: np.ndarray, check: np.ndarray, cut: list[str], single: bool) -> None:
-        if not cut:
-            return
-        n, new = self.n, len(h)
-        ids, size = self._ids(cut, single)
-        end = self.start[n] + np.cumsum(size)
-        for name, need in (("hash", n + new), ("check", n + new), ("start", n + new + 1), ("ids", int(end[-1]))):
-            self._room(name, need)
-        self.hash[n:n + new], self.check[n:n + new] = h, check
-        self.ids[self.start[n]:end[-1]] = ids
-        self.start[n + 1:n + new + 1] = end
-        number = np.arange(n, n + new)
-        slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
-        free = self.place[slot] < 0
-        self.place[slot[free]] = number[free]
-        apart = self.place[slot] != number
-        keys, cuts_ = np.concatenate([self.sorted, h[apart]]), np.concatenate([self.sorted_cut, number[apart]])
-        order = np.argsort(keys, kind="stable")
-        self.sorted, self.sorted_cut = keys[order], cuts_[order]
-        self.n += new
-
-    def encode(self, data: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the rows of a chunk, one row after the other, and their row offsets."""
-        if not len(data):
-            return np.empty(0, np.int32), np.zeros(len(text), np.int64)
-        if self.n > KEPT_CUTS:
-            self.clear()
-        start = cuts(data, text)
-        end = np.append(start[1:], len(data))
-        h, check = cut_hashes(data, start, end)
-        got = self._find(h, check)
-        new = np.flatnonzero(got < 0)
-        if len(new):
-            _, first = np.unique(h[new], return_index=True)
-            one = new[first]
-            raw = data.tobytes()
-            alone = one_piece(data, start[one], end[one])
-            for single in (True, False):
-                k = one[alone == single]
-                self._add(h[k], check[k], [raw[a:b].decode() for a, b in zip(start[k].tolist(), end[k].tolist(), strict=True)], single)
-            got[new] = self._find(h[new], check[new])
-            for k in np.flatnonzero(got < 0).tolist():  # two new cuts of one hash
-                self._add(h[k:k + 1], check[k:k + 1], [raw[start[k]:end[k]].decode()], False)
-                got[k] = self.n - 1
-        size = self.start[got + 1] - self.start[got]
-        total = np.concatenate([[0], np.cumsum(size)])
-        return self.ids[ranges(self.start[got], size)], total[np.searchsorted(start, text)]
-
-
-def cut_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each cut, and a second one over its length and first and last eight bytes."""
-    n = len(data)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[data] * _power(_BASE, n + 1, "base")[:n], out=sums[1:])
-    h = mix((sums[end] - sums[start]) * _power(_INVERSE, n + 1, "inverse")[start], 1)
-    padded = np.zeros(n + 16, np.uint8)
-    padded[8:n + 8] = data
-    eight = np.ndarray(n + 9, np.dtype("<u8"), padded, strides=(1,))
-    size = end - start
-    shift = (np.maximum(8 - size, 0) * 8).astype(np.uint64)
-    head = eight[start + 8] << shift
-    tail = eight[end] >> shift
-    return h, mix(head ^ mix(tail + size.astype(np.uint64), 5), 3)
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
-def encoded(docs: DataFrame, tokenizer: str, order: list) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, order: list, specials: bool = True) -> DataFrame:
     """LAYOUT rows of documents ranged and sorted by ``order``."""
     ordered = docs.repartitionByRange(*order).sortWithinPartitions(*order)
     schema = T._parse_datatype_string(LAYOUT)
@@ -224,7 +51,7 @@ def encoded(docs: DataFrame, tokenizer: str, order: list) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part, before = TaskContext.get().partitionId(), 0
-        own = encoder(tokenizer)
+        own = encoder(ByteLevelEncoder, tokenizer, specials=specials)
         for batch in batches:
             for first, data, text in chunks(*utf8(batch.column(1)), CHUNK_BYTES):
                 n = len(text) - 1
@@ -239,9 +66,9 @@ def encoded(docs: DataFrame, tokenizer: str, order: list) -> DataFrame:
     return ordered.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, order: list | None = None) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str, order: list | None = None, specials: bool = True) -> None:
     """Write the token ids of ``docs`` as ORC files under ``path``, in ascending doc_id order unless ``order`` says otherwise."""
-    encoded(docs, tokenizer, order or [F.col("doc_id"), F.xxhash64("text")]).write.options(**ORC).orc(path)
+    encoded(docs, tokenizer, order or [F.col("doc_id"), F.xxhash64("text")], specials).write.options(**ORC).orc(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
