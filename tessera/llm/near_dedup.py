@@ -11,14 +11,15 @@
    edited copies that is the copy nearest to all.
 3. Pairs whose XOR count or set sizes rule out a link are dropped, and the rest
    confirmed on full sets.
-4. Links are joined to components. Buckets that still hold more than one
-   component may hide a link between two members that the pivot doesn't join.
-   Such pairs across components are tested inside a join on the band, and only
-   those that may be linked leave it, once each, to be confirmed like the
-   others. Set sizes, sketches, and the triangle inequality of Jaccard distances
-   (to the pivot: known from step 3, or at least what the set sizes prove) rule out the rest. So no
-   link between components is lost, and the bulk of a large group of near
-   copies, one component after step 3, is not compared pair by pair.
+4. Links are joined to components. A star (a pivot and what it meets) that
+   still holds more than one component may hide a link between two members that
+   the pivot doesn't join. What sets members apart from their pivot tells which
+   pairs can be linked (``differences``): those that share enough of the
+   shingles that the pivot lacks or alone has. They meet on the rarest of these,
+   so the bulk of a large group of copies with edits of their own never meets.
+   Pairs that sizes and sketches allow too are confirmed on full sets, the
+   nearest of two components first; components that a link joins need no more.
+   No link between components is lost.
 5. Every document gets the least doc_id of its component.
 
 Bands are of 5 samples, as many as it takes to miss a pair at the threshold
@@ -44,6 +45,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tessera.llm.components import components
 from tessera.llm.tables import scratch, stored
@@ -52,6 +54,8 @@ from tessera.llm.words import SPACED_LOWER, Words, mix, words
 ROWS, MISS = 5, 5e-7
 SAMPLES, BITS, DEVIATIONS = 400, 2048, 4.5
 SLOTS = 1 << 20
+#: pairs of two components that are tested in the first round
+TESTED = 4
 CLASS = T.DecimalType(38, 0)
 
 
@@ -202,20 +206,84 @@ def number_of(doc_id: str | Column) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(SLOTS))
 
 
-def compared(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, name: str) -> DataFrame:
-    """(a, b, common, total): sizes of intersection and union of the full sets of each pair of classes."""
-    pairs = stored(pairs.select("a", "b"), f"{name}-pairs")
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    wanted = stored(wanted.join(reps.select("cls", "min_doc"), "cls"), f"{name}-wanted")
+def class_sets(wanted: DataFrame, reps: DataFrame, docs: DataFrame, width: int, name: str) -> DataFrame:
+    """(cls, members): the full sets of the classes in ``wanted``, stored."""
+    wanted = stored(wanted.distinct().join(reps.select("cls", "min_doc"), "cls"), f"{name}-wanted")
     # texts that can't be wanted don't leave their scan: a broadcast of at most SLOTS numbers
     numbers = F.broadcast(wanted.select(number_of("min_doc").alias("number")).distinct())
     texts = docs.select("doc_id", "text", number_of("doc_id").alias("number")).join(numbers, "number", "left_semi")
     texts = wanted.join(texts, F.col("min_doc").eqNullSafe(F.col("doc_id")))
-    sets = stored(full_sets(texts, width).dropDuplicates(["cls"]), f"{name}-sets")
+    return stored(full_sets(texts, width).dropDuplicates(["cls"]), f"{name}-sets")
+
+
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs of classes whose full sets are linked."""
     a = sets.select(F.col("cls").alias("a"), F.col("members").alias("m_a"))
     b = sets.select(F.col("cls").alias("b"), F.col("members").alias("m_b"))
-    both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("m_a", "m_b")))
-    return both.select("a", "b", "common", (F.size("m_a") + F.size("m_b") - F.col("common")).alias("total"))
+    both = pairs.select("a", "b").join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("m_a", "m_b")))
+    return both.where(f"100 * common >= {percent} * (size(m_a) + size(m_b) - common)").select("a", "b")
+
+
+def with_roots(rows: DataFrame, label: DataFrame, *names: str) -> DataFrame:
+    """Add ``r_<name>``, the root of each named class; a class without links is its own root."""
+    for c in names:
+        own = label.select(F.col("v").alias(f"_v_{c}"), F.col("root").alias(f"_r_{c}"))
+        rows = rows.join(own, F.col(c) == F.col(f"_v_{c}"), "left").withColumn(f"r_{c}", F.coalesce(f"_r_{c}", c)).drop(f"_v_{c}", f"_r_{c}")
+    return rows
+
+
+def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after links (a, b) between roots are added."""
+    step = components(links)
+    new = step.select(F.col("v").alias("_v"), F.col("root").alias("_root"))
+    moved = label.join(new, label["root"] == new["_v"], "left").select("v", F.coalesce("_root", "root").alias("root"))
+    return stored(moved.unionByName(step.join(label.select("v"), "v", "left_anti")), "labels")
+
+
+def differences(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(pivot, cls, root, outside, w, slack, e, left): what sets apart each member of an open star from its pivot.
+
+    Let D be the shingles that a member and the pivot don't share. For members
+    x and y the common part of D_x and D_y is |x & y| - |p| + |p - x| + |p - y|,
+    so they are linked if and only if it has at least
+    (w_x + w_y - slack) / (100 + percent) elements, with
+    w = 100 |p - x| + percent |x - p| and slack = (100 - percent) |p|.
+    Elements of D are put in order, the rarest of the star first; ``left``
+    counts those from here on, itself included. The first element that two
+    linked members share, in that order, has at least as many left on either
+    side. Elements that no other member has are dropped after counting.
+    """
+    own = star.join(sets.select(F.col("cls").alias("pivot"), F.col("members").alias("p")), "pivot").join(sets, "cls")
+    own = own.withColumn("gone", F.array_except("p", "members")).withColumn("new", F.array_except("members", "p"))
+    own = own.select("pivot", "cls", "root", "outside", F.expr(f"100L * size(gone) + {percent}L * size(new)").alias("w"),
+                     F.expr(f"{100 - percent}L * size(p)").alias("slack"), F.concat("gone", "new").alias("d"))
+    own = stored(own, "differences")
+    each = own.select("pivot", "cls", F.explode("d").alias("e"))
+    often = each.groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    order = Window.partitionBy("pivot", "cls").orderBy(F.col("often").desc(), "e")  # from the last to the first
+    rest = each.join(often, ["pivot", "e"]).withColumn("left", F.row_number().over(order)).select("pivot", "cls", "e", "left")
+    return rest.join(own.drop("d"), ["pivot", "cls"])
+
+
+def hidden_pairs(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members of one star and of two components that their differences from the pivot allow to be linked.
+
+    At least one of them is outside the pivot's component. Copies with edits of
+    their own share none of the rare shingles that those bring, so they don't
+    meet here, however many they are.
+    """
+    rows = differences(star, sets, percent)
+    least = stored(rows, "elements")
+    bound = least.groupBy("pivot").agg(F.min("w").alias("w_any"), F.min(F.when(F.col("outside"), F.col("w"))).alias("w_out"))
+    rows = least.join(bound, "pivot")
+    reach = F.expr(f"{100 + percent}L * left + slack - w")  # the greatest w of a partner whose first common element this is
+    x = rows.where("outside").where(reach >= F.col("w_any")).select("pivot", "e", F.col("cls").alias("x"), F.col("root").alias("r_x"), F.col("w").alias("w_x"), reach.alias("reach_x"))
+    y = rows.where(reach >= F.col("w_out")).select("pivot", "e", F.col("cls").alias("y"), F.col("root").alias("r_y"), F.col("w").alias("w_y"), reach.alias("reach_y"))
+    # an element of one component joins nothing
+    several = x.select("pivot", "e", F.col("r_x").alias("r")).unionByName(y.select("pivot", "e", F.col("r_y").alias("r"))).groupBy("pivot", "e").agg(
+        F.min("r").alias("r0"), F.max("r").alias("r1")).where("r0 <> r1").select("pivot", "e")
+    met = x.join(several, ["pivot", "e"]).join(y, ["pivot", "e"]).where("r_x <> r_y and w_x <= reach_y and w_y <= reach_x")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
@@ -225,45 +293,49 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
 
 
 def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    linked = f"100 * common >= {percent} * total"
     sig = stored(signatures(docs, width, percent / 100), "signatures")
     reps = stored(sig.where("cls is not null").groupBy("cls").agg(
         F.min("doc_id").alias("min_doc"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-    members = reps.select("cls", "n", F.explode("bands").alias("band"))
+    members = reps.select("cls", F.explode("bands").alias("band"))
     sizes = stored(members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket-sizes")
     met = stored(members.join(sizes, "band"), "met")
     score = met.groupBy("cls").agg(F.sum("size").alias("score"))
     scored = stored(met.join(score, "cls"), "scored")
-    pivots = scored.groupBy("band").agg(F.max(F.struct("score", "cls", "n")).alias("p")).select("band", F.col("p.cls").alias("pivot"), F.col("p.n").alias("n_pivot"))
-    scored = stored(scored.join(pivots, "band").select("band", "size", "cls", "n", "pivot", "n_pivot"), "buckets")
-
-    star = scored.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
-    ra = reps.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
-    rb = reps.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-    likely = star.join(ra, "a").join(rb, "b").where(may_link(percent, "a", "b"))
-    known = stored(compared(likely, reps, docs, width, "pivots"), "pivot-pairs-compared")
-    links = known.where(linked).select("a", "b")
-    label = components(links)
-
-    # buckets of three classes or more that are not one component yet
-    large = scored.where("size > 2").join(label, scored["cls"] == label["v"], "left").select("band", "pivot", "n_pivot", "cls", "n", F.coalesce("root", "cls").alias("root"))
-    open_ = large.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
-    # distance to the pivot: as compared, or at least what the set sizes prove (a sketch proves no distance)
-    apart = 1 - F.least("n", "n_pivot") / F.greatest("n", "n_pivot")
-    away = known.select(F.col("a").alias("pivot"), F.col("b").alias("cls"), (1 - F.col("common") / F.col("total")).alias("d"))
-    rest = large.where("cls <> pivot").join(open_, "band").join(away, ["pivot", "cls"], "left").join(reps.select("cls", "bands", "sketch"), "cls")
-    rest = stored(rest.select("band", "cls", "root", "n", "bands", "sketch", F.coalesce("d", apart).alias("near"), F.coalesce("d", F.lit(1.0)).alias("far")), "open-buckets")
-    side = lambda x: rest.select("band", *[F.col(c).alias(f"{k}_{x}") for c, k in
-                                           (("cls", "c"), ("root", "r"), ("n", "n"), ("bands", "b"), ("sketch", "s"), ("near", "near"), ("far", "far"))])
-    reach = 1 - percent / 100 + 1e-9
-    first = F.expr("element_at(filter(zip_with(b_a, b_b, (x, y) -> if(x = y, x, null)), z -> z is not null), 1) = band")  # the first band they share
-    close = F.expr(f"near_a - far_b <= {reach} and near_b - far_a <= {reach}")
-    left, right = side("a"), side("b").withColumnRenamed("band", "band_b")
-    across = (F.col("band") == F.col("band_b")) & F.expr("c_a < c_b and r_a <> r_b") & close & may_link(percent, "a", "b") & first
-    hidden = left.join(right, across).select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct()
-    more = stored(compared(hidden, reps, docs, width, "hidden").where(linked).select("a", "b"), "hidden-links")
-    if more.limit(1).count():
-        label = components(links.union(more))
+    pivots = scored.groupBy("band").agg(F.max(F.struct("score", "cls")).alias("p")).select("band", F.col("p.cls").alias("pivot"))
+    star = stored(scored.join(pivots, "band").where("cls <> pivot").select("pivot", "cls").distinct(), "stars")
+
+    signs = reps.select("cls", "n", "sketch")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        for side in "ab":
+            pairs = pairs.join(signs.select(*[F.col(c).alias(f"{c[0]}_{side}") for c in ("n", "sketch")], F.col("cls").alias(side)), side)
+        return pairs.where(may_link(percent, "a", "b")).select("a", "b", xor_count("s_a", "s_b").alias("apart"))
+
+    first = stored(likely(star.select(F.col("pivot").alias("a"), F.col("cls").alias("b"))), "pivot-pairs")
+    sets = class_sets(first.select(F.col("a").alias("cls")).union(first.select(F.col("b").alias("cls"))), reps, docs, width, "pivots")
+    label = components(compared(first, sets, percent))
+
+    # stars of two members or more, of which one is outside the pivot's component
+    rooted = with_roots(star, label, "cls", "pivot").withColumn("outside", F.col("r_cls") != F.col("r_pivot"))
+    rooted = stored(rooted.select("pivot", "cls", F.col("r_cls").alias("root"), "outside"), "rooted-stars")
+    open_ = rooted.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("outside").alias("any")).where("n > 1 and any").select("pivot")
+    star = stored(rooted.join(open_, "pivot"), "open-stars")
+    if star.limit(1).count():
+        sets = class_sets(star.select("cls").union(star.select(F.col("pivot").alias("cls"))), reps, docs, width, "open")
+        todo = stored(likely(hidden_pairs(star, sets, percent)), "hidden-pairs")
+        tested = TESTED
+        while True:  # the nearest pairs of two components first: where they are linked, the others needn't be tested
+            todo = stored(with_roots(todo.select("a", "b", "apart"), label, "a", "b").where("r_a <> r_b"), "untested-pairs")
+            if not todo.limit(1).count():
+                break
+            ends = (F.least("r_a", "r_b"), F.greatest("r_a", "r_b"))
+            todo = stored(todo.withColumn("_rank", F.row_number().over(Window.partitionBy(*ends).orderBy("apart", "a", "b"))), "ranked-pairs")
+            found = compared(todo.where(F.col("_rank") <= tested), sets, percent)
+            links = stored(with_roots(found, label, "a", "b").select(F.col("r_a").alias("a"), F.col("r_b").alias("b")).distinct(), "hidden-links")
+            if links.limit(1).count():
+                label = merged(label, links)
+            todo = todo.where(F.col("_rank") > tested)
+            tested *= 16
 
     grouped = label.join(reps.select("cls", "min_doc"), label["v"] == F.col("cls"))
     least = grouped.groupBy("root").agg(F.min("min_doc").alias("least"))

@@ -70,3 +70,48 @@ def test_xor_count_estimates_similarity():
     count = lambda x, y: int(np.bitwise_count(x ^ y).sum())
     limit = N.xor_limit(.85, N.SAMPLES, N.BITS)
     assert count(s[0], s[1]) <= limit < count(s[0], s[2])
+
+
+def linked_by_bitsets(rows, width, percent):
+    """Component ids as by ``brute.near``, with a bit for each shingle."""
+    number, sets = {}, []
+    for _, t in rows:
+        sets.append(sum(1 << number.setdefault(x, len(number)) for x in brute.shingles(t, width)))
+    size, group = [x.bit_count() for x in sets], list(range(len(rows)))
+
+    def top(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = (sets[a] & sets[b]).bit_count()
+            if 100 * both >= percent * (size[a] + size[b] - both):
+                x, y = sorted((top(a), top(b)))
+                group[y] = x
+    return {rows[k][0]: rows[top(k)][0] for k in range(len(rows))}
+
+
+def test_few_pairs_of_a_large_group_are_tested(spark, monkeypatch):
+    """1,500 copies with edits of their own: links as by brute force, and a few tested pairs a copy outside the stars."""
+    rnd = random.Random(8)
+    base = [f"u{i}" for i in range(120)]
+    rows, tested = [], []
+    plain = N.stored
+
+    def counted(df, name, *rest, **more):
+        out = plain(df, name, *rest, **more)
+        if name == "hidden-pairs":
+            tested.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "stored", counted)
+    for k in range(1500):
+        own = list(base)
+        for _ in range(rnd.randint(1, 4)):
+            own[rnd.randrange(120)] = f"t{rnd.randint(0, 10**6)}"
+        rows.append((k, " ".join(own)))
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == linked_by_bitsets(rows, 3, 85)
+    assert sum(tested) <= 4 * len(rows), tested
