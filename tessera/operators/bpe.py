@@ -1,79 +1,301 @@
-"""BPE merge training as rounds of Spark aggregations.
-
-Text is folded once into distinct words with counts; every round explodes the
-adjacent symbol pairs of the distinct words, sums their counts per pair
-(partial aggregation), takes the top pair(s) — a bounded result — and
-rewrites only the words that contain a chosen pair. ``per_round`` > 1 merges
-several top pairs that share no symbol in one round (1 = exact greedy order).
-Lineage is cut with a reliable checkpoint every few rounds.
+"""Byte-level BPE, trained in exact order and applied to distinct words.
+
+Training. Texts become distinct words with counts (partial aggregation, one
+shuffle), and words stay in Spark. The driver holds what the vocabulary bounds:
+the merges and the exact count of every pair of neighbouring symbols (at most
+the square of the vocabulary size, whatever the corpus). A round goes so:
+
+1. The driver guesses the next ``batch`` merges. It starts from the exact pair
+   counts and follows the merges through a bounded sample of frequent words, in
+   which an index from pairs to words finds the words that a merge changes.
+2. One Spark job applies the guess to every distinct word and adds up, merge by
+   merge, how the pair counts change: a word gives changes only for merges whose
+   pair it holds.
+3. The driver replays the exact changes. A guessed merge is kept while it is the
+   pair with the highest exact count (ties: the smaller ids); from the first one
+   that isn't, the guess is dropped.
+
+The first guess of a round is always right, so training ends, and the result
+doesn't depend on the sample: that only decides how many rounds it takes.
+
+Encoding. The merges go to every worker, which encodes each distinct word of an
+Arrow batch once and keeps it; no token is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import heapq
+from collections import defaultdict
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.session import materialise
 
+#: fixed values: what the byte-level splitter takes as one word, and the characters that every vocabulary holds
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+INITIAL_ALPHABET = "0123456789.,+-*/=()%"
 
-SEP = "\u0001"  # symbol separator inside a word (never part of a pre-tokenised word)
+SAMPLE_WORDS = 1 << 16
+KEPT_WORDS = 1 << 20
 
+Pair = tuple[str, str]
 
-def word_table(corpus: DataFrame, text_col: str = "text") -> DataFrame:
-    """Distinct pre-tokenised words with their counts; symbols joined by SEP."""
-    w = corpus.select(F.explode(T.pretokenise(F.col(text_col))).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
-    return w.select("word", "freq", F.array_join(F.split(F.col("word"), ""), SEP).alias("sym"))
 
+def byte_characters() -> list[str]:
+    """The character that stands for each byte: itself if it is seen, else one from 256 on."""
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    out, spare = [], 256
+    for b in range(256):
+        out.append(chr(b if b in seen else spare))
+        spare += b not in seen
+    return out
 
-def _pairs(words: DataFrame) -> DataFrame:
-    arr = F.split(F.col("sym"), SEP)
-    n = F.greatest(F.size(arr) - 1, F.lit(0))
-    p = words.filter(F.instr("sym", SEP) > 0).select(
-        "freq", F.explode(F.arrays_zip(F.slice(arr, 1, n), F.slice(F.split(F.col("sym"), SEP), 2, n))).alias("p"))
-    return p.groupBy(F.col("p.0").alias("left"), F.col("p.1").alias("right")).agg(F.sum("freq").alias("count"))
 
+def byte_words(c: Column, specials=()) -> Column:
+    """Words of the byte-level splitter; specials stand whole and part a text, and a space goes before each part that has none."""
+    marks = "|".join(s.replace("[", r"\[").replace("]", r"\]") for s in specials)
+    if not marks:
+        spaced = F.regexp_replace(T.clean_text(c), "^(?! |$)", " ")
+        return F.regexp_extract_all(spaced, F.lit("(?U)" + BYTE_LEVEL_PATTERN), F.lit(0))
+    spaced = F.regexp_replace(T.clean_text(c), f"(^|{marks})(?! |$|{marks})", "$1 ")
+    # no word reaches into a special, and blanks before one are at the end of their part
+    inside = BYTE_LEVEL_PATTERN.replace(r"[^\s\p{L}\p{N}]+", rf"(?:(?!{marks})[^\s\p{{L}}\p{{N}}])+").replace(r"(?!\S)", rf"(?!(?!{marks})\S)")
+    return F.regexp_extract_all(spaced, F.lit(f"(?U){marks}|{inside}"), F.lit(0))
 
-def _merge(sym, left: str, right: str):
-    """Merge every non-overlapping (left, right) occurrence, scanning left to right."""
-    pat = f"(^|{SEP})\\Q{left}\\E{SEP}\\Q{right}\\E(?={SEP}|$)"
-    return F.regexp_replace(sym, pat, "$1" + (left + right).replace("\\", "\\\\").replace("$", "\\$"))
 
+def merged(symbols: list[str], left: str, right: str) -> list[str]:
+    """Every non-overlapping (left, right), from the left, as one symbol."""
+    out, i, n = [], 0, len(symbols)
+    while i < n:
+        if i + 1 < n and symbols[i] == left and symbols[i + 1] == right:
+            out.append(left + right)
+            i += 2
+        else:
+            out.append(symbols[i])
+            i += 1
+    return out
 
-def train_bpe(corpus: DataFrame, num_merges: int, min_freq: int = 2, per_round: int = 1,
-              text_col: str = "text") -> DataFrame:
-    """Returns (rank, left, right, count): the merges in the order they were learned."""
-    spark = corpus.sparkSession
-    words = materialise(word_table(corpus, text_col))
-    merges: list[tuple[int, str, str, int]] = []
-    while len(merges) < num_merges:
-        want = min(per_round, num_merges - len(merges))
-        top = _pairs(words).filter(F.col("count") >= min_freq) \
-            .orderBy(F.col("count").desc(), "left", "right").limit(want * 4).collect()  # bounded: a few rows
-        chosen, used = [], set()
-        for r in top:
-            if len(chosen) == want:
-                break
-            if chosen and (r["left"] in used or r["right"] in used):
+
+def pairs_of(symbols: list[str]) -> Iterator[Pair]:
+    return zip(symbols, symbols[1:], strict=False)
+
+
+def steps(symbols: list[str], rank: dict[Pair, int]) -> Iterator[tuple[int, list[str], list[str]]]:
+    """(rank, before, after) of each merge that a word goes through, in order."""
+    while found := [(rank[p], p) for p in pairs_of(symbols) if p in rank]:
+        r, pair = min(found)
+        after = merged(symbols, *pair)
+        yield r, symbols, after
+        symbols = after
+
+
+def split_by_merges(symbols: list[str], rank: dict[Pair, int]) -> list[str]:
+    for _, _, symbols in steps(symbols, rank):  # noqa: B020
+        pass
+    return symbols
+
+
+class PairCounts:
+    """Counts of pairs, and the one with the highest count (ties: the smaller ids)."""
+
+    def __init__(self, counts: dict[Pair, int], ids: dict[str, int]):
+        self.counts, self.ids = dict(counts), ids
+        self.heap = [self._entry(p, n) for p, n in counts.items()]
+        heapq.heapify(self.heap)
+
+    def _entry(self, pair: Pair, n: int) -> tuple:
+        return -n, self.ids[pair[0]], self.ids[pair[1]], pair
+
+    def change(self, pair: Pair, by: int) -> None:
+        if by:
+            self.counts[pair] = n = self.counts.get(pair, 0) + by
+            if n > 0:
+                heapq.heappush(self.heap, self._entry(pair, n))
+
+    def best(self, min_freq: int) -> Pair | None:
+        while self.heap:
+            n, _, _, pair = self.heap[0]
+            if -n == self.counts.get(pair, 0):
+                return pair if -n >= max(min_freq, 1) else None
+            heapq.heappop(self.heap)
+        return None
+
+
+class Sample:
+    """Frequent words under the merges so far, with an index from pairs to the words that hold them."""
+
+    def __init__(self, words: list[tuple[list[str], int]]):
+        self.symbols, self.freq = [s for s, _ in words], [n for _, n in words]
+        self.holders: dict[Pair, set[int]] = defaultdict(set)
+        for w, symbols in enumerate(self.symbols):
+            for p in pairs_of(symbols):
+                self.holders[p].add(w)
+
+    def merge(self, pair: Pair) -> tuple[dict[Pair, int], list[tuple[int, list[str]]]]:
+        """Apply a merge; the changes of pair counts, and the words as they were."""
+        changes, before = defaultdict(int), []
+        for w in sorted(self.holders.get(pair, ())):
+            old = self.symbols[w]
+            new = merged(old, *pair)
+            if len(new) == len(old):
                 continue
-            chosen.append(r)
-            used.update((r["left"], r["right"]))
-            if per_round == 1:
-                break
-        if not chosen:
+            before.append((w, old))
+            self._put(w, old, new, changes)
+        return changes, before
+
+    def _put(self, w: int, old: list[str], new: list[str], changes: dict[Pair, int] | None = None) -> None:
+        for p in pairs_of(old):
+            self.holders[p].discard(w)
+            if changes is not None:
+                changes[p] -= self.freq[w]
+        for p in pairs_of(new):
+            self.holders[p].add(w)
+            if changes is not None:
+                changes[p] += self.freq[w]
+        self.symbols[w] = new
+
+    def undo(self, before: list[tuple[int, list[str]]]) -> None:
+        for w, old in reversed(before):
+            self._put(w, self.symbols[w], old)
+
+
+@dataclass
+class Bpe:
+    """A trained vocabulary: ids of tokens (specials, alphabet, merged symbols) and merges with their counts when learned."""
+
+    ids: dict[str, int]
+    merges: list[tuple[str, str, int]]
+    specials: list[str]
+
+    def merges_table(self, spark: SparkSession) -> DataFrame:
+        rows = [(k, a, b, n) for k, (a, b, n) in enumerate(self.merges)]
+        return spark.createDataFrame(rows, "rank int, left string, right string, count long")
+
+    def vocab_table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(i, t) for t, i in self.ids.items()], "id int, token string")
+
+
+def word_counts(corpus: DataFrame, text_col: str = "text", specials=()) -> DataFrame:
+    """(word, freq): distinct words of the byte-level splitter."""
+    words = corpus.select(F.explode(byte_words(F.col(text_col), specials)).alias("word"))
+    if specials:
+        words = words.where(~F.col("word").isin(*specials))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+
+
+def _changes(words: DataFrame, merges: list[Pair], known: int) -> DataFrame:
+    """(step, left, right, change) of pair counts by the merges from ``known`` on; without any, all pairs at step -1."""
+    rank = words.sparkSession.sparkContext.broadcast({p: k for k, p in enumerate(merges)})
+    counting = known == len(merges)
+
+    def run(batches):
+        chars, total = byte_characters(), defaultdict(int)
+        for pdf in batches:
+            for word, freq in zip(pdf["word"], pdf["freq"].tolist(), strict=True):
+                symbols = [chars[b] for b in word.encode()]
+                if counting:
+                    for p in pairs_of(split_by_merges(symbols, rank.value)):
+                        total[-1, *p] += freq
+                    continue
+                for r, before, after in steps(symbols, rank.value):
+                    if r >= known:
+                        for p in pairs_of(before):
+                            total[r, *p] -= freq
+                        for p in pairs_of(after):
+                            total[r, *p] += freq
+        import pandas as pd
+        yield pd.DataFrame([(*k, n) for k, n in total.items() if n], columns=["step", "left", "right", "change"])
+
+    return words.mapInPandas(run, "step int, left string, right string, change long").groupBy("step", "left", "right").agg(F.sum("change").alias("change"))
+
+
+def train_bpe(corpus: DataFrame, vocab_size: int = 8000, min_freq: int = 2, text_col: str = "text", specials=tuple(T.QA_SPECIALS),
+              alphabet: str = INITIAL_ALPHABET, batch: int = 512, sample_words: int = SAMPLE_WORDS, max_merges: int | None = None) -> Bpe:
+    """Learn merges until the vocabulary has ``vocab_size`` tokens, no pair is found ``min_freq`` times, or there are ``max_merges``."""
+    chars = byte_characters()
+    # every round works on all words: as many parts as a shuffle has, though the table is small beside the texts
+    words = materialise(word_counts(corpus, text_col, specials).repartition(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word"))
+    seen = words.select(F.explode(F.array_distinct(F.regexp_extract_all(F.hex(F.encode("word", "UTF-8")), F.lit(".."), F.lit(0)))).alias("h")).distinct().collect()  # 256 at most
+    letters = sorted({chars[int(r.h, 16)] for r in seen} | set(alphabet))
+    ids: dict[str, int] = {t: k for k, t in enumerate([*specials, *letters])}
+    counts = PairCounts({(r.left, r.right): r.change for r in _changes(words, [], 0).collect()}, ids)
+    top = words.orderBy(F.col("freq").desc(), "word").limit(sample_words).collect()
+    sample = Sample([([chars[b] for b in r.word.encode()], r.freq) for r in top])
+
+    merges: list[tuple[str, str, int]] = []
+    while len(ids) < vocab_size and (max_merges is None or len(merges) < max_merges):
+        want = batch if max_merges is None else min(batch, max_merges - len(merges))
+        guessed, undo, guess = [], [], PairCounts(counts.counts, dict(ids))
+        while len(guessed) < want and len(guess.ids) < vocab_size and (pair := guess.best(min_freq)):
+            guess.ids.setdefault("".join(pair), len(guess.ids))
+            changes, before = sample.merge(pair)
+            guess.counts[pair] = 0
+            for p, by in changes.items():
+                if p != pair:
+                    guess.change(p, by)
+            guessed.append(pair)
+            undo.append(before)
+        if not guessed:
             break
-        sym = F.col("sym")
-        for r in chosen:
-            sym = _merge(sym, r["left"], r["right"])
-            merges.append((len(merges), r["left"], r["right"], int(r["count"])))
-        # the distinct-word table is small next to the text: cut lineage every round
-        words = materialise(words.withColumn("sym", sym))
-    return spark.createDataFrame(merges, "rank int, left string, right string, count long")
-
-
-def apply_merges(words: DataFrame, merges: list[tuple[str, str]], sym_col: str = "sym") -> DataFrame:
-    """Encode distinct words with learned merges (once per distinct word, then joined back)."""
-    sym = F.col(sym_col)
-    for left, right in merges:
-        sym = _merge(sym, left, right)
-    return words.withColumn(sym_col, sym)
+        exact: dict[int, list] = defaultdict(list)
+        known = len(merges)
+        told = _changes(words, [(a, b) for a, b, _ in merges] + guessed, known).toArrow()  # bounded by batch and vocabulary
+        for step, left, right, change in zip(*(told[c].to_pylist() for c in told.column_names), strict=True):
+            exact[step - known].append(((left, right), change))
+        kept = 0
+        for k, pair in enumerate(guessed):
+            if len(ids) >= vocab_size or counts.best(min_freq) != pair:
+                break
+            merges.append((*pair, counts.counts[pair]))
+            ids.setdefault("".join(pair), len(ids))
+            for p, by in exact[k]:
+                counts.change(p, by)
+            kept = k + 1
+        for before in reversed(undo[kept:]):
+            sample.undo(before)
+    return Bpe(ids, merges, list(specials))
+
+
+def encode_bpe(df: DataFrame, key: list[str], text_col: str, bpe: Bpe, out_col: str = "ids", unk_token: str = "[UNK]") -> DataFrame:
+    """Ids of each row's text; a byte that the vocabulary lacks is the unknown token. Null text has none."""
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast((bpe.ids, {(a, b): k for k, (a, b, _) in enumerate(bpe.merges)}, set(bpe.specials)))
+    words = df.select(*key, byte_words(F.col(text_col), bpe.specials).alias("_words"))
+    schema = df.select(*key, F.array(F.lit(0)).alias(out_col)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, rank, specials = shared.value
+        chars, known = byte_characters(), {}
+        unk = ids.get(unk_token)
+
+        def encoded(word: str) -> list[int]:
+            if word in specials:
+                return [ids[word]]
+            out = [ids.get(s, unk) for s in split_by_merges([chars[b] for b in word.encode()], rank)]
+            if None in out:
+                raise ValueError(f"byte without a token and no unknown token: {word!r}")
+            return out
+
+        for batch in batches:
+            lists = batch.column(len(key))
+            flat = lists.flatten().dictionary_encode()
+            if len(known) > KEPT_WORDS:
+                known.clear()
+            distinct = [known[w] if w in known else known.setdefault(w, encoded(w)) for w in flat.dictionary.to_pylist()]
+            size = np.fromiter(map(len, distinct), np.int64, len(distinct))
+            begin = np.cumsum(size) - size
+            every = np.fromiter((i for x in distinct for i in x), np.int32, int(size.sum()))
+            at = flat.indices.to_numpy()
+            n = size[at]
+            before = np.concatenate([[0], np.cumsum(n)])
+            out = every[np.repeat(begin[at] - before[:-1], n) + np.arange(int(n.sum()))]
+            rows = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(key))), pa.ListArray.from_arrays(pa.array(before[rows].astype(np.int32)), pa.array(out))], names=schema.names)
+
+    return words.mapInArrow(run, schema)

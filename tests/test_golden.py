@@ -158,13 +158,6 @@ def test_ema_and_sign_sgd(spark):
     assert [round(x, 6) for x in out[0]] == [0.85, -0.95] and out[1] == [5.0, 5.0]
 
 
-def test_bpe_hand_example(spark):
-    from tessera.operators.bpe import train_bpe
-    df = spark.createDataFrame([("aaab aaab ab",), ("ab ab aab",)], "text string")
-    got = [tuple(r) for r in train_bpe(df, 3, min_freq=2).collect()]
-    assert got == [(0, "a", "b", 6), (1, "a", "ab", 3), (2, "a", "aab", 2)]
-
-
 def test_render_select_and_range(spark):
     from tessera.functions.text import render_solution
     from tessera.operators.expect import grid_cells_in_range
