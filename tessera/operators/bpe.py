@@ -41,7 +41,7 @@ from tessera.session import materialise
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 INITIAL_ALPHABET = "0123456789.,+-*/=()%"
 
-SAMPLE_WORDS = 1 << 16
+SAMPLE_WORDS = 1 << 17
 KEPT_WORDS = 1 << 20
 
 Pair = tuple[str, str]
@@ -216,7 +216,7 @@ def _changes(words: DataFrame, merges: list[Pair], known: int) -> DataFrame:
 
 
 def train_bpe(corpus: DataFrame, vocab_size: int = 8000, min_freq: int = 2, text_col: str = "text", specials=tuple(T.QA_SPECIALS),
-              alphabet: str = INITIAL_ALPHABET, batch: int = 512, sample_words: int = SAMPLE_WORDS, max_merges: int | None = None) -> Bpe:
+              alphabet: str = INITIAL_ALPHABET, batch: int = 1024, sample_words: int = SAMPLE_WORDS, max_merges: int | None = None) -> Bpe:
     """Learn merges until the vocabulary has ``vocab_size`` tokens, no pair is found ``min_freq`` times, or there are ``max_merges``."""
     chars = byte_characters()
     # every round works on all words: as many parts as a shuffle has, though the table is small beside the texts

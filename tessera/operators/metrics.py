@@ -47,6 +47,12 @@ def score_sequences(preds: DataFrame, loss: str = "stablemax_cross_entropy",
     return p
 
 
+def with_total_loss(scored: DataFrame) -> DataFrame:
+    """M9: ``total_loss`` = lm + half of halt and, where the model has it, continue loss."""
+    more = F.col("q_continue_loss") if "q_continue_loss" in scored.columns else F.lit(0.0)
+    return scored.withColumn("total_loss", F.col("lm_loss") + 0.5 * (F.col("q_halt_loss") + more))
+
+
 def _sums(valid: F.Column):
     def on(c):
         return F.sum(F.when(valid, c).otherwise(F.lit(0)))

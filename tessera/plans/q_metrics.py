@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import scoring as S
+from tessera.operators import evaluators as EV
 from tessera.operators import metrics as M
 from tessera.plans import fixtures as FX
 from tessera.plans import sqlexpr as X
@@ -72,10 +74,9 @@ def seq_metrics(spark, sf_dir):
 SELECT vec_id, round(lm_loss, 6) AS stablemax_loss, round(softmax_loss, 6) AS softmax_loss FROM scored""")
 def stablemax_loss(spark, sf_dir):
     """M7 + M8 (U3: losses chosen by name)."""
-    p = FX.logit_predictions(spark, sf_dir)
-    a = M.score_sequences(p, loss="stablemax_cross_entropy").select("vec_id", F.round("lm_loss", 6).alias("stablemax_loss"))
-    b = M.score_sequences(p, loss="softmax_cross_entropy").select("vec_id", F.round("lm_loss", 6).alias("softmax_loss"))
-    return a.join(b, "vec_id")
+    p = M.score_sequences(FX.logit_predictions(spark, sf_dir), loss="stablemax_cross_entropy")
+    softmax = S.sequence_loss(S.loss_by_name("softmax_cross_entropy")(F.col("logits"), F.col("labels")), F.col("labels"))
+    return p.select("vec_id", F.round("lm_loss", 6).alias("stablemax_loss"), F.round(softmax, 6).alias("softmax_loss"))
 
 
 @register("halt_loss", f"""WITH {F9}
@@ -120,3 +121,56 @@ def evaluator_registry(spark, sf_dir):
     """M14 + U2: evaluators by name, required columns checked, results unioned as (evaluator, metric, value)."""
     r = M.run_evaluators(FX.logit_predictions(spark, sf_dir), ["metrics"])
     return r.select("evaluator", "metric", F.round("value", 6).alias("value"))
+
+
+@register("continue_loss", f"""WITH {F9},
+c AS (SELECT s.vec_id, step, valid, lm_loss, q_halt_loss, CAST(e.embedding[2] AS DOUBLE) * 10 AS x, greatest(0.0, least(1.0, CAST(e.embedding[3] AS DOUBLE) + 0.5)) AS z
+  FROM scored s JOIN embeddings e ON e.vec_id = s.vec_id),
+l AS (SELECT *, greatest(x, 0) - x * z + ln(1 + exp(-abs(x))) AS q_continue_loss FROM c)
+SELECT step, count(*) FILTER (WHERE valid) AS count, round(sum(q_continue_loss) / 64.0, 6) AS q_continue_loss,
+       round(sum(lm_loss + 0.5 * (q_halt_loss + q_continue_loss)) / 64.0, 6) AS total_loss FROM l GROUP BY step""")
+def continue_loss(spark, sf_dir):
+    """M9 + M12: continue loss against bootstrapped targets and the total loss, per training step of 64 sequences."""
+    e = FX.table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("_id"), (F.element_at("embedding", 2).cast("double") * 10).alias("q_continue_logits"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.element_at("embedding", 3).cast("double") + 0.5)).alias("target_q_continue"))
+    p = FX.logit_predictions(spark, sf_dir)
+    scored = M.with_total_loss(M.score_sequences(p.join(e, p["vec_id"] == e["_id"])))
+    return scored.groupBy("step").agg(F.sum(F.col("valid").cast("long")).alias("count"), *[
+        F.round(F.sum(c) / 64.0, 6).alias(c) for c in ("q_continue_loss", "total_loss")])
+
+
+_EVALS = ["accuracy", "exact_accuracy", "q_halt_accuracy", "lm_loss", "q_halt_loss"]
+
+
+@register("evaluators_by_path", f"""WITH {F9}, p AS (SELECT *, CASE WHEN vec_id % 3 = 0 THEN 'held_out' ELSE 'seen' END AS data_path FROM scored),
+agg AS (SELECT data_path, set_name, {_SUMS} FROM p GROUP BY data_path, set_name),
+w AS (SELECT data_path, set_name, {", ".join(f"{m} / nullif(count, 0) AS {m}" for m in _EVALS)} FROM agg),
+t AS (SELECT data_path, avg(CAST(halted AS INTEGER)) AS halted, avg(steps) FILTER (WHERE halted) AS "steps/mean",
+      CAST(min(steps) FILTER (WHERE halted) AS DOUBLE) AS "steps/min", CAST(max(steps) FILTER (WHERE halted) AS DOUBLE) AS "steps/max" FROM p GROUP BY data_path)
+SELECT data_path, 'metrics' AS evaluator, set_name || '/' || metric AS metric, round(value, 6) AS value
+FROM (UNPIVOT w ON {", ".join(_EVALS)} INTO NAME metric VALUE value)
+UNION ALL SELECT data_path, 'steps', metric, round(value, 6) FROM (UNPIVOT t ON halted, "steps/mean", "steps/min", "steps/max" INTO NAME metric VALUE value)""")
+def evaluators_by_path(spark, sf_dir):
+    """U2 + M14: two evaluators with mergeable state over two data paths."""
+    p = FX.logit_predictions(spark, sf_dir)
+    paths = {"held_out": p.where("vec_id % 3 = 0"), "seen": p.where("vec_id % 3 <> 0")}
+    out = EV.evaluate(paths, [EV.SetMetrics(), EV.StepCounts()])
+    return out.select("data_path", "evaluator", "metric", F.round("value", 6).alias("value"))
+
+
+_LIMIT, _STEPS = 20, 6
+
+
+@register("predict_until_halted", f"""WITH {F9},
+i AS (SELECT vec_id, list_transform(labels, lambda x: greatest(x, 0) + 1) AS v FROM f),
+r AS (SELECT vec_id, v, list_transform(range(1, len(v) + 1), lambda k: list_sum(v[1:k])) AS sums FROM i),
+n AS (SELECT vec_id, sums, least({_STEPS}, coalesce(list_position(list_transform(sums, lambda x: x >= {_LIMIT}), true), len(v))) AS steps, len(v) AS size FROM r)
+SELECT vec_id, CAST(steps AS INTEGER) AS steps, CAST(sums[steps] AS BIGINT) AS total, CAST(sums[steps] AS DOUBLE) - {_LIMIT} AS q_halt_logits,
+       sums[steps] >= {_LIMIT} OR steps = size AS halted FROM n""")
+def predict_until_halted(spark, sf_dir):
+    """Every row is stepped until the model halts it, or six steps."""
+    from tessera.operators import extend as U
+    p = FX.logit_predictions(spark, sf_dir).select("vec_id", F.transform("labels", lambda x: F.greatest(x, F.lit(0)) + 1).alias("inputs"))
+    out = U.predict_until_halted(p, lambda: U.RunningSum(_LIMIT), ["vec_id"], "total bigint, q_halt_logits double", _STEPS)
+    return out.select("vec_id", "steps", "total", "q_halt_logits", "halted")
