@@ -12,6 +12,7 @@ from tessera.plans import fixtures as FX
 from tessera.plans.q_boards import MAZE_SQL, SUDOKU_SQL
 from tessera.plans.registry import register
 from tessera.plans.sqlfixtures import GRIDS
+from tessera.streaming.state import scratch_path
 
 
 @register("expectations", f"""WITH {GRIDS.strip().rstrip(',')},
@@ -57,3 +58,34 @@ def predict_dummy(spark, sf_dir):
     out = U.predict(preds.select("puzzle_identifier", "inputs"), U.copy_input_model,
                     "puzzle_identifier int, inputs array<int>, preds array<int>, q_halt_logits double")
     return VT.vote_table(VT.decode_predictions(out, identifiers), with_grid=False)
+
+
+_RULES_SQL = {"ascii": "regexp_full_match(text, '[ -~\\n]*')", "english": "lang = 'en'", "over_200": "length(text) > 200"}
+
+
+@register("checked_write", "WITH r AS (SELECT " + ", ".join(f"coalesce({c}, false) AS {n}" for n, c in _RULES_SQL.items()) + """ FROM documents)
+""" + "\nUNION ALL ".join(f"SELECT '{n}' AS rule, count(*) FILTER (WHERE NOT {n}) AS violations FROM r" for n in _RULES_SQL) + """
+UNION ALL SELECT 'rows written', count(*) FILTER (WHERE ascii AND english AND over_200) FROM r""")
+def checked_write(spark, sf_dir):
+    """V1-V7 in the job that writes: documents that break rules leave no table, those that keep all of them are written."""
+    docs = FX.table(spark, sf_dir, "documents")
+    rules = {"ascii": F.col("text").rlike(r"^[ -~\n]*$"), "english": F.col("lang") == "en", "over_200": F.length("text") > 200}
+    path = scratch_path(spark, "checked")
+    try:
+        V.write_checked(docs, path, rules)
+        counts = dict.fromkeys(rules, 0)
+    except V.ExpectationError as e:
+        counts = e.counts
+    good = F.lit(True)
+    for c in rules.values():
+        good = good & F.coalesce(c, F.lit(False))
+    V.write_checked(docs.filter(good), path, rules)
+    found = spark.createDataFrame(list(counts.items()), "rule string, violations long")
+    return found.unionByName(spark.read.parquet(path).agg(F.lit("rows written").alias("rule"), F.count("*").alias("violations")))
+
+
+@register("characters_seen", """
+SELECT ch, count(*) AS n_texts FROM (SELECT unnest(list_distinct(regexp_extract_all(text, '(?s).'))) AS ch FROM documents) GROUP BY ch""")
+def characters_seen(spark, sf_dir):
+    """V3: the characters of all documents."""
+    return V.characters_seen(FX.table(spark, sf_dir, "documents"), ["text"])

@@ -82,6 +82,20 @@ def predictions_by_step(spark, sf_dir):
     return spark.read.parquet(path).groupBy("step", "event_type").agg(F.count("*").alias("n"), F.sum("key").alias("total"))
 
 
+@register("predictions_replayed", """
+SELECT CAST(step AS INTEGER) AS step, CAST(event_id % 2 AS INTEGER) AS batch_id, event_type, count(*) AS n, sum(event_id + step) AS total
+FROM events, (VALUES (10), (20)) s(step) GROUP BY 1, 2, 3""")
+def predictions_replayed(spark, sf_dir):
+    """K5: two batches a step, the second written twice as a retried job does; each is there once."""
+    path = scratch_path(spark, "replayed")
+    e = FX.table(spark, sf_dir, "events")
+    for step in (10, 20):
+        for batch in (0, 1, 1):
+            rows = e.filter(F.col("event_id") % 2 == batch).withColumn("key", F.col("event_id") + step)
+            K.write_predictions(rows, path, step, ["event_type", "key"], batch)
+    return spark.read.parquet(path).groupBy("step", "batch_id", "event_type").agg(F.count("*").alias("n"), F.sum("key").alias("total"))
+
+
 @register("category_files", f"""WITH {LOGIC_SQL}, {_TEST_SQL}
 SELECT category, base_size, count(*) AS n, CAST(sum(seq_len) AS BIGINT) AS total_len FROM catd GROUP BY category, base_size""")
 def category_files(spark, sf_dir):

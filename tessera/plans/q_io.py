@@ -32,6 +32,25 @@ def json_roundtrip(spark, sf_dir):
                        G.grid_hash(F.col("output")).alias("out_hash"), "missing_solution")
 
 
+@register("json_objects_split", ORACLES["json_roundtrip"])
+def json_objects_split(spark, sf_dir):
+    """S1 + S2 on objects of about 1,000 puzzles each: entries are found by many tasks, whatever the size of an object."""
+    puz = FX.grid_puzzles(spark, sf_dir)
+    base = scratch_path(spark, "objects")
+    K.write_puzzles_json(puz, f"{base}/lines", with_test_outputs=False)
+    K.write_solutions_json(puz, f"{base}/solution-lines")
+    for name, out in (("lines", "challenges"), ("solution-lines", "solutions")):
+        lines = spark.read.text(f"{base}/{name}")
+        bucket = F.pmod(F.xxhash64("value"), F.lit(lines.count() // 1000 + 1))
+        entry = F.expr("substring(value, 2, char_length(value) - 2)")
+        objects = lines.groupBy(bucket).agg(F.array_join(F.collect_list(entry), ", ").alias("e"))
+        objects.select(F.concat(F.lit("{"), "e", F.lit("}"))).write.text(f"{base}/{out}")
+    back = S.read_grid_puzzles(spark, {"eval": f"{base}/challenges"}, whole_file=True)
+    full = S.overlay_solutions(back, S.object_entries(spark, f"{base}/solutions", "]"))
+    return full.select("subset", "puzzle_name", "role", "ex_idx", G.grid_hash(F.col("input")).alias("in_hash"),
+                       G.grid_hash(F.col("output")).alias("out_hash"), "missing_solution")
+
+
 _SPLIT = f"CASE WHEN {X.h(SEED, 'o_custkey')} % 10 < 8 THEN 'train' ELSE 'test' END"
 
 

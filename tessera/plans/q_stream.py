@@ -9,6 +9,7 @@ from tessera.operators import votes as V
 from tessera.plans import fixtures as FX
 from tessera.plans.q_metrics import _MCOLS
 from tessera.plans.registry import ORACLES, register
+from tessera.streaming import keyed as KS
 from tessera.streaming import state as ST
 
 
@@ -62,3 +63,30 @@ def stream_vote_table(spark, sf_dir):
     decoded = V.decode_predictions(stream, identifiers)
     votes = ST.run_to_table(ST.vote_state(decoded), spark, "complete")
     return votes.select("name", "input_hash", "pred_hash", "votes", F.round("mean_q", 6).alias("mean_q"))
+
+
+@register("stream_ema_keyed", ORACLES["ema_per_key"])
+def stream_ema_keyed(spark, sf_dir):
+    """T3 (stream): the same average with one state a user in the state store."""
+    ev = _stream_table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    out = KS.ema_by_key(ev, spark, "user_id", ["ts", "event_id"], "value", 0.9)
+    return out.select("user_id", F.round("ema", 6).alias("ema"), "n")
+
+
+@register("stream_votes_by_evaluation", """
+SELECT event_type AS name, CAST(user_id AS VARCHAR) AS input_hash, CAST(CAST(floor(value / 25) AS BIGINT) AS VARCHAR) AS pred_hash,
+       CAST(3 AS BIGINT) AS eval_id, count(*) AS votes, round(avg(value), 6) AS mean_q
+FROM events WHERE event_id % 3 = 2 GROUP BY 1, 2, 3""")
+def stream_votes_by_evaluation(spark, sf_dir):
+    """Events vote in three evaluations, written one after the other and streamed file by file; votes are
+    cleared when the next evaluation begins, so those of the last one are left."""
+    e = FX.table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("name"), F.col("user_id").cast("string").alias("input_hash"),
+        F.floor(F.col("value") / 25).cast("string").alias("pred_hash"), F.col("value").cast("double").alias("q"),
+        (1 + F.col("event_id") % 3).cast("long").alias("eval_id"))
+    path = ST.scratch_path(spark, "evaluations")
+    for n in (1, 2, 3):
+        e.filter(F.col("eval_id") == n).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    votes = KS.votes_by_evaluation(stream, spark)
+    return votes.select("name", "input_hash", "pred_hash", "eval_id", "votes", F.round("mean_q", 6).alias("mean_q"))

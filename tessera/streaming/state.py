@@ -125,7 +125,8 @@ def ema_to_table(stream: DataFrame, spark: SparkSession, key: str, order: list[s
     return spark.read.parquet(f"{out}/v{last}")
 
 
-def append_metrics(wide: DataFrame, path: str, step: int, keys: list[str]) -> None:
-    """K7: append (step, keys..., metric, value) rows to the metrics log."""
+def append_metrics(wide: DataFrame, path: str, step: int, keys: list[str], batch_id: int = 0) -> None:
+    """K7: (keys..., metric, value) rows of a step in the metrics log; a batch that is written again replaces its rows."""
     from tessera.operators.metrics import long_format
-    long_format(wide, keys).withColumn("step", F.lit(step)).write.mode("append").partitionBy("step").parquet(path)
+    from tessera.sources.sinks import write_batch
+    write_batch(long_format(wide, keys), path, step, batch_id)
