@@ -50,17 +50,32 @@ def literal(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def bound(value: str, name: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` for the value, worked out once (a lambda works out what it holds for every element)."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def matches(pattern: str, least_group: int, least: int, kind: int) -> str:
-    """SQL: spans (s, e, k) of the pattern in ``text``; one whose group is too short is passed over."""
+    """SQL: spans (s, e, k, n, w) of the pattern in ``text``; one whose group is too short is passed over.
+
+    Spans are folded in blocks of about the root of their number, then moved by
+    the lengths of the blocks before: a fold copies what it has collected at every step.
+    """
     p = literal(pattern)
-    empty = "cast(array() as array<struct<s: int, e: int, k: int, n: int>>)"
+    empty = "cast(array() as array<struct<s: int, e: int, k: int, n: int, w: string>>)"
     begin = "a.at + char_length(x['0'])"
-    span = f"named_struct('s', {begin}, 'e', {begin} + char_length(x['1']), 'k', {kind}, 'n', x['2'])"
+    span = f"named_struct('s', {begin}, 'e', {begin} + char_length(x['1']), 'k', {kind}, 'n', x['2'], 'w', x['1'])"
     # text between matches, matches, and the lengths of their groups, one after the other
     parts = (f"arrays_zip(split(text, {p}, -1), regexp_extract_all(text, {p}, 0), "
              f"transform(regexp_extract_all(text, {p}, {least_group}), g -> char_length(g)))")
-    walk = (f"aggregate({parts}, named_struct('at', 0, 'out', {empty}), "
-            f"(a, x) -> named_struct('at', {begin} + coalesce(char_length(x['1']), 0), 'out', if(x['1'] is null, a.out, concat(a.out, array({span})))), a -> a.out)")
+    width = "cast(ceil(sqrt(size(ps))) as int)"
+    block = (f"aggregate(slice(ps, i * {width} + 1, {width}), named_struct('at', 0, 'out', {empty}), "
+             f"(a, x) -> named_struct('at', {begin} + coalesce(char_length(x['1']), 0), 'out', if(x['1'] is null, a.out, concat(a.out, array({span})))))")
+    blocks = f"transform(sequence(0, cast((size(ps) - 1) div {width} as int)), i -> {block})"
+    starts = "aggregate(bs, array(0), (a, x) -> concat(a, array(element_at(a, -1) + x.at)))"
+    moved = (f"flatten(zip_with(bs, slice({starts}, 1, size(bs)), (x, at) -> transform(x.out, "
+             "m -> named_struct('s', m.s + at, 'e', m.e + at, 'k', m.k, 'n', m.n, 'w', m.w))))")
+    walk = bound(parts, "ps", bound(blocks, "bs", moved))
     return f"if(rlike(text, {p}), filter({walk}, m -> m.n >= {least}), {empty})"
 
 
@@ -102,7 +117,7 @@ def spans(docs: DataFrame, keep: list[str]) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], text)
     rows = rows.withColumn("base", F.expr(base_spans())).withColumn(
-        "near", F.expr(f"transform({matches(CANDIDATE, 0, WINDOW, 3)}, m -> named_struct('s', m.s, 'e', m.e, 'k', m.k, 'word', substring(text, m.s + 1, m.e - m.s)))"))
+        "near", F.expr(f"transform({matches(CANDIDATE, 0, WINDOW, 3)}, m -> named_struct('s', m.s, 'e', m.e, 'k', m.k, 'word', m.w))"))
     allowed = " or ".join(f"rlike(c.word, {literal(p)})" for p in ALLOWED)
     rows = rows.withColumn("near", F.expr(f"filter(near, c -> not ({allowed}) and not exists(base, b -> b.s <= c.s and b.e >= c.e))"))
     most = math.log2(WINDOW)
