@@ -1,9 +1,11 @@
 """Quality rules with thresholds that adapt to each language and source.
 
-A first pass measures every document. KLL sketches of four ratios (mergeable:
-one a task and group, merged after the shuffle, so a source that holds a third
-of all rows is sketched by many tasks) give the quartiles of each
-(language, source); a document fails where a ratio lies beyond its group's
+A first pass measures every document. A quantile sketch of four ratios (counts
+of logarithmic bins, which add up: tasks count their own documents and the sums
+are merged after the shuffle, so a source that holds a third of all rows is
+sketched by many tasks) gives the quartiles of each (language, source) to within
+``ACCURACY`` of their value, and the same ones whatever the order or the layout
+of the rows; a document fails where a ratio lies beyond its group's
 fence, Q3 + reach * max(Q3 - Q1, least spread). The thresholds are a table of
 one row a group, joined to the documents in the second pass.
 
@@ -22,11 +24,12 @@ gives no rows. Other columns are neither read nor changed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +42,11 @@ REACH = 6.0
 #: ratio -> least spread
 SPREAD = {"symbol_ratio": 0.01, "dup_line_ratio": 0.06, "repeat_ratio": 0.04, "word_length": 0.5}
 
+#: relative error of a quantile
+ACCURACY = 0.0005
+#: bin of the ratio 0
+NOTHING = -(2**31)
+
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
 _SYMBOL = np.zeros(256, bool)
@@ -114,16 +122,35 @@ def base_failed() -> Column:
     return (F.col("found.n_words") < MIN_WORDS) | (100 * F.col("found.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("found.n_words"))
 
 
+def sketched(passed: DataFrame) -> DataFrame:
+    """(lang, source, ratio, bin, n) of rows (lang, source, ratios): the mergeable sketch, whose bins are powers of
+    (1 + ACCURACY) / (1 - ACCURACY)."""
+    step = math.log((1 + ACCURACY) / (1 - ACCURACY))
+    each = passed.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("ratio"), F.col(k).alias("x")) for k in SPREAD])).alias("r"))
+    place = F.when(F.col("r.x") > 0, F.ceil(F.log("r.x") / step)).otherwise(NOTHING).cast("int")
+    return each.groupBy("lang", "source", F.col("r.ratio").alias("ratio"), place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def quantiles(sketch: DataFrame, at: list[float]) -> DataFrame:
+    """(lang, source, ratio, q0, q1, ...): the middle of the bin that holds the row of rank floor(q * (rows - 1))."""
+    group = Window.partitionBy("lang", "source", "ratio")
+    upto = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    placed = sketch.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(group)})
+    step = math.log((1 + ACCURACY) / (1 - ACCURACY))
+    middle = F.when(F.col("bin") == NOTHING, 0.0).otherwise(F.exp(F.col("bin") * step) * (1 - ACCURACY))
+    return placed.groupBy("lang", "source", "ratio").agg(*[
+        F.min(F.when(F.col("upto") > F.floor((F.col("total") - 1) * q), middle)).alias(f"q{i}") for i, q in enumerate(at)])
+
+
 def thresholds(docs: DataFrame, reach: float = REACH) -> DataFrame:
     """(lang, source, low and high of each ratio) from the documents that pass the base."""
     passed = measured(docs, ["lang"]).where(~base_failed()).select("lang", "source", *[v.alias(k) for k, v in ratios().items()])
-    sketches = passed.groupBy("lang", "source").agg(*[F.kll_sketch_agg_double(k).alias(k) for k in SPREAD])
-    out = [F.col("lang").alias("_lang"), F.col("source").alias("_source")]
-    for k, least in SPREAD.items():
-        q1, q3 = (F.kll_sketch_get_quantile_double(k, F.lit(q)) for q in (0.25, 0.75))
-        spread = F.greatest(q3 - q1, F.lit(least)) * reach
-        out += [(q1 - spread).alias(f"low_{k}"), (q3 + spread).alias(f"high_{k}")]
-    return sketches.select(*out)
+    found = quantiles(sketched(passed), [0.25, 0.75])
+    least = F.create_map(*[F.lit(x) for pair in SPREAD.items() for x in pair])[F.col("ratio")]
+    spread = F.greatest(F.col("q1") - F.col("q0"), least) * reach
+    found = found.withColumns({"low": F.col("q0") - spread, "high": F.col("q1") + spread})
+    sides = [F.max(F.when(F.col("ratio") == k, F.col(side))).alias(f"{side}_{k}") for k in SPREAD for side in ("low", "high")]
+    return found.groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source")).agg(*sides)
 
 
 def judged(docs: DataFrame, keep: list[str], reach: float = REACH) -> DataFrame:
