@@ -84,13 +84,38 @@ def csr_offsets(df: DataFrame, key, order=None) -> DataFrame:
     """D3: (index, key, start, end) per key in ``order``; starts are a prefix sum from 0.
 
     The CSR array of the reference is ``[start_0, ..., start_{n-1}, end_{n-1}]``.
+    Numbers and starts come from one layout of the keys.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("size"))
-    order = order or keys
-    with_start = prefix_sum(sizes, "size", order, name="start")
-    idx = dense_id(with_start, order, name="index")
-    return idx.withColumn("end", F.col("start") + F.col("size"))
+    laid = _layout(df.groupBy(*keys).agg(F.count("*").alias("size")), order or keys, None)
+    counts = laid.groupBy("_t_pid").agg(F.count("*").alias("_t_cnt"), F.sum("size").alias("_t_sum"))
+    before = Window.orderBy("_t_pid").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition, as in _partition_offsets
+    offs = counts.select("_t_pid", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(o) for c, o in (("_t_cnt", "_t_off"), ("_t_sum", "_t_start"))])
+    frame = Window.partitionBy("_t_pid").orderBy("_t_pos").rowsBetween(Window.unboundedPreceding, -1)
+    local = laid.withColumn("_t_loc", F.coalesce(F.sum("size").over(frame), F.lit(0)))
+    start = (F.col("_t_start") + F.col("_t_loc")).cast("long")
+    return local.join(F.broadcast(offs), "_t_pid").select(
+        *keys, "size", start.alias("start"), (F.col("_t_off") + F.col("_t_pos")).cast("long").alias("index"), (start + F.col("size")).alias("end"))
+
+
+def segment_numbers(df: DataFrame, segment: str, order, position: str = "position", name: str = "index") -> DataFrame:
+    """D1 + D3 per segment: ``position`` of each row in ``order`` and its ``index`` among the rows of its segment.
+
+    Both come from one layout in ``order``: a row's index is the rows of its
+    segment in the partitions before (a table of partitions x segments; for
+    segments of a small, fixed number, such as categories) and before it in its own.
+    """
+    laid = _layout(df, order, None)
+    counts = laid.groupBy("_t_pid", segment).agg(F.count("*").alias("_t_cnt"))
+    before = Window.partitionBy(segment).orderBy("_t_pid").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_t_pid", F.col(segment).alias("_t_seg"), F.coalesce(F.sum("_t_cnt").over(before), F.lit(0)).alias("_t_start"))
+    inside = F.row_number().over(Window.partitionBy("_t_pid", segment).orderBy("_t_pos")) - 1
+    out = laid.withColumn("_t_in", inside).join(F.broadcast(_partition_offsets(laid)), "_t_pid").alias("r")
+    here = (F.col("r._t_pid") == F.col("s._t_pid")) & F.col(f"r.{segment}").eqNullSafe(F.col("s._t_seg"))
+    out = out.join(F.broadcast(starts).alias("s"), here)
+    return out.select(*[F.col(f"r.{c}") for c in df.columns], (F.col("_t_off") + F.col("_t_pos")).cast("long").alias(position),
+                      (F.col("_t_start") + F.col("_t_in")).cast("long").alias(name))
 
 
 def lookup_interval(points: DataFrame, pos_col: str, intervals: DataFrame,

@@ -105,3 +105,17 @@ def category_files(spark, sf_dir):
     rows = spark.read.parquet(f"{path}/rows").groupBy("category", "base_size").agg(F.sum("seq_len").cast("long").alias("total_len"))
     counts = spark.read.parquet(f"{path}/counts").withColumnRenamed("count", "n")
     return counts.join(rows, ["category", "base_size"]).select("category", "base_size", "n", "total_len")
+
+
+@register("category_indices", f"""WITH {LOGIC_SQL}, {_TEST_SQL},
+numbered AS (SELECT category, row_number() OVER (ORDER BY id) - 1 AS position, row_number() OVER (PARTITION BY category ORDER BY id) - 1 AS index FROM catd),
+n AS (SELECT category, count(*) AS n FROM catd GROUP BY category),
+o AS (SELECT category, CAST(coalesce(sum(n) OVER (ORDER BY category ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, n FROM n)
+SELECT category, index, position, start, start + n AS "end" FROM numbered JOIN o USING (category)
+UNION ALL SELECT NULL, NULL, NULL, 0, count(*) FROM catd""")
+def category_indices(spark, sf_dir):
+    """K8 + D3: the index list of every category with its offsets, and the total."""
+    path = scratch_path(spark, "category-indices")
+    K.write_categories(_test_categories(spark, sf_dir), path, ["id"])
+    offsets = spark.read.parquet(f"{path}/offsets")
+    return offsets.join(spark.read.parquet(f"{path}/indices"), "category", "left").select("category", "index", "position", "start", "end")
