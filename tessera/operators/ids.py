@@ -154,10 +154,16 @@ def build_metadata(df: DataFrame, spec: dict, split_col: str = "split") -> DataF
 
 
 def merge_metadata(metas: DataFrame, check_fields=("pad_id", "ignore_label_id", "blank_identifier_id",
-                                                     "vocab_size", "seq_len")) -> DataFrame:
-    """D6 (+V5): fields that must agree across paths, sums, puzzle-weighted mean."""
-    aggs = [F.count_distinct(F.col(c)).alias(f"_nd_{c}") for c in check_fields]
-    aggs += [F.first(c).alias(c) for c in check_fields]
+                                                     "vocab_size", "seq_len", "sets")) -> DataFrame:
+    """D6 (+V5): fields that must agree across paths, sums, puzzle-weighted mean.
+
+    ``consistent`` is false where a field differs between paths, also where only
+    some have it; sets agree in any order, and those of all paths are returned.
+    ``expect.metadata_rules`` stops a write on it.
+    """
+    value = {c: F.array_sort(c) if c == "sets" else F.col(c) for c in check_fields}
+    aggs = [F.count_distinct(F.struct(value[c])).alias(f"_nd_{c}") for c in check_fields]  # a struct: null is a value too
+    aggs += [F.first(c).alias(c) for c in check_fields if c != "sets"]
     aggs += [F.sum("total_groups").alias("total_groups"),
              F.sum("total_puzzles").alias("total_puzzles"),
              (F.sum(F.col("mean_puzzle_examples") * F.col("total_puzzles")) / F.sum("total_puzzles")).alias("mean_puzzle_examples"),
