@@ -127,7 +127,7 @@ def _metrics_evaluator(predictions: DataFrame, **_):
 @register_evaluator("votes", {"puzzle_identifier", "inputs", "preds", "q_halt_logits"})
 def _vote_evaluator(predictions: DataFrame, identifiers: DataFrame = None, puzzles: DataFrame = None, **_):
     from tessera.operators import votes as V
-    decoded = V.decode_predictions(predictions, identifiers)
+    decoded = V.decode_predictions(predictions, identifiers, with_grid=False)
     r = V.pass_at_k(V.vote_table(decoded, with_grid=False), V.truth_table(puzzles))
     return r.select(F.concat(F.lit("pass@"), F.col("k").cast("string")).alias("metric"), F.col("pass_at_k").alias("value"))
 

@@ -13,28 +13,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import grid as G
+from tessera.functions import grid_arrow as GA
 from tessera.functions.scoring import sigmoid
 
 PASS_KS = (1, 2, 5, 10, 100, 1000)
 
 
-def decode_predictions(preds: DataFrame, identifiers: DataFrame, blank_id: int = 0) -> DataFrame:
+def decode_predictions(preds: DataFrame, identifiers: DataFrame, blank_id: int = 0, with_grid: bool = True) -> DataFrame:
     """Drop blank rows, name -> (base, tid, perm), crop and un-augment, hash.
 
-    Returns (name, input_hash, pred_hash, pred_grid, q).
+    Returns (name, input_hash, pred_hash, pred_grid, q), without ``pred_grid`` where only votes are
+    wanted: images are decoded a batch at a time, and grids that nobody reads aren't built.
     """
     p = preds.select("puzzle_identifier", "inputs", "preds", "q_halt_logits") \
         .filter(F.col("puzzle_identifier") != blank_id)
     p = p.join(identifiers.select("puzzle_identifier", "puzzle_name"), "puzzle_identifier")
     base, tid, perm = G.parse_aug(F.col("puzzle_name"))
-    p = p.select(base.alias("name"), tid.alias("tid"), perm.alias("perm"),
-                 G.crop(F.col("inputs")).alias("in_crop"), G.crop(F.col("preds")).alias("pred_crop"),
+    p = p.select(base.alias("name"), tid.alias("tid"), perm.alias("perm"), "inputs", "preds",
                  sigmoid(F.col("q_halt_logits").cast("double")).alias("q"))
-    p = p.select("name", "q",
-                 G.unaugment(F.col("in_crop"), F.col("tid"), F.col("perm")).alias("input_grid"),
-                 G.unaugment(F.col("pred_crop"), F.col("tid"), F.col("perm")).alias("pred_grid"))
-    return p.select("name", G.grid_hash(F.col("input_grid")).alias("input_hash"),
-                    G.grid_hash(F.col("pred_grid")).alias("pred_hash"), "pred_grid", "q")
+    out = GA.decoded(p, ["name", "q"], {"input": "inputs", "pred": "preds"}, ("pred",) if with_grid else ())
+    return out.select("name", "input_hash", "pred_hash", *(["pred_grid"] if with_grid else []), "q")
 
 
 def vote_table(decoded: DataFrame, with_grid: bool = True) -> DataFrame:

@@ -57,7 +57,7 @@ def predict_dummy(spark, sf_dir):
     preds, identifiers, _ = FX.grid_predictions(spark, sf_dir)
     out = U.predict(preds.select("puzzle_identifier", "inputs"), U.copy_input_model,
                     "puzzle_identifier int, inputs array<int>, preds array<int>, q_halt_logits double")
-    return VT.vote_table(VT.decode_predictions(out, identifiers), with_grid=False)
+    return VT.vote_table(VT.decode_predictions(out, identifiers, with_grid=False), with_grid=False)
 
 
 _RULES_SQL = {"ascii": "regexp_full_match(text, '[ -~\\n]*')", "english": "lang = 'en'", "over_200": "length(text) > 200"}

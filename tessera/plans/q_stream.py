@@ -60,7 +60,7 @@ def stream_vote_table(spark, sf_dir):
     path = ST.scratch_path(spark, "preds")
     preds.repartition(4).write.parquet(path)
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
-    decoded = V.decode_predictions(stream, identifiers)
+    decoded = V.decode_predictions(stream, identifiers, with_grid=False)
     votes = ST.run_to_table(ST.vote_state(decoded), spark, "complete")
     return votes.select("name", "input_hash", "pred_hash", "votes", F.round("mean_q", 6).alias("mean_q"))
 

@@ -14,7 +14,7 @@ _CTES = with_ctes(GRIDS, PLAN, PREDICTIONS, DECODED)
 
 def _votes(spark, sf_dir, with_grid=False):
     preds, identifiers, puzzles = FX.grid_predictions(spark, sf_dir)
-    decoded = V.decode_predictions(preds, identifiers)
+    decoded = V.decode_predictions(preds, identifiers, with_grid=with_grid)
     return V.vote_table(decoded, with_grid=with_grid), V.truth_table(puzzles), decoded
 
 
