@@ -181,6 +181,19 @@ class Bpe:
         return spark.createDataFrame([(i, t) for t, i in self.ids.items()], "id int, token string")
 
 
+def save_bpe(spark: SparkSession, bpe: Bpe, path: str) -> None:
+    """X12 (save side): vocabulary and merges as tables under ``path``."""
+    bpe.vocab_table(spark).withColumn("special", F.col("token").isin(*bpe.specials)).write.mode("overwrite").parquet(f"{path}/vocab")
+    bpe.merges_table(spark).write.mode("overwrite").parquet(f"{path}/merges")
+
+
+def load_bpe(spark: SparkSession, path: str) -> Bpe:
+    """Reuse saved byte pairs; as many rows as the vocabulary has come to the driver, as in training."""
+    vocab = spark.read.schema("id int, token string, special boolean").parquet(f"{path}/vocab").orderBy("id").collect()
+    merges = spark.read.schema("rank int, left string, right string, count long").parquet(f"{path}/merges").orderBy("rank").collect()
+    return Bpe({r.token: r.id for r in vocab}, [(r.left, r.right, r["count"]) for r in merges], [r.token for r in vocab if r.special])
+
+
 def word_counts(corpus: DataFrame, text_col: str = "text", specials=()) -> DataFrame:
     """(word, freq): distinct words of the byte-level splitter."""
     words = corpus.select(F.explode(byte_words(F.col(text_col), specials)).alias("word"))
