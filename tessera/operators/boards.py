@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,22 +121,23 @@ def _band_order_np(d: np.ndarray, first: int) -> np.ndarray:
     return np.concatenate(parts, axis=1)
 
 
-def shuffle_batch(digests: pd.Series, q: pd.Series, a: pd.Series) -> pd.DataFrame:
-    """G11 for a batch: digests are the key digits of shuffle_params."""
+def shuffle_batch(digests: pa.Array, boards: list[pa.Array]) -> list[pa.Array]:
+    """G11 for a batch: digests are the key digits of shuffle_params; each of ``boards`` has a row of 81 cells a digest."""
     from tessera.functions.rng import KEY_DIGITS
-    raw = np.frombuffer("".join(digests.tolist()).encode(), dtype=np.uint8).reshape(len(digests), -1)
-    d = np.searchsorted(_HEX, raw)
+    raw = np.frombuffer("".join(digests.to_pylist()).encode(), dtype=np.uint8)
+    d = np.searchsorted(_HEX, raw.reshape(len(digests), -1) if len(digests) else raw.reshape(0, N_KEYS * KEY_DIGITS))
     dm = np.concatenate([np.zeros((len(d), 1), dtype=np.int64), _perm(_hex_keys(d, DIGIT_KEYS, 9)) + 1], axis=1)
     t = (d[:, FLIP_KEY * KEY_DIGITS] % 2) == 1
     rows, cols = _band_order_np(d, ROW_KEYS), _band_order_np(d, COLUMN_KEYS)
     i = np.arange(81)
     k = rows[:, i // 9] * 9 + cols[:, i % 9]
     k = np.where(t[:, None], (k % 9) * 9 + k // 9, k)
-    qa = np.stack(q.to_numpy()).astype(np.int64)
-    aa = np.stack(a.to_numpy()).astype(np.int64)
-    qn = np.take_along_axis(dm, np.take_along_axis(qa, k, axis=1), axis=1)
-    an = np.take_along_axis(dm, np.take_along_axis(aa, k, axis=1), axis=1)
-    return pd.DataFrame({"q": list(qn.astype(np.int32)), "a": list(an.astype(np.int32))})
+    out = []
+    for cells in boards:
+        own = cells.flatten().to_numpy(zero_copy_only=False).reshape(len(d), 81)
+        new = np.take_along_axis(dm, np.take_along_axis(own, k, axis=1), axis=1).astype(np.int32)
+        out.append(pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1) * 81, pa.int32()), pa.array(new.reshape(-1))))
+    return out
 
 
 def shuffle_digest(seed, key: Column, aug: Column) -> Column:
@@ -144,12 +147,22 @@ def shuffle_digest(seed, key: Column, aug: Column) -> Column:
 
 def augment_sudoku_vectorised(df: DataFrame, n: int, seed: int, key: str, train_col: str = "is_train") -> DataFrame:
     """A3 with the vectorised G11 (same output as augment_sudoku)."""
-    from pyspark.sql.functions import pandas_udf
-    udf = pandas_udf(shuffle_batch, "struct<q:array<int>,a:array<int>>")
     e = df.withColumn("aug_idx", F.explode(F.when(F.col(train_col), F.sequence(F.lit(0), F.lit(n)))
                                           .otherwise(F.array(F.lit(0)))))
-    orig = e.filter(F.col("aug_idx") == 0)
-    aug = e.filter(F.col("aug_idx") > 0)
-    s = udf(shuffle_digest(seed, F.col(key), F.col("aug_idx")), F.col("q_cells"), F.col("a_cells"))
-    aug = aug.withColumn("_s", s).withColumn("q_cells", F.col("_s.q")).withColumn("a_cells", F.col("_s.a")).drop("_s")
-    return orig.unionByName(aug)
+    schema = e.schema
+    q, a, at = (schema.names.index(c) for c in ("q_cells", "a_cells", "aug_idx"))
+    digests = F.when(F.col("aug_idx") > 0, shuffle_digest(seed, F.col(key), F.col("aug_idx")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.columns[:-1]
+            drawn = np.flatnonzero(columns[at].to_numpy() > 0)
+            # originals stay as they are; shuffles lie behind them
+            place = np.arange(batch.num_rows)
+            place[drawn] = batch.num_rows + np.arange(len(drawn))
+            new = shuffle_batch(batch.column(len(columns)).take(drawn), [columns[c].take(drawn) for c in (q, a)])
+            for c, cells in zip((q, a), new, strict=True):
+                columns[c] = pa.concat_arrays([columns[c], cells.cast(columns[c].type)]).take(place)
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return e.withColumn("_digests", digests).mapInArrow(run, schema)

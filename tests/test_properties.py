@@ -93,3 +93,17 @@ def test_packing_blocks_agree(spark):
     for blk in (7, 50):
         many = pack_batches(df, 16, block=blk)
         assert many.count() == one.count() and one.exceptAll(many).count() == 0
+
+
+def test_vectorised_shuffles_leave_originals(spark):
+    from tessera.operators import boards as BD
+    cells = [(i * 3 + i // 9) % 9 + 1 for i in range(81)]
+    rows = [(1, cells, cells, True, "x"), (2, None, cells, False, "y"), (3, cells, None, None, None)]
+    s = spark.createDataFrame(rows, "k int, q_cells array<int>, a_cells array<int>, is_train boolean, note string")
+    got = BD.augment_sudoku_vectorised(s, 2, 9, "k")
+    assert got.columns == [*s.columns, "aug_idx"]
+    kept = {r.k: r for r in got.filter("aug_idx = 0").collect()}
+    assert {k: (r.q_cells, r.a_cells, r.note) for k, r in kept.items()} == {1: (cells, cells, "x"), 2: (None, cells, "y"), 3: (cells, None, None)}
+    assert [r.k for r in got.filter("aug_idx > 0").collect()] == [1, 1]
+    assert BD.augment_sudoku_vectorised(s.limit(0), 2, 9, "k").count() == 0
+    assert BD.augment_sudoku_vectorised(s.filter("k = 2"), 2, 9, "k").count() == 1
