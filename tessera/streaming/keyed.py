@@ -5,14 +5,19 @@ state under ``out/batch_id=<n>``, and a batch that is run again replaces its
 folder. ``latest`` gives the last state of every key. A query that is started
 again on its path goes on with the states it had.
 
-T1 here clears votes per evaluation: a key's votes start anew with the first
-row of a later evaluation, and a timer removes the keys that a later
-evaluation doesn't vote for.
+T1 here clears votes per evaluation. It is Spark's own aggregation, added up in
+each task before the shuffle, with the evaluation as event time: once the next
+evaluation has begun, the watermark clears the states of the one before, and
+votes of it that come later are late and count for nothing. No Python code runs
+for a key, so the time grows with the rows and not with calls for each key.
 """
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -24,51 +29,15 @@ STORE = ("spark.sql.streaming.stateStore.providerClass",
          "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 VOTE_KEYS = ["name", "input_hash", "pred_hash"]
 
+# Spark starts a Python process on the driver for a stateful processor, which may not see the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def ddl(df: DataFrame, cols: list[str]) -> str:
     types = dict(df.dtypes)
     return ", ".join(f"`{c}` {types[c]}" for c in cols)
 
 
-class Votes(StatefulProcessor):
-    """(eval_id, votes, sum of q) a key; rows of an evaluation before the key's own are late and count for nothing."""
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("votes", "eval_id long, votes long, q_sum double")
-
-    def handleInputRows(self, key, rows, timerValues):
-        at, votes, total = self.state.get() if self.state.exists() else (None, 0, 0.0)
-        before = at
-        for frame in rows:
-            for e, v, q in zip(frame["eval_id"], frame["votes"], frame["q_sum"]):
-                if at is None or e > at:
-                    at, votes, total = int(e), 0, 0.0
-                if e == at:
-                    votes, total = votes + int(v), total + float(q)
-        if at != before:
-            if before is not None:
-                self.handle.deleteTimer(before * 1000 + 250)
-            self.handle.registerTimer(at * 1000 + 250)
-        self.state.update((at, votes, total))
-        yield pd.DataFrame([(*key, at, votes, total / votes)], columns=[*VOTE_KEYS, "eval_id", "votes", "mean_q"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        at, _, _ = self.state.get()
-        self.state.clear()
-        yield pd.DataFrame([(*key, at, 0, None)], columns=[*VOTE_KEYS, "eval_id", "votes", "mean_q"]).astype({"mean_q": "float64"})
-
-    def close(self) -> None:
-        pass
-
-
-def _combined(frames):
-    """Votes of an Arrow batch added up by key and evaluation, before they are shuffled."""
-    by = [*VOTE_KEYS, "eval_id"]
-    for f in frames:
-        yield f.groupby(by, as_index=False, dropna=False).agg(votes=("q", "size"), q_sum=("q", "sum"))
-
-
 class Ema(StatefulProcessor):
     """(ema, n) a key: s <- (1 - mu) x + mu s over the key's rows of a micro-batch, in their order."""
 
@@ -106,24 +75,26 @@ def _run(changes: DataFrame, spark: SparkSession, path: str, timeout_s: int) ->
 def latest(spark: SparkSession, out: str, schema: StructType, keys: list[str]) -> DataFrame:
     """The last change of every key in a log of changes."""
     values = [c for c in schema.names if c not in keys]
-    log = spark.read.schema(StructType(schema.fields).add("batch_id", "long")).parquet(out)
+    log = spark.read.schema(StructType([*schema.fields]).add("batch_id", "long")).parquet(out)
     last = log.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_s"))
     return last.select(*keys, *[F.col(f"_s.{c}").alias(c) for c in values])
 
 
 def votes_by_evaluation(decoded: DataFrame, spark: SparkSession, path: str | None = None, timeout_s: int = 600) -> DataFrame:
     """(name, input_hash, pred_hash, eval_id, votes, mean_q) of the last evaluation, from a stream of decoded
-    predictions (name, input_hash, pred_hash, q, eval_id) whose evaluations arrive one after the other."""
+    predictions (name, input_hash, pred_hash, q, eval_id) whose evaluations arrive one after the other. A null q counts as 0."""
     path = path or scratch_path(spark, "votes")
-    rows = decoded.select(*VOTE_KEYS, F.col("q").cast("double").alias("q"), F.col("eval_id").cast("long").alias("eval_id"))
-    keys = ddl(rows, VOTE_KEYS)
-    rows = rows.mapInPandas(_combined, f"{keys}, eval_id long, votes long, q_sum double")
+    numbered = F.coalesce(F.col("eval_id").cast("long"), F.raise_error(F.lit("a vote without an evaluation")).cast("long"))
     # an evaluation is over when the next one has begun: half a second behind it, for whole evaluation numbers
-    rows = rows.withColumn("at", F.timestamp_seconds("eval_id")).withWatermark("at", "500 milliseconds")
-    changes = rows.groupBy(*VOTE_KEYS).transformWithStateInPandas(
-        Votes(), f"{keys}, eval_id long, votes long, mean_q double", "update", "EventTime")
+    rows = decoded.withColumn("at", F.timestamp_seconds(numbered)).withWatermark("at", "500 milliseconds")
+    q = F.col("q").cast("double")
+    state = rows.groupBy(*VOTE_KEYS, "at").agg(
+        F.count(F.lit(1)).alias("votes"), F.sum(F.when(q.isNull() | F.isnan(q), 0.0).otherwise(q)).alias("q_sum"))
+    changes = state.select(*VOTE_KEYS, F.unix_seconds("at").alias("eval_id"), "votes", (F.col("q_sum") / F.col("votes")).alias("mean_q"))
     out = _run(changes, spark, path, timeout_s)
-    return latest(spark, out, changes.schema, VOTE_KEYS).filter("votes > 0")
+    newest = spark.read.schema(changes.schema).parquet(out).agg(F.max("eval_id").alias("eval_id"))  # one row
+    last = latest(spark, out, changes.schema, [*VOTE_KEYS, "eval_id"])
+    return last.join(F.broadcast(newest), "eval_id").select(changes.columns)
 
 
 def ema_by_key(stream: DataFrame, spark: SparkSession, key: str, order: list[str], value: str, mu: float,
