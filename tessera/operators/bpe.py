@@ -2,21 +2,22 @@
 
 Training. Texts become distinct words with counts (partial aggregation, one
 shuffle), and words stay in Spark. The driver holds what the vocabulary bounds:
-the merges and the exact count of every pair of neighbouring symbols (at most
-the square of the vocabulary size, whatever the corpus). A round goes so:
-
-1. The driver guesses the next ``batch`` merges. It starts from the exact pair
-   counts and follows the merges through a bounded sample of frequent words, in
-   which an index from pairs to words finds the words that a merge changes.
-2. One Spark job applies the guess to every distinct word and adds up, merge by
-   merge, how the pair counts change: a word gives changes only for merges whose
-   pair it holds.
-3. The driver replays the exact changes. A guessed merge is kept while it is the
-   pair with the highest exact count (ties: the smaller ids); from the first one
-   that isn't, the guess is dropped.
-
-The first guess of a round is always right, so training ends, and the result
-doesn't depend on the sample: that only decides how many rounds it takes.
+the merges, and for every pair of neighbouring symbols its exact count and the
+number of distinct words that hold it (at most the square of the vocabulary
+size, whatever the corpus). A round goes so:
+
+1. The pairs with the highest counts that no more than ``sample_words`` words
+   hold in all are chosen, and one Spark job fetches those words.
+2. The driver learns merges on them. A chosen pair, and one that arises on the
+   way, is found in no other word, so every count stays exact. The round ends
+   when the pair with the highest count (ties: the smaller ids) is another one,
+   or after ``batch`` merges.
+3. A pair that more words hold than the driver takes is merged alone: it is the
+   best by exact counts, and one Spark job adds up how the counts change.
+
+So no merge is guessed and none undone; a word comes to the driver only in rounds
+in which it changes or may change. Words are stored anew after ``STORED_AFTER``
+merges, so a job applies the last ones only.
 
 Encoding. The merges go to every worker, which encodes each distinct word of an
 Arrow batch once and keeps it; no token is shuffled.
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,7 @@ BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 INITIAL_ALPHABET = "0123456789.,+-*/=()%"
 
 SAMPLE_WORDS = 1 << 17
+STORED_AFTER = 256
 KEPT_WORDS = 1 << 20
 
 Pair = tuple[str, str]
@@ -102,21 +105,28 @@ def split_by_merges(symbols: list[str], rank: dict[Pair, int]) -> list[str]:
 
 
 class PairCounts:
-    """Counts of pairs, and the one with the highest count (ties: the smaller ids)."""
+    """Exact counts of pairs, the number of words that hold each, and the pair with the highest count (ties: the smaller ids)."""
 
-    def __init__(self, counts: dict[Pair, int], ids: dict[str, int]):
-        self.counts, self.ids = dict(counts), ids
-        self.heap = [self._entry(p, n) for p, n in counts.items()]
-        heapq.heapify(self.heap)
+    def __init__(self, rows, ids: dict[str, int]):
+        self.ids = ids
+        self.counts: dict[Pair, int] = {}
+        self.held_by: dict[Pair, int] = {}
+        self.heap: list[tuple] = []
+        for pair, n, words in rows:
+            self.change(pair, n, words)
 
     def _entry(self, pair: Pair, n: int) -> tuple:
         return -n, self.ids[pair[0]], self.ids[pair[1]], pair
 
-    def change(self, pair: Pair, by: int) -> None:
-        if by:
-            self.counts[pair] = n = self.counts.get(pair, 0) + by
-            if n > 0:
+    def change(self, pair: Pair, by: int, words: int) -> None:
+        n = self.counts.get(pair, 0) + by
+        if n:
+            self.counts[pair], self.held_by[pair] = n, self.held_by.get(pair, 0) + words
+            if by:
                 heapq.heappush(self.heap, self._entry(pair, n))
+        else:
+            self.counts.pop(pair, None)
+            self.held_by.pop(pair, None)
 
     def best(self, min_freq: int) -> Pair | None:
         while self.heap:
@@ -126,9 +136,34 @@ class PairCounts:
             heapq.heappop(self.heap)
         return None
 
+    def first(self, words: int, min_freq: int) -> set[Pair]:
+        """Pairs in the order of ``best`` as long as ``words`` words hold them in all."""
+        self.heap = [self._entry(p, n) for p, n in self.counts.items() if n >= min_freq]
+        self.heap.sort()  # a heap too
+        out = set()
+        for *_, pair in self.heap:
+            words -= self.held_by[pair]
+            if words < 0:
+                break
+            out.add(pair)
+        return out
+
+
+Changes = dict[Pair, list[int]]
+
+
+def note(changes: Changes, old: list[str], new: list[str], freq: int) -> None:
+    """Add how a word's step from ``old`` to ``new`` changes [counts, words] of pairs."""
+    for symbols, sign in ((old, -1), (new, 1)):
+        own = list(pairs_of(symbols))
+        for p in own:
+            changes[p][0] += sign * freq
+        for p in set(own):
+            changes[p][1] += sign
+
 
-class Sample:
-    """Frequent words under the merges so far, with an index from pairs to the words that hold them."""
+class HeldWords:
+    """Words under the merges so far, with an index from pairs to the words that hold them."""
 
     def __init__(self, words: list[tuple[list[str], int]]):
         self.symbols, self.freq = [s for s, _ in words], [n for _, n in words]
@@ -137,32 +172,19 @@ class Sample:
             for p in pairs_of(symbols):
                 self.holders[p].add(w)
 
-    def merge(self, pair: Pair) -> tuple[dict[Pair, int], list[tuple[int, list[str]]]]:
-        """Apply a merge; the changes of pair counts, and the words as they were."""
-        changes, before = defaultdict(int), []
-        for w in sorted(self.holders.get(pair, ())):
+    def merge(self, pair: Pair) -> Changes:
+        """Apply a merge; the changes of pairs."""
+        changes: Changes = defaultdict(lambda: [0, 0])
+        for w in self.holders.pop(pair, ()):
             old = self.symbols[w]
-            new = merged(old, *pair)
-            if len(new) == len(old):
-                continue
-            before.append((w, old))
-            self._put(w, old, new, changes)
-        return changes, before
-
-    def _put(self, w: int, old: list[str], new: list[str], changes: dict[Pair, int] | None = None) -> None:
-        for p in pairs_of(old):
-            self.holders[p].discard(w)
-            if changes is not None:
-                changes[p] -= self.freq[w]
-        for p in pairs_of(new):
-            self.holders[p].add(w)
-            if changes is not None:
-                changes[p] += self.freq[w]
-        self.symbols[w] = new
-
-    def undo(self, before: list[tuple[int, list[str]]]) -> None:
-        for w, old in reversed(before):
-            self._put(w, self.symbols[w], old)
+            new = self.symbols[w] = merged(old, *pair)
+            note(changes, old, new, self.freq[w])
+            for p in pairs_of(old):
+                if p != pair:
+                    self.holders[p].discard(w)
+            for p in pairs_of(new):
+                self.holders[p].add(w)
+        return changes
 
 
 @dataclass
@@ -202,76 +224,100 @@ def word_counts(corpus: DataFrame, text_col: str = "text", specials=()) -> DataF
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
 
 
-def _changes(words: DataFrame, merges: list[Pair], known: int) -> DataFrame:
-    """(step, left, right, change) of pair counts by the merges from ``known`` on; without any, all pairs at step -1."""
-    rank = words.sparkSession.sparkContext.broadcast({p: k for k, p in enumerate(merges)})
-    counting = known == len(merges)
+def _symbols(words: DataFrame) -> DataFrame:
+    """(symbols, freq): each word's bytes as characters with spaces between, which no byte's character is."""
+    def run(batches):
+        chars = byte_characters()
+        for pdf in batches:
+            yield pdf.assign(symbols=[" ".join([chars[b] for b in w.encode()]) for w in pdf["word"]])[["symbols", "freq"]]
+
+    return words.mapInPandas(run, "symbols string, freq long")
+
+
+def _merged(words: DataFrame, merges: list[Pair], holding: set[Pair] | None = None) -> DataFrame:
+    """``words`` after ``merges``; with ``holding`` only those that hold one of its pairs then."""
+    shared = words.sparkSession.sparkContext.broadcast(({p: k for k, p in enumerate(merges)}, holding))
+
+    def run(batches):
+        rank, wanted = shared.value
+        for pdf in batches:
+            rows = [(split_by_merges(x.split(" "), rank), n) for x, n in zip(pdf["symbols"], pdf["freq"].tolist(), strict=True)]
+            if wanted is not None:
+                rows = [r for r in rows if not wanted.isdisjoint(pairs_of(r[0]))]
+            yield pd.DataFrame([(" ".join(x), n) for x, n in rows], columns=["symbols", "freq"])
+
+    return words.mapInPandas(run, "symbols string, freq long")
+
+
+def _changes(words: DataFrame, merges: list[Pair], pair: Pair | None) -> DataFrame:
+    """(left, right, change, words) of pairs when ``pair`` is merged after ``merges``; without one, all pairs as they are."""
+    shared = words.sparkSession.sparkContext.broadcast({p: k for k, p in enumerate(merges)})
 
     def run(batches):
-        chars, total = byte_characters(), defaultdict(int)
+        total: Changes = defaultdict(lambda: [0, 0])
         for pdf in batches:
-            for word, freq in zip(pdf["word"], pdf["freq"].tolist(), strict=True):
-                symbols = [chars[b] for b in word.encode()]
-                if counting:
-                    for p in pairs_of(split_by_merges(symbols, rank.value)):
-                        total[-1, *p] += freq
-                    continue
-                for r, before, after in steps(symbols, rank.value):
-                    if r >= known:
-                        for p in pairs_of(before):
-                            total[r, *p] -= freq
-                        for p in pairs_of(after):
-                            total[r, *p] += freq
-        import pandas as pd
-        yield pd.DataFrame([(*k, n) for k, n in total.items() if n], columns=["step", "left", "right", "change"])
-
-    return words.mapInPandas(run, "step int, left string, right string, change long").groupBy("step", "left", "right").agg(F.sum("change").alias("change"))
+            for x, freq in zip(pdf["symbols"], pdf["freq"].tolist(), strict=True):
+                symbols = split_by_merges(x.split(" "), shared.value)
+                if pair is None:
+                    note(total, [], symbols, freq)
+                elif pair in pairs_of(symbols):
+                    note(total, symbols, merged(symbols, *pair), freq)
+        yield pd.DataFrame([(*p, *n) for p, n in total.items()], columns=["left", "right", "change", "words"])
+
+    told = words.mapInPandas(run, "left string, right string, change long, words long")
+    return told.groupBy("left", "right").agg(F.sum("change").alias("change"), F.sum("words").alias("words"))
+
+
+def _told(changes: DataFrame) -> Iterator[tuple[Pair, int, int]]:
+    """(pair, change, words) on the driver: bounded by the vocabulary."""
+    table = changes.toArrow()
+    for left, right, change, words in zip(*(table[c].to_pylist() for c in table.column_names), strict=True):
+        yield (left, right), change, words
 
 
 def train_bpe(corpus: DataFrame, vocab_size: int = 8000, min_freq: int = 2, text_col: str = "text", specials=tuple(T.QA_SPECIALS),
               alphabet: str = INITIAL_ALPHABET, batch: int = 1024, sample_words: int = SAMPLE_WORDS, max_merges: int | None = None) -> Bpe:
     """Learn merges until the vocabulary has ``vocab_size`` tokens, no pair is found ``min_freq`` times, or there are ``max_merges``."""
-    chars = byte_characters()
     # every round works on all words: as many parts as a shuffle has, though the table is small beside the texts
-    words = materialise(word_counts(corpus, text_col, specials).repartition(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word"))
-    seen = words.select(F.explode(F.array_distinct(F.regexp_extract_all(F.hex(F.encode("word", "UTF-8")), F.lit(".."), F.lit(0)))).alias("h")).distinct().collect()  # 256 at most
-    letters = sorted({chars[int(r.h, 16)] for r in seen} | set(alphabet))
+    parts = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = materialise(_symbols(word_counts(corpus, text_col, specials).repartition(parts, "word")), cache=True)
+    seen = words.select(F.explode(F.array_distinct(F.split("symbols", " "))).alias("c")).distinct().collect()  # 256 at most
+    letters = sorted({r.c for r in seen} | set(alphabet))
     ids: dict[str, int] = {t: k for k, t in enumerate([*specials, *letters])}
-    counts = PairCounts({(r.left, r.right): r.change for r in _changes(words, [], 0).collect()}, ids)
-    top = words.orderBy(F.col("freq").desc(), "word").limit(sample_words).collect()
-    sample = Sample([([chars[b] for b in r.word.encode()], r.freq) for r in top])
+    counts = PairCounts(_told(_changes(words, [], None)), ids)
 
     merges: list[tuple[str, str, int]] = []
-    while len(ids) < vocab_size and (max_merges is None or len(merges) < max_merges):
-        want = batch if max_merges is None else min(batch, max_merges - len(merges))
-        guessed, undo, guess = [], [], PairCounts(counts.counts, dict(ids))
-        while len(guessed) < want and len(guess.ids) < vocab_size and (pair := guess.best(min_freq)):
-            guess.ids.setdefault("".join(pair), len(guess.ids))
-            changes, before = sample.merge(pair)
-            guess.counts[pair] = 0
-            for p, by in changes.items():
-                if p != pair:
-                    guess.change(p, by)
-            guessed.append(pair)
-            undo.append(before)
-        if not guessed:
-            break
-        exact: dict[int, list] = defaultdict(list)
-        known = len(merges)
-        told = _changes(words, [(a, b) for a, b, _ in merges] + guessed, known).toArrow()  # bounded by batch and vocabulary
-        for step, left, right, change in zip(*(told[c].to_pylist() for c in told.column_names), strict=True):
-            exact[step - known].append(((left, right), change))
-        kept = 0
-        for k, pair in enumerate(guessed):
-            if len(ids) >= vocab_size or counts.best(min_freq) != pair:
-                break
-            merges.append((*pair, counts.counts[pair]))
-            ids.setdefault("".join(pair), len(ids))
-            for p, by in exact[k]:
-                counts.change(p, by)
-            kept = k + 1
-        for before in reversed(undo[kept:]):
-            sample.undo(before)
+    stored = 0
+
+    def wanted() -> Pair | None:
+        """The next pair to merge, if there is one."""
+        return counts.best(min_freq) if len(ids) < vocab_size and (max_merges is None or len(merges) < max_merges) else None
+
+    def learn(pair: Pair, changes) -> list[Pair]:
+        """Keep a merge; pairs that weren't found anywhere before it."""
+        merges.append((*pair, counts.counts[pair]))
+        ids.setdefault("".join(pair), len(ids))
+        changes = list(changes)
+        new = [p for p, _, _ in changes if p not in counts.counts]
+        for change in changes:
+            counts.change(*change)
+        return new
+
+    while pair := wanted():
+        last = [m[:2] for m in merges[stored:]]
+        if len(last) >= STORED_AFTER or pair in last:  # a pair that is found anew has two places in the order
+            words, stored, last = materialise(_merged(words, last), cache=True), len(merges), []
+        known = counts.first(sample_words, min_freq)
+        if pair not in known:
+            learn(pair, _told(_changes(words, last, pair)))
+            continue
+        rows = _merged(words, last, known).toArrow()  # bounded by sample_words
+        held = HeldWords([(x.split(" "), n) for x, n in zip(rows["symbols"].to_pylist(), rows["freq"].to_pylist(), strict=True)])
+        end, last = len(merges) + batch, set(last)
+        while pair in known and len(merges) < end and pair not in last:
+            last.add(pair)
+            known.update(learn(pair, [(p, by, w) for p, (by, w) in held.merge(pair).items()]))
+            pair = wanted()
     return Bpe(ids, merges, list(specials))
 
 
