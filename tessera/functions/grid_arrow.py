@@ -4,8 +4,9 @@ The same values as the expressions of ``functions.grid``, worked out for a whole
 Arrow batch at once with NumPy instead of an interpreted lambda per cell. Use it
 where whole tables of 900-token images are decoded; the expressions remain for
 plans that want no Python worker. Python code runs once a row only for the
-digest. A batch holds ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows of
-at most 900 cells, so memory doesn't depend on the table.
+digest. A batch (``spark.sql.execution.arrow.maxRecordsPerBatch`` rows of 900
+cells) is worked on in pieces of ``PIECE_ROWS``: the work arrays take many times
+a token's four bytes, and every core of an executor has a worker of its own.
 
 Defined cases: a null argument gives null (the expression serialises a null grid as an empty image); an image of another length than 900
 or a grid over 30 x 30 (with its offsets) or not rectangular is an error.
@@ -30,6 +31,15 @@ _FLIP_ROWS = np.array([0, 0, 1, 1, 0, 1, 0, 1], bool)
 _FLIP_COLUMNS = np.array([0, 1, 1, 0, 1, 0, 0, 1], bool)
 _INVERSE = np.array([0, 3, 2, 1, 4, 5, 6, 7])
 
+PIECE_ROWS = 512
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``PIECE_ROWS`` rows."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, PIECE_ROWS):
+            yield batch.slice(first, PIECE_ROWS)
+
 
 def _offsets(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)])
@@ -158,7 +168,7 @@ def decoded(df: DataFrame, keep: list[str], images: dict[str, str], grids: tuple
     n, names = len(keep), schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out = batch.columns[:n]
             for k, name in enumerate(images):
                 digest, grid = decoded_batch(batch.column(n + 2 + k), batch.column(n), batch.column(n + 1), name in grids)
@@ -177,7 +187,7 @@ def serialised(df: DataFrame, keep: list[str], grids: dict[str, str], pad_r: str
     n, names = len(keep), schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             images = [serialised_batch(batch.column(n + 2 + k), batch.column(n), batch.column(n + 1)) for k in range(len(grids))]
             yield pa.RecordBatch.from_arrays(batch.columns[:n] + images, names=names)
 

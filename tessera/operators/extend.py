@@ -9,12 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+#: rows of a model's batch: an Arrow batch may hold 10,000 token images, and every core has a worker of its own
+MODEL_ROWS = 512
+
 
 def predict(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Run ``fn`` on Arrow record batches of each partition (mapInPandas)."""
+    """Run ``fn`` on batches of at most ``MODEL_ROWS`` rows of each partition (mapInPandas)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield fn(pdf)
+            for first in range(0, len(pdf), MODEL_ROWS):
+                yield fn(pdf.iloc[first:first + MODEL_ROWS].reset_index(drop=True))
     return df.mapInPandas(run, schema)
 
 
