@@ -54,6 +54,8 @@ from tessera.llm.words import SPACED_LOWER, Words, mix, words
 ROWS, MISS = 5, 5e-7
 SAMPLES, BITS, DEVIATIONS = 400, 2048, 4.5
 SLOTS = 1 << 20
+#: rows whose sketches are made at once: a row's counts take 16 KB
+SKETCHED = 256
 #: pairs of two components that are tested in the first round
 TESTED = 4
 CLASS = T.DecimalType(38, 0)
@@ -132,10 +134,14 @@ def bands_for(similarity: float) -> int:
 
 def odd_sketch(minima: np.ndarray, bits: int) -> np.ndarray:
     """Parity bitmaps: sample i with value x flips the bit that (i, x) hashes to."""
-    m, n = minima.shape
-    where = (mix(minima + np.arange(n, dtype=np.uint64), 71) % np.uint64(bits)).astype(np.int64) + (np.arange(m) * bits)[:, None]
-    odd = (np.bincount(where.reshape(-1), minlength=m * bits) & 1).astype(np.uint8).reshape(m, bits)
-    return np.packbits(odd, axis=1, bitorder="little").view(np.uint64)
+    parts = []
+    for first in range(0, max(len(minima), 1), SKETCHED):
+        part = minima[first:first + SKETCHED]
+        m, n = part.shape
+        where = (mix(part + np.arange(n, dtype=np.uint64), 71) % np.uint64(bits)).astype(np.int64) + (np.arange(m) * bits)[:, None]
+        odd = (np.bincount(where.reshape(-1), minlength=m * bits) & 1).astype(np.uint8).reshape(m, bits)
+        parts.append(np.packbits(odd, axis=1, bitorder="little").view(np.uint64))
+    return np.concatenate(parts)
 
 
 def least_similarity(similarity: float, n: int) -> float:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.llm import near_dedup as N
@@ -115,3 +116,15 @@ def test_few_pairs_of_a_large_group_are_tested(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == linked_by_bitsets(rows, 3, 85)
     assert sum(tested) <= 4 * len(rows), tested
+
+
+def test_sketches_are_made_a_few_rows_at_a_time():
+    """A worker held the bit counts of all rows of a chunk at once, 16 KB a row."""
+    import tracemalloc
+    minima = np.random.default_rng(3).integers(0, 1 << 63, (3000, N.SAMPLES), dtype=np.uint64)
+    tracemalloc.start()
+    got = N.odd_sketch(minima, N.BITS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6 and got.shape == (3000, N.BITS // 64) and N.odd_sketch(minima[:0], N.BITS).shape == (0, N.BITS // 64)
+    assert (got[-1] == N.odd_sketch(minima[-1:], N.BITS)[0]).all()
