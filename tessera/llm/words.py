@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 2 << 20
+HASHED_BYTES = 1 << 17
 
 _ASCII_LOWER = np.arange(256, dtype=np.uint8)
 _ASCII_LOWER[65:91] += 32
@@ -45,7 +46,8 @@ _powers: dict[str, np.ndarray] = {}
 def _power(base: int, n: int, name: str) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        have = np.full(max(n, CHUNK_BYTES + 1), base, dtype=np.uint64)
+        grown = 0 if have is None else min(2 * len(have), CHUNK_BYTES + 1)
+        have = np.full(max(n, grown, HASHED_BYTES + 1), base, dtype=np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
         if n <= 8 * CHUNK_BYTES:  # powers for one huge document are not kept
@@ -114,11 +116,22 @@ def spans(mask: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of ``values[start:end]`` for every span (polynomial, then mixed)."""
-    n = len(values)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_VALUE[values] * _power(_BASE, n + 1, "base")[:n], out=sums[1:])
-    return mix((sums[end] - sums[start]) * _power(_INVERSE, n + 1, "inverse")[start], 1)
+    """Hash of ``values[start:end]`` for every span, in order and apart (polynomial, then mixed).
+
+    A hash doesn't depend on where its span lies, so ``HASHED_BYTES`` are worked
+    on at once: sums and powers take 32 bytes for each.
+    """
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        first = start[i]
+        j = int(np.searchsorted(start, first + HASHED_BYTES))
+        n = int(end[j - 1] - first)
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(_BYTE_VALUE[values[first:end[j - 1]]] * _power(_BASE, n + 1, "base")[:n], out=sums[1:])
+        out[i:j] = mix((sums[end[i:j] - first] - sums[start[i:j] - first]) * _power(_INVERSE, n + 1, "inverse")[start[i:j] - first], 1)
+        i = j
+    return out
 
 
 def chunks(data: np.ndarray, offs: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -26,3 +26,21 @@ def test_words_match_regular_expressions():
 
 def test_ranges():
     assert ranges(np.array([3, 7, 0]), np.array([2, 0, 3])).tolist() == [3, 4, 0, 1, 2]
+
+
+def test_words_are_hashed_a_block_at_a_time():
+    """Sums and powers of all bytes of a chunk were held at once, 32 bytes for each."""
+    import tracemalloc
+
+    from tessera.llm import words as W
+    values = np.full(W.HASHED_BYTES * 16, 7, np.uint8)
+    start = np.arange(0, len(values) - 8, 8)
+    end = start + 5
+    start, end = np.append(start[:-W.HASHED_BYTES // 4], len(values) - 2 * W.HASHED_BYTES), np.append(end[:-W.HASHED_BYTES // 4], len(values))
+    W._powers.clear()
+    tracemalloc.start()
+    got = W.hashes(values, start, end)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(got[:-1].tolist())) == 1 and got[-1] != got[0]  # the last word is longer than a block
+    assert peak < 24 * len(values)
