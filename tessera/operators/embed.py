@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+BLOCK = 16  # fixed value: positions of a vector that are summed as one row
+
+
 def lookup(ids: DataFrame, table: DataFrame, id_col: str = "id") -> DataFrame:
     """Rows by id (equi-join)."""
     return ids.join(table, id_col)
@@ -14,16 +17,20 @@ def lookup(ids: DataFrame, table: DataFrame, id_col: str = "id") -> DataFrame:
 def aggregate_deltas(deltas: DataFrame, id_col: str = "id", grad_col: str = "grad", round_to: int | None = None) -> DataFrame:
     """Element-wise sum of every delta per id.
 
-    Grouped on (id, position) so a hot id is summed by partial aggregation in
-    every task before the shuffle; the per-id vector is re-assembled from at
-    most ``dim`` partial sums.
+    Grouped on (id, block of ``BLOCK`` positions), one sum a position, so a hot
+    id is summed by partial aggregation in every task before the shuffle and a
+    task's table holds one entry for a block, not one for each number. The
+    vector, as long as the longest delta of its id, is put together from its blocks.
     """
-    e = deltas.select(id_col, F.posexplode(grad_col).alias("pos", "g"))
-    s = e.groupBy(id_col, "pos").agg(F.sum("g").alias("g"))
-    if round_to is not None:
-        s = s.withColumn("g", F.round("g", round_to))
-    return s.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "g"))).alias("_v")) \
-            .select(id_col, F.transform("_v", lambda x: x["g"]).alias(grad_col))
+    size = F.size(grad_col)
+    e = deltas.where(size > 0).select(id_col, grad_col, size.alias("_n"))
+    e = e.select(id_col, grad_col, "_n", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / BLOCK).cast("int"))).alias("_b"))
+    e = e.select(id_col, "_b", "_n", *[F.get(grad_col, F.col("_b") * BLOCK + i).alias(f"_g{i}") for i in range(BLOCK)])
+    s = e.groupBy(id_col, "_b").agg(F.max("_n").alias("_n"), *[F.sum(f"_g{i}").alias(f"_g{i}") for i in range(BLOCK)])
+    sums = [F.col(f"_g{i}") if round_to is None else F.round(f"_g{i}", round_to) for i in range(BLOCK)]
+    s = s.select(id_col, F.struct("_b", F.array(*sums).alias("g"), "_n").alias("_s"))
+    whole = s.groupBy(id_col).agg(F.array_sort(F.collect_list("_s")).alias("_v"))
+    return whole.select(id_col, F.slice(F.flatten(F.transform("_v", lambda x: x["g"])), F.lit(1), F.array_max(F.transform("_v", lambda x: x["_n"]))).alias(grad_col))
 
 
 def apply_sign_sgd(table: DataFrame, grads: DataFrame, lr: float, weight_decay: float,
