@@ -13,6 +13,7 @@ from tessera.session import materialise
 from tessera.sources import readers as S
 from tessera.sources import sinks as K
 
+ROWS_A_TASK = 1 << 14  # of two token images, 7 KB each: a task sorts 120 MB of them by split and set
 SPEC = {"seq_len": 900, "vocab_size": 12, "pad_id": 0, "ignore_label_id": 0, "blank_identifier_id": 0}  # fixed values
 
 
@@ -22,6 +23,9 @@ def token_rows(examples: DataFrame, n_aug: int, seed: int) -> tuple[DataFrame, D
     ``examples``: (puzzle_id, puzzle_name, split, ex_idx, input, output). Every
     kept augmentation of a puzzle becomes a puzzle of its group. In the train
     split all examples of a puzzle but one, drawn by seed, are translated.
+
+    Rows meet their identifiers as grids and are dealt to as many tasks as their
+    images need, as images compress so well that Spark would put very many into one.
     """
     group, _ = A.augment_puzzles(examples, n_aug, seed)
     aug = A.apply_augmentations(examples, group).withColumn("ex_idx", F.col("ex_idx").cast("int"))
@@ -31,9 +35,12 @@ def token_rows(examples: DataFrame, n_aug: int, seed: int) -> tuple[DataFrame, D
     size = [f(F.col(c)) for f in (G.height, G.width) for c in ("aug_input", "aug_output")]
     pad_r, pad_c = G.translation_offsets(seed, F.concat_ws(":", "aug_name", F.col("ex_idx").cast("string")), *size,
                                          exempt=F.col("exempt") | (F.col("split") != "train"))
+    rows = rows.join(identifiers, F.col("aug_name") == F.col("puzzle_name")).drop("puzzle_name")
+    tasks = max(aug.sparkSession.sparkContext.defaultParallelism, -(-aug.count() // ROWS_A_TASK))
+    rows = rows.repartition(tasks, "aug_name", "split", "ex_idx")
     rows = rows.select("split", F.lit("all").alias("set_name"), F.col("puzzle_id").alias("group_id"), F.col("aug_name").alias("puzzle_id"), "ex_idx",
-                       G.serialise(F.col("aug_input"), pad_r, pad_c).alias("inputs"), G.serialise(F.col("aug_output"), pad_r, pad_c).alias("labels"))
-    return rows.join(identifiers, F.col("puzzle_id") == F.col("puzzle_name")).drop("puzzle_name"), identifiers
+                       G.serialise(F.col("aug_input"), pad_r, pad_c).alias("inputs"), G.serialise(F.col("aug_output"), pad_r, pad_c).alias("labels"), "puzzle_identifier")
+    return rows, identifiers
 
 
 def build_corpus(examples: DataFrame, path: str, n_aug: int, seed: int) -> None:
@@ -48,8 +55,11 @@ def build_corpus(examples: DataFrame, path: str, n_aug: int, seed: int) -> None:
 
 
 def load_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """S9 + S10 + metadata, joined: every row with its puzzle's name and its split's metadata."""
+    """S9 + S10 + metadata, joined: every row with its puzzle's name and its split's metadata.
+
+    Names are the side that a task holds; token images pass by and are not sorted.
+    """
     rows = S.read_dataset(spark, [f"{path}/dataset"])
     names = S.read_identifiers(spark, f"{path}/identifiers")
     meta = D.merge_metadata(S.read_metadata(spark, f"{path}/metadata"))
-    return rows.join(names, "puzzle_identifier").join(F.broadcast(meta), "split")  # one row a split
+    return rows.join(names.hint("shuffle_hash"), "puzzle_identifier").join(F.broadcast(meta), "split")  # one row a split
