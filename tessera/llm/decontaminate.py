@@ -35,11 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.tables import map_texts
 from tessera.llm.words import ALNUM_LOWER, Words, ranges, row_sums, words
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 16 << 20
+#: bytes of rows that each block of a larger benchmark is prepared for
+GATHERED_BYTES = 32 << 20
 
 MATCH = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("item_word", T.LongType()),
                       T.StructField("doc_word", T.LongType()), T.StructField("n_words", T.LongType())])
@@ -295,6 +298,18 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> list:
     return [spark.sparkContext.broadcast([(r.item_id, r.text) for r in part.where(F.col("_b") == b).collect()]) for b in range(n)]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], least: int = GATHERED_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of ``least`` bytes or more, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= least:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: a struct ``row`` of the columns ``keep`` and a struct ``found`` (FOUND)."""
     blocks = benchmark_blocks(benchmark, block_bytes)
@@ -303,13 +318,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = [prepare(b.value, window) for b in blocks] if len(blocks) == 1 else None
-        for batch in batches:
+        for batch in batches if whole is not None else gathered(batches):
             queries = whole if whole is not None else (prepare(b.value, window) for b in blocks)
             got = judge(batch.column(1), [q for q in queries if q is not None])
             found = pa.StructArray.from_arrays([pa.array(got[k], t) for k, t in ARROW.items()], names=list(ARROW))
             yield pa.RecordBatch.from_arrays([batch.column(0), found], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_texts(source, run, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -48,7 +48,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.llm.components import components
-from tessera.llm.tables import scratch, stored
+from tessera.llm.tables import map_texts, scratch, stored
 from tessera.llm.words import SPACED_LOWER, Words, mix, words
 
 ROWS, MISS = 5, 5e-7
@@ -178,7 +178,7 @@ def signatures(docs: DataFrame, width: int, similarity: float) -> DataFrame:
                     [*(batch.column(i).slice(chunk.first, chunk.n) for i in range(2)), pa.array(size), cls, longs(bands(minima, n_bands, ROWS)), longs(odd_sketch(minima, BITS))],
                     names=schema.names)
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, schema)
+    return map_texts(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), run, schema)
 
 
 def full_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -194,7 +194,7 @@ def full_sets(texts: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [own, pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(sets.view(np.int64)))], names=schema.names).filter(same)
 
-    return texts.select("cls", "text").mapInArrow(run, schema)
+    return map_texts(texts.select("cls", "text"), run, schema)
 
 
 def xor_count(a: str, b: str) -> Column:

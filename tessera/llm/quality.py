@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.tables import stored
+from tessera.llm.tables import map_texts, stored
 from tessera.llm.words import SPACED, Words, mix, row_sums, words
 
 MIN_WORDS = 50
@@ -109,7 +109,7 @@ def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
             got = pa.StructArray.from_arrays(measure(batch.column(3)), names=COUNTS)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), got], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_texts(source, run, schema)
 
 
 def ratios() -> dict[str, Column]:

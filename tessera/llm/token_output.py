@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.cut_encoder import ByteLevelEncoder, encoder
-from tessera.llm.tables import shared_path
+from tessera.llm.tables import map_texts, shared_path
 from tessera.llm.words import CHUNK_BYTES, chunks, utf8
 
 END_ID = 2
@@ -63,7 +63,7 @@ def encoded(docs: DataFrame, tokenizer: str, order: list, specials: bool = True)
                     pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids))], names=schema.names)
                 before += int(offs[-1])
 
-    return ordered.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return map_texts(ordered.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, order: list | None = None, specials: bool = True) -> None:
@@ -94,7 +94,7 @@ def with_crc(rows: DataFrame) -> DataFrame:
             crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(offs[:-1], offs[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crc, pa.int64())], names=schema.names)
 
-    return rows.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, schema)
+    return map_texts(rows.select("doc_id", "start", "n_tokens", "ids"), run, schema)
 
 
 def file_order(docs: DataFrame) -> tuple[DataFrame, list]:
